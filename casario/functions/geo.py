@@ -21,12 +21,17 @@ RADIUS_HIGH = 6410000.0
 ITERATIONS = 6
 
 
+def _at_most_one(value: Column) -> Column:
+    # not least(): that skips nulls
+    return F.when(value > 1, F.lit(1.0)).otherwise(value)
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres on the mean sphere."""
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * MEAN_RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * MEAN_RADIUS) * F.asin(F.sqrt(_at_most_one(h)))
 
 
 def cartesian(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
@@ -48,7 +53,7 @@ def chord_limit(nearest: Column) -> Column:
     between 2R*asin(c/2R) of the two radii long, so ordering by chord is exact up to
     this (very thin) margin.
     """
-    half_angle = F.asin(F.least(F.lit(1.0), nearest / F.lit(2 * RADIUS_LOW)))
+    half_angle = F.asin(_at_most_one(nearest / F.lit(2 * RADIUS_LOW)))
     reach = F.lit(2 * RADIUS_HIGH) * F.sin(half_angle * F.lit(RADIUS_LOW / RADIUS_HIGH))
     return F.when(half_angle > F.lit(1.5), F.lit(2 * RADIUS_HIGH)).otherwise(reach * F.lit(1 + 1e-9) + F.lit(1e-6))
 

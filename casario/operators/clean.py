@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casario.functions import numbers, texts
-from casario.schemas import LISTING_TYPES, REQUIRED
+from casario.schemas import LISTING_TYPES, RECORD_FIELDS, REQUIRED
 
 # target column -> source field of the listing
 _NUMBERS = {
@@ -39,6 +39,11 @@ def _reasons(checks: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda r: r.isNotNull())
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """Same rows; a later filter is not pushed below (which would repeat the expressions in it)."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def clean_listings(records: DataFrame, as_written: bool = False) -> DataFrame:
     """Flattens and types stamped records; ``reject_reasons`` is empty for usable rows.
 
@@ -89,7 +94,8 @@ def clean_listings(records: DataFrame, as_written: bool = False) -> DataFrame:
     flat = staged.withColumns(typed | {"reject_reasons": _reasons(checks)}).withColumn(
         "total_fee", total_fee(F.col("business_type"), F.col("period"), F.col("price"), F.col("condo_fee"))
     )
-    return flat.drop("_pricing", "listing", "account", "medias", "accountLink", "link", "locationId")
+    dropped = ("_pricing", *RECORD_FIELDS, "locationId")
+    return computed_once(flat.select(*[c for c in flat.columns if c not in dropped]))
 
 
 def accepted(cleaned: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -56,11 +56,12 @@ def page_of(
     size: int = PAGE_SIZE,
     sort_by: list[tuple[str, str]] | None = None,
     key: str = "url",
+    top_k: int = TOP_K_ROWS,
 ) -> DataFrame:
     """Rows ``[page*size, (page+1)*size)`` of the sorted result."""
     order = sort_columns(sort_by or [], key)
     start = page * size
-    if start + size <= TOP_K_ROWS:
+    if start + size <= top_k:
         return df.orderBy(*order).offset(start).limit(size)
     names = list(dict.fromkeys([*[c for c, _ in (sort_by or [("error", "asc")])], key]))
     found = keys_at(df, order, names, list(range(start, start + size)))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casario.operators import clean, features, nearest, serve, upsert
@@ -16,6 +15,11 @@ from casario.sources import pages as page_source
 from casario.sources.tables import Store
 
 
+def moment(as_of: dt.datetime) -> Column:
+    """A UTC wall-clock time as a literal, whatever zone this process runs in."""
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
+
+
 def observe(
     pages: DataFrame, requests: DataFrame, stations: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +52,9 @@ def merge_into(store: Store, batch: DataFrame, force: bool = False, **columns) -
     store.replace_partitions("listing", store.with_bucket(merged.drop("_op")))
 
 
-def activate(store: Store, segments: DataFrame, batch: DataFrame, moment: dt.datetime) -> None:
+def activate(store: Store, segments: DataFrame, batch: DataFrame, as_of: dt.datetime) -> None:
     """Replaces the given segments of the active set by the urls of the batch."""
-    rows = batch.select("url", *SEGMENT, "seq").withColumn("updated_date", F.lit(moment))
+    rows = batch.select("url", *SEGMENT, "seq").withColumn("updated_date", moment(as_of))
     surviving = upsert.without_segments(store.read("active"), segments)
     fresh = cut_lineage(upsert.new_active(rows, surviving))
     store.clear_segments(segments)
@@ -63,7 +67,7 @@ def score_active(store: Store, model: PipelineModel, encoding: DataFrame, segmen
     wanted = serve.active_listings(listings, store.read("active")).join(
         segments.select(*SEGMENT), list(SEGMENT), "left_semi"
     )
-    frame = cut_lineage(features.feature_frame(wanted, encoding, F.lit(as_of)))
+    frame = cut_lineage(features.feature_frame(wanted, encoding, moment(as_of)))
     if frame.isEmpty():
         return False
     predictions = model.transform(frame).select("url", "prediction")
@@ -106,7 +110,3 @@ def current(store: Store, business_type: str, listing_type: str, location_id: st
     """Active listings of a segment. The segment is that of the listing, as first seen."""
     segment = serve.in_segment(store.read("listing"), business_type, listing_type, location_id)
     return serve.active_listings(segment, store.read("active"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

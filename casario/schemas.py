@@ -1,7 +1,5 @@
 """Schemas of the landed documents and of the stored tables."""
 
-from pyspark.sql import types as T
-
 # Numeric listing fields arrive as number, text or a list of either. Declared as string,
 # the JSON reader keeps the literal text of whatever token it meets.
 PRICING = "array<struct<businessType:string,price:string,monthlyCondoFee:string,rentalInfo:struct<period:string>>>"
@@ -180,8 +178,6 @@ def ddl(types: dict[str, str]) -> str:
     return ", ".join(f"{n} {t}" for n, t in types.items())
 
 
-LISTING_SCHEMA = T.StructType.fromDDL(ddl(LISTING_TYPES))
-
 ACTIVE_TYPES = {
     "url": "string",
     "location_id": "string",

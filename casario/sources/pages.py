@@ -88,7 +88,8 @@ def raw_records(stored: DataFrame) -> DataFrame:
     """url and parsed record of stored raw JSON."""
     fields = {**RECORD_FIELDS, **{c: "string" for c in CONTEXT_FIELDS}}
     schema = ", ".join(f"{n} {t}" for n, t in fields.items())
-    return stored.select("url", F.from_json("raw", schema).alias("raw")).select("url", "raw.*")
+    # inline parses each text once, whatever is filtered or selected afterwards
+    return stored.select("url", F.inline(F.array(F.from_json("raw", schema))))
 
 
 def unusual_rentals(stored: DataFrame) -> DataFrame:
