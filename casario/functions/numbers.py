@@ -11,20 +11,23 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+|(\d+\.\d*|\.\d+)([eE][+-]?\d+)?)\s*$"
 
 def first_text(value: Column) -> Column:
     """First item of a JSON list literal, or the value itself; empty text is null."""
-    item = F.when(value.startswith("["), F.get(F.from_json(value, "array<string>"), F.lit(0))).otherwise(value)
+    item = F.when(value.startswith("["), F.get_json_object(value, "$[0]")).otherwise(value)
     return F.nullif(item, F.lit(""))
 
 
+def number_of(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
+
+
 def to_numeric(value: Column) -> Column:
     """Number held by a scalar or list field; null when there is none."""
-    text = first_text(value)
-    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
+    return number_of(first_text(value))
 
 
 def is_not_numeric(value: Column) -> Column:
     """True where the field holds text that is not a number."""
     text = first_text(value)
-    return text.isNotNull() & ~text.rlike(NUMBER_PATTERN)
+    return text.isNotNull() & number_of(text).isNull()
 
 
 def to_numeric_or_zero(value: Column) -> Column:

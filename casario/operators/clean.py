@@ -51,51 +51,66 @@ def clean_listings(records: DataFrame, as_written: bool = False) -> DataFrame:
     (page, position) pass through.
     """
     item, address = F.col("listing"), F.col("listing.address")
-    staged = records.withColumn("_pricing", pick_pricing(item["pricingInfos"], F.col("business_type")))
-    pricing = F.col("_pricing")
     rental = F.col("business_type") == "RENTAL"
-    columns: dict[str, Column] = {
-        "url": F.concat("site", "link.href"),
-        "location_id": F.col("locationId"),
-        "title": texts.listing_title(item["title"], item["description"]),
-        "amenities": item["amenities"],
-        "type_unit": F.get(item["unitTypes"], F.lit(0)),
-        "price": numbers.to_numeric(pricing["price"]),
-        "condo_fee": numbers.to_numeric(pricing["monthlyCondoFee"]),
-        "period": F.when(rental, pricing["rentalInfo"]["period"]),
-        "address_lat": address["point"]["lat"],
-        "address_lon": address["point"]["lon"],
-        "address": texts.address_text(
-            address["street"], address["streetNumber"], address["neighborhood"], address["complement"], as_written
-        ),
-        "images": texts.image_urls(F.col("medias")),
-        "created_date": F.try_to_timestamp(texts.blank_to_null(item["createdAt"])),
-        "updated_date": F.try_to_timestamp(texts.blank_to_null(item["updatedAt"])),
-    }
-    for target, field in _NUMBERS.items():
-        convert = numbers.to_numeric_or_zero if target in _ZERO_WHEN_MISSING else numbers.to_numeric
-        columns[target] = convert(item[field])
-    checks = {f"missing:{c}": (columns.get(c, F.col(c) if c in records.columns else F.lit(None))).isNull() for c in REQUIRED}
-    checks |= {f"not_numeric:{t}": numbers.is_not_numeric(item[f]) for t, f in _NUMBERS.items()}
+    staged = records.withColumns(
+        {
+            "_pricing": pick_pricing(item["pricingInfos"], F.col("business_type")),
+            **{f"_text_{t}": numbers.first_text(item[f]) for t, f in _NUMBERS.items()},
+        }
+    )
+    pricing = F.col("_pricing")
+    staged = staged.withColumns(
+        {
+            "_text_price": numbers.first_text(pricing["price"]),
+            "_text_condo_fee": numbers.first_text(pricing["monthlyCondoFee"]),
+        }
+    )
+    quantities = [*_NUMBERS, "price", "condo_fee"]
+    # each stage is read several times by the next, so Catalyst keeps them apart
+    staged = staged.withColumns(
+        {
+            **{t: numbers.number_of(F.col(f"_text_{t}")) for t in quantities},
+            "url": F.concat("site", "link.href"),
+            "location_id": F.col("locationId"),
+            "title": texts.listing_title(item["title"], item["description"]),
+            "amenities": item["amenities"],
+            "type_unit": F.get(item["unitTypes"], F.lit(0)),
+            "period": F.when(rental, pricing["rentalInfo"]["period"]),
+            "address_lat": address["point"]["lat"],
+            "address_lon": address["point"]["lon"],
+            "address": texts.address_text(
+                address["street"], address["streetNumber"], address["neighborhood"], address["complement"], as_written
+            ),
+            "images": texts.image_urls(F.col("medias")),
+            "created_date": F.try_to_timestamp(texts.blank_to_null(item["createdAt"])),
+            "updated_date": F.try_to_timestamp(texts.blank_to_null(item["updatedAt"])),
+        }
+    )
+    condo_without_price = F.col("condo_fee").isNotNull() | F.coalesce(F.col("period") == "DAILY", F.lit(False))
+    checks = {f"missing:{c}": F.col(c).isNull() for c in REQUIRED}
+    checks |= {f"not_numeric:{t}": F.col(f"_text_{t}").isNotNull() & F.col(t).isNull() for t in quantities}
     checks |= {
-        "not_numeric:price": numbers.is_not_numeric(pricing["price"]),
-        "not_numeric:condo_fee": numbers.is_not_numeric(pricing["monthlyCondoFee"]),
-        "no_title": columns["title"].isNull(),
-        "no_unit_type": columns["type_unit"].isNull(),
+        "no_title": F.col("title").isNull(),
+        "no_unit_type": F.col("type_unit").isNull(),
         "no_pricing": pricing.isNull(),
         "no_rental_info": rental & pricing.isNotNull() & pricing["rentalInfo"].isNull(),
-        "no_price": pricing.isNotNull()
-        & columns["price"].isNull()
-        & (columns["condo_fee"].isNotNull() | F.coalesce(columns["period"] == "DAILY", F.lit(False))),
-        "bad_created_date": texts.blank_to_null(item["createdAt"]).isNotNull() & columns["created_date"].isNull(),
-        "bad_updated_date": texts.blank_to_null(item["updatedAt"]).isNotNull() & columns["updated_date"].isNull(),
+        "no_price": pricing.isNotNull() & F.col("_text_price").isNull() & condo_without_price,
+        "bad_created_date": texts.blank_to_null(item["createdAt"]).isNotNull() & F.col("created_date").isNull(),
+        "bad_updated_date": texts.blank_to_null(item["updatedAt"]).isNotNull() & F.col("updated_date").isNull(),
     }
-    typed = {n: (c.cast(LISTING_TYPES[n]) if n in LISTING_TYPES else c) for n, c in columns.items()}
-    flat = staged.withColumns(typed | {"reject_reasons": _reasons(checks)}).withColumn(
-        "total_fee", total_fee(F.col("business_type"), F.col("period"), F.col("price"), F.col("condo_fee"))
+    zero = {t: F.coalesce(F.col(t), F.lit(0.0)) for t in _ZERO_WHEN_MISSING}
+    fee = total_fee(F.col("business_type"), F.col("period"), F.col("price"), F.col("condo_fee"))
+    flat = staged.withColumns({"total_fee": fee, "reject_reasons": _reasons(checks), **zero})
+    dropped = ("_pricing", *[f"_text_{t}" for t in quantities], *RECORD_FIELDS, "locationId")
+    return computed_once(
+        flat.select(
+            *[
+                F.col(c).cast(LISTING_TYPES[c]).alias(c) if c in LISTING_TYPES else F.col(c)
+                for c in flat.columns
+                if c not in dropped
+            ]
+        )
     )
-    dropped = ("_pricing", *RECORD_FIELDS, "locationId")
-    return computed_once(flat.select(*[c for c in flat.columns if c not in dropped]))
 
 
 def accepted(cleaned: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
