@@ -19,6 +19,7 @@ RADIUS_LOW = 6325000.0
 RADIUS_HIGH = 6410000.0
 
 ITERATIONS = 6
+TINY = 1e-300
 
 
 def _at_most_one(value: Column) -> Column:
@@ -85,13 +86,14 @@ def _arc(e: _Ends, lam: Column) -> tuple[Column, Column]:
 
 
 def _azimuth(e: _Ends, lam: Column, sin_s: Column, cos_s: Column) -> tuple[Column, Column, Column]:
-    """sin(alpha), cos²(alpha) at the equator crossing and cos(2 sigma_m)."""
-    sin_a = F.coalesce(e.cos_u1 * e.cos_u2 * F.sin(lam) / F.nullif(sin_s, F.lit(0.0)), F.lit(0.0))
+    """sin(alpha), cos²(alpha) at the equator crossing and cos(2 sigma_m).
+
+    Where a divisor is zero so is its dividend; TINY keeps the quotient at zero without
+    a branch, which lets generated code share the common parts.
+    """
+    sin_a = e.cos_u1 * e.cos_u2 * F.sin(lam) / (sin_s + F.lit(TINY))
     cos2_a = F.lit(1.0) - sin_a * sin_a
-    mid = F.coalesce(
-        cos_s - F.lit(2.0) * e.sin_u1 * e.sin_u2 / F.nullif(cos2_a, F.lit(0.0)), F.lit(0.0)
-    )
-    return sin_a, cos2_a, mid
+    return sin_a, cos2_a, cos_s - F.lit(2.0) * e.sin_u1 * e.sin_u2 / (cos2_a + F.lit(TINY))
 
 
 def _next_lambda(e: _Ends, sin_s: Column, cos_s: Column, sin_a: Column, cos2_a: Column, mid: Column) -> Column:
@@ -134,22 +136,18 @@ def with_geodesic(
     """
     e = _ends(lat1, lon1, lat2, lon2)
     parts = {"_g_su1": e.sin_u1, "_g_cu1": e.cos_u1, "_g_su2": e.sin_u2, "_g_cu2": e.cos_u2, "_g_diff": e.diff}
-    out = df.withColumns(parts)
+    out = df.withColumns({**parts, "_g_lam": e.diff})
     e = _Ends(*[F.col(c) for c in parts])
-    helpers = [*parts, "_g_lam", "_g_prev", "_g_ss", "_g_cs", "_g_sa", "_g_ca", "_g_mid"]
     lam, ss, cs = F.col("_g_lam"), F.col("_g_ss"), F.col("_g_cs")
-    sa, ca, mid = F.col("_g_sa"), F.col("_g_ca"), F.col("_g_mid")
-    out = out.withColumn("_g_lam", e.diff)
-    for step in range(steps + 1):
-        sin_s, cos_s = _arc(e, lam)
-        out = out.withColumns({"_g_ss": sin_s, "_g_cs": cos_s})
-        sin_a, cos2_a, middle = _azimuth(e, lam, ss, cs)
-        out = out.withColumns({"_g_sa": sin_a, "_g_ca": cos2_a, "_g_mid": middle})
-        if step < steps:
-            out = out.withColumns({"_g_prev": lam, "_g_lam": _next_lambda(e, ss, cs, sa, ca, mid)})
+    sin_s, cos_s = _arc(e, lam)
+    for _ in range(steps):
+        following = _next_lambda(e, sin_s, cos_s, *_azimuth(e, lam, sin_s, cos_s))
+        out = out.withColumns({"_g_prev": lam, "_g_lam": following})
+    out = out.withColumns({"_g_ss": sin_s, "_g_cs": cos_s})
     settled = (F.abs(lam - F.col("_g_prev")) < 1e-9) & (F.abs(lam) <= math.pi)
-    distance = F.when(settled, _metres(ss, cs, ca, mid)).otherwise(haversine(lat1, lon1, lat2, lon2))
-    return out.withColumn(name, distance).drop(*helpers)
+    _, cos2_a, mid = _azimuth(e, lam, ss, cs)
+    distance = F.when(settled, _metres(ss, cs, cos2_a, mid)).otherwise(haversine(lat1, lon1, lat2, lon2))
+    return out.withColumn(name, distance).drop(*parts, "_g_lam", "_g_prev", "_g_ss", "_g_cs")
 
 
 def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps: int = ITERATIONS) -> Column:

@@ -42,10 +42,12 @@ def _prune(pairs: DataFrame, level: int) -> DataFrame:
     lon = (F.col("ix") + F.lit(0.5)) * F.lit(size) - F.lit(180.0)
     x, y, z = geo.cartesian(F.col("_clat"), F.col("_clon"))
     half = math.radians(size / 2)
-    # from the centre along the meridian, then along the widest parallel of the tile
+    # longest chord from the centre: the meridian part and the part across at the widest parallel
     inner_lat = F.greatest(F.lit(0.0), F.abs(F.col("_clat")) - F.lit(size / 2))
-    reach = F.lit(geo.RADIUS_HIGH * half) * (F.lit(1.0) + F.cos(F.radians(inner_lat)))
-    scored = (
+    across = F.cos(F.radians(inner_lat))
+    reach = F.lit(geo.RADIUS_HIGH * half) * F.sqrt(F.lit(1.0) + across * across)
+    # read twice below; without the cut the plan would double at every level
+    scored = cut_lineage(
         pairs.withColumns({"_clat": lat, "_clon": lon})
         .withColumns({"_cx": x, "_cy": y, "_cz": z, "_reach": reach})
         .withColumn(
@@ -191,32 +193,27 @@ def attach_nearest_station(
     joined = keyed.join(lists, ["_level", "_ix", "_iy"], "left")
 
     def chord2(s: Column) -> Column:
-        return F.struct(
-            (
-                (s["x"] - F.col("_px")) * (s["x"] - F.col("_px"))
-                + (s["y"] - F.col("_py")) * (s["y"] - F.col("_py"))
-                + (s["z"] - F.col("_pz")) * (s["z"] - F.col("_pz"))
-            ).alias("c2"),
-            s.alias("s"),
+        return (
+            (s["x"] - F.col("_px")) * (s["x"] - F.col("_px"))
+            + (s["y"] - F.col("_py")) * (s["y"] - F.col("_py"))
+            + (s["z"] - F.col("_pz")) * (s["z"] - F.col("_pz"))
         )
 
-    def measured(s: Column) -> Column:
-        d = geo.geodesic(F.col(lat), F.col(lon), s["s"]["lat"], s["s"]["lng"])
-        return F.struct(d.alias("d"), s["s"]["si"].alias("si"), s["s"].alias("s"))
+    def measured(s: Column, c2: Column) -> Column:
+        d = geo.geodesic(F.col(lat), F.col(lon), s["lat"], s["lng"])
+        return F.when(c2 <= F.col("_limit"), F.struct(d.alias("d"), s["si"].alias("si"), s.alias("s")))
 
-    ranked = joined.withColumn("_near", F.transform("_near", chord2)).withColumn(
-        "_c2", F.array_min(F.transform("_near", lambda s: s["c2"]))
-    )
-    reach = geo.chord_limit(F.sqrt(F.col("_c2")))
-    ranked = ranked.withColumn("_c2", reach * reach).withColumn(
-        "_near", F.filter("_near", lambda s: s["c2"] <= F.col("_c2"))
-    )
+    ranked = joined.withColumn("_c2", F.transform("_near", chord2)).withColumn("_best", F.array_min("_c2"))
+    reach = geo.chord_limit(F.sqrt(F.col("_best")))
+    ranked = ranked.withColumn("_limit", reach * reach)
+    # almost always one station is within the limit; only otherwise are distances compared
+    rivals = F.size(F.filter("_c2", lambda c: c <= F.col("_limit")))
     chosen = ranked.withColumn(
         "_s",
-        F.when(F.size("_near") > 1, F.array_min(F.transform("_near", measured))["s"]).otherwise(
-            F.get("_near", F.lit(0))["s"]
+        F.when(rivals > 1, F.array_min(F.zip_with("_near", "_c2", measured))["s"]).otherwise(
+            F.get("_near", (F.array_position("_c2", F.col("_best")) - 1).cast("int"))
         ),
-    ).drop("_near", "_c2", "_level", "_ix", "_iy", "_px", "_py", "_pz")
+    ).select(*listings.columns, "_s")
     chosen = chosen.withColumns(
         {
             "linha": F.col("_s.linha"),

@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # split a hot key even if the split costs one more exchange further up
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # the JVM never compiles methods above 8000 bytes; past that, use split projections
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
