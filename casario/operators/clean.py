@@ -51,63 +51,58 @@ def clean_listings(records: DataFrame, as_written: bool = False) -> DataFrame:
     (page, position) pass through.
     """
     item, address = F.col("listing"), F.col("listing.address")
-    rental = F.col("business_type") == "RENTAL"
-    staged = records.withColumns(
-        {
-            "_pricing": pick_pricing(item["pricingInfos"], F.col("business_type")),
-            **{f"_text_{t}": numbers.first_text(item[f]) for t, f in _NUMBERS.items()},
-        }
-    )
     pricing = F.col("_pricing")
+    rental = F.col("business_type") == "RENTAL"
+    priced = records.withColumn("_pricing", pick_pricing(item["pricingInfos"], F.col("business_type")))
+    # first leave the nested record behind, so later stages carry only what they use
+    fields = {
+        **{f"_text_{t}": numbers.first_text(item[f]) for t, f in _NUMBERS.items()},
+        "_text_price": numbers.first_text(pricing["price"]),
+        "_text_condo_fee": numbers.first_text(pricing["monthlyCondoFee"]),
+        "_text_created_date": texts.blank_to_null(item["createdAt"]),
+        "_text_updated_date": texts.blank_to_null(item["updatedAt"]),
+        "_no_pricing": pricing.isNull(),
+        "_no_rental_info": rental & pricing.isNotNull() & pricing["rentalInfo"].isNull(),
+        "url": F.concat("site", "link.href"),
+        "location_id": F.col("locationId"),
+        "title": texts.listing_title(item["title"], item["description"]),
+        "amenities": item["amenities"],
+        "type_unit": F.get(item["unitTypes"], F.lit(0)),
+        "period": F.when(rental, pricing["rentalInfo"]["period"]),
+        "address_lat": address["point"]["lat"],
+        "address_lon": address["point"]["lon"],
+        "address": texts.address_text(
+            address["street"], address["streetNumber"], address["neighborhood"], address["complement"], as_written
+        ),
+        "images": texts.image_urls(F.col("medias")),
+    }
+    passed = [c for c in records.columns if c not in (*RECORD_FIELDS, "locationId")]
+    staged = priced.select(*passed, *[c.alias(n) for n, c in fields.items()])
+    quantities, dates = [*_NUMBERS, "price", "condo_fee"], ["created_date", "updated_date"]
     staged = staged.withColumns(
-        {
-            "_text_price": numbers.first_text(pricing["price"]),
-            "_text_condo_fee": numbers.first_text(pricing["monthlyCondoFee"]),
-        }
-    )
-    quantities = [*_NUMBERS, "price", "condo_fee"]
-    # each stage is read several times by the next, so Catalyst keeps them apart
-    staged = staged.withColumns(
-        {
-            **{t: numbers.number_of(F.col(f"_text_{t}")) for t in quantities},
-            "url": F.concat("site", "link.href"),
-            "location_id": F.col("locationId"),
-            "title": texts.listing_title(item["title"], item["description"]),
-            "amenities": item["amenities"],
-            "type_unit": F.get(item["unitTypes"], F.lit(0)),
-            "period": F.when(rental, pricing["rentalInfo"]["period"]),
-            "address_lat": address["point"]["lat"],
-            "address_lon": address["point"]["lon"],
-            "address": texts.address_text(
-                address["street"], address["streetNumber"], address["neighborhood"], address["complement"], as_written
-            ),
-            "images": texts.image_urls(F.col("medias")),
-            "created_date": F.try_to_timestamp(texts.blank_to_null(item["createdAt"])),
-            "updated_date": F.try_to_timestamp(texts.blank_to_null(item["updatedAt"])),
-        }
+        {t: numbers.number_of(F.col(f"_text_{t}")) for t in quantities}
+        | {d: F.try_to_timestamp(F.col(f"_text_{d}")) for d in dates}
     )
     condo_without_price = F.col("condo_fee").isNotNull() | F.coalesce(F.col("period") == "DAILY", F.lit(False))
     checks = {f"missing:{c}": F.col(c).isNull() for c in REQUIRED}
     checks |= {f"not_numeric:{t}": F.col(f"_text_{t}").isNotNull() & F.col(t).isNull() for t in quantities}
+    checks |= {f"bad_{d}": F.col(f"_text_{d}").isNotNull() & F.col(d).isNull() for d in dates}
     checks |= {
         "no_title": F.col("title").isNull(),
         "no_unit_type": F.col("type_unit").isNull(),
-        "no_pricing": pricing.isNull(),
-        "no_rental_info": rental & pricing.isNotNull() & pricing["rentalInfo"].isNull(),
-        "no_price": pricing.isNotNull() & F.col("_text_price").isNull() & condo_without_price,
-        "bad_created_date": texts.blank_to_null(item["createdAt"]).isNotNull() & F.col("created_date").isNull(),
-        "bad_updated_date": texts.blank_to_null(item["updatedAt"]).isNotNull() & F.col("updated_date").isNull(),
+        "no_pricing": F.col("_no_pricing"),
+        "no_rental_info": F.col("_no_rental_info"),
+        "no_price": ~F.col("_no_pricing") & F.col("_text_price").isNull() & condo_without_price,
     }
     zero = {t: F.coalesce(F.col(t), F.lit(0.0)) for t in _ZERO_WHEN_MISSING}
     fee = total_fee(F.col("business_type"), F.col("period"), F.col("price"), F.col("condo_fee"))
     flat = staged.withColumns({"total_fee": fee, "reject_reasons": _reasons(checks), **zero})
-    dropped = ("_pricing", *[f"_text_{t}" for t in quantities], *RECORD_FIELDS, "locationId")
     return computed_once(
         flat.select(
             *[
                 F.col(c).cast(LISTING_TYPES[c]).alias(c) if c in LISTING_TYPES else F.col(c)
                 for c in flat.columns
-                if c not in dropped
+                if not c.startswith("_")
             ]
         )
     )

@@ -27,8 +27,16 @@ BROADCAST_LEVEL = 9
 _TILE = ["ix", "iy"]
 
 
-def _tile_index(value: Column, offset: float, level: int) -> Column:
-    return F.floor((value + F.lit(offset)) / F.lit(360.0 / 2**level)).cast("bigint")
+def _tile_of(lat: Column, lon: Column, level: int | Column) -> dict[str, Column]:
+    """Tile indices; longitudes wrap around and the north pole belongs to the top row."""
+    cells = F.lit(float(2**level)) if isinstance(level, int) else F.pow(F.lit(2.0), level)
+    turns = (lon + F.lit(180.0)) / F.lit(360.0)
+    row = F.floor((lat + F.lit(90.0)) / F.lit(360.0) * cells)
+    top = cells / F.lit(2.0) - F.lit(1.0)
+    return {
+        "ix": F.floor((turns - F.floor(turns)) * cells).cast("bigint"),
+        "iy": F.when(row > top, top).otherwise(row).cast("bigint"),
+    }
 
 
 def _bounded(df: DataFrame, level: int) -> DataFrame:
@@ -88,7 +96,7 @@ def _refine(pairs: DataFrame, parent: int, tiles: DataFrame, level: int) -> Data
 
 def _occupied(points: DataFrame, level: int) -> DataFrame:
     return points.select(
-        _tile_index(F.col("_lon"), 180.0, level).alias("ix"), _tile_index(F.col("_lat"), 90.0, level).alias("iy")
+        *[c.alias(n) for n, c in _tile_of(F.col("_lat"), F.col("_lon"), level).items()]
     ).distinct()
 
 
@@ -177,18 +185,12 @@ def attach_nearest_station(
     for (level, crowded), deeper in zip(split, DEEP_LEVELS):
         marks = crowded.select(F.col("ix").alias("_mx"), F.col("iy").alias("_my"), F.lit(True).alias("_deeper"))
         keyed = (
-            keyed.withColumns({"_mx": _tile_index(F.col(lon), 180.0, level), "_my": _tile_index(F.col(lat), 90.0, level)})
+            keyed.withColumns({f"_m{n[1]}": c for n, c in _tile_of(F.col(lat), F.col(lon), level).items()})
             .join(marks, ["_mx", "_my"], "left")
             .withColumn("_level", F.when(F.col("_deeper"), F.lit(deeper)).otherwise(F.col("_level")))
             .drop("_mx", "_my", "_deeper")
         )
-    degrees = F.lit(360.0) / F.pow(F.lit(2.0), F.col("_level"))
-    keyed = keyed.withColumns(
-        {
-            "_ix": F.floor((F.col(lon) + F.lit(180.0)) / degrees).cast("bigint"),
-            "_iy": F.floor((F.col(lat) + F.lit(90.0)) / degrees).cast("bigint"),
-        }
-    )
+    keyed = keyed.withColumns({f"_{n}": c for n, c in _tile_of(F.col(lat), F.col(lon), F.col("_level")).items()})
     lists = lists.withColumnsRenamed({"level": "_level", "ix": "_ix", "iy": "_iy"})
     joined = keyed.join(lists, ["_level", "_ix", "_iy"], "left")
 
