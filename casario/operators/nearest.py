@@ -175,7 +175,8 @@ def attach_nearest_station(
         F.col(lat).alias("_lat"), F.col(lon).alias("_lon")
     )
     found, split = tile_candidates(points, sites.select("si", "x", "y", "z"), dense)
-    lists = (
+    # written out so that its size decides how the listings are joined to it
+    lists = cut_lineage(
         found.join(sites, "si")
         .groupBy("level", *_TILE)
         .agg(F.collect_list(F.struct("si", "lat", "lng", "x", "y", "z", "linha", "estacao")).alias("_near"))

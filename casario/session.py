@@ -65,6 +65,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably; what follows re-reads files instead of recomputing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as a table in the shared folder and reads it back.
+
+    What follows re-reads files instead of recomputing, also after losing executors, and
+    Catalyst knows the true size: a small table is broadcast, a large one is shuffled.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casario.schemas import CONTEXT_FIELDS, PAGE, RECORD_FIELDS
+from casario.session import cut_lineage
 
 PAGE_SIZE = 24
 ALL_PAGES = -1
@@ -51,9 +52,10 @@ def before_first_failure(
     """Pages of each request that come before its first failed one.
 
     One failure row per request is joined back, so a request of any size is never gathered.
+    The failures are few and written first: the pages are not shuffled to meet them.
     """
     bad = failed(pages) if bad is None else bad
-    cut = pages.where(bad).groupBy(*by).agg(F.min(page).alias("_cut"))
+    cut = cut_lineage(pages.where(bad).groupBy(*by).agg(F.min(page).alias("_cut")))
     return (
         pages.join(cut, list(by), "left")
         .where(F.col("_cut").isNull() | (F.col(page) < F.col("_cut")))

@@ -167,7 +167,7 @@ def test_category_share(spark):
 
 @pytest.fixture(scope="module")
 def frame(listings):
-    return features.feature_frame(listings.where("neighborhood is not null"), None, _as_of()).cache()
+    return features.feature_frame(listings, None, _as_of()).cache()
 
 
 def test_cross_validation_and_search(spark, frame):
