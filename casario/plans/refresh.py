@@ -25,7 +25,8 @@ def observe(
 ) -> tuple[DataFrame, DataFrame]:
     """Landed pages to (usable listings with their station, rejects)."""
     good = page_source.before_first_failure(pages)
-    cleaned = clean.clean_listings(page_source.stamp(page_source.records(good), requests))
+    # usable rows, rejects and the station search all read it: parse the pages once
+    cleaned = cut_lineage(clean.clean_listings(page_source.stamp(page_source.records(good), requests)))
     usable = clean.accepted(cleaned, keep=("seq",))
     if stations is not None:
         usable = nearest.attach_nearest_station(usable, stations, order="url")

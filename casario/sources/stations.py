@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casario.session import cut_lineage
+
 # Markers the directory pages carry (fixed values).
 LINE_TABLE_HEADING = "erminais"
 STATION_LINK = "wiki/Esta"
@@ -171,7 +173,8 @@ def harvest_stations(pages: DataFrame, seeds: DataFrame, base: str) -> DataFrame
     facts = page_facts(pages)
     # duplicates of a page would multiply links: keep one per url
     facts = facts.groupBy("url").agg(F.min(F.struct(*[c for c in facts.columns if c != "url"])).alias("f"))
-    facts = facts.select("url", "f.*")
+    # four hops read it: parse each page once
+    facts = cut_lineage(facts.select("url", "f.*"))
     index = facts.join(seeds.select("url", "uf"), "url", "left_semi")
     lines = line_index(index).join(seeds.select("url", "uf"), "url")
     lines = lines.select("uf", "linha", absolute(base, F.col("link")).alias("link")).distinct()
