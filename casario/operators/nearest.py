@@ -17,7 +17,7 @@ from casario.functions import geo
 from casario.session import cut_lineage
 
 # Tile levels: at level L the globe is cut into 2^L columns of 360/2^L degrees.
-LEVELS = (3, 6, 9, 12, 15)
+LEVELS = (3, 7, 11, 15)
 # Finer levels, visited only for tiles that keep more than DENSE candidates.
 DEEP_LEVELS = (18, 21, 24, 27)
 DENSE = 32
@@ -128,7 +128,6 @@ def tile_candidates(points: DataFrame, sites: DataFrame, dense: int = DENSE) ->
     found, split = [], []
     level = leaf_level
     for deeper in (*DEEP_LEVELS, None):
-        pairs = cut_lineage(pairs)
         crowded = pairs.groupBy(*_TILE).count().where(F.col("count") > dense).select(*_TILE)
         if deeper is None or crowded.isEmpty():
             found.append(pairs.select(F.lit(level).alias("level"), *_TILE, "si"))
