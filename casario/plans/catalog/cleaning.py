@@ -134,7 +134,7 @@ def cleaned_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_RECORDS = f"""r AS (
+RECORDS = f"""r AS (
   SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS t, o_orderdate, o_orderpriority, c_mktsegment, c_nationkey,
          o_orderkey % 3 <> 0 AS rental FROM orders JOIN customer ON o_custkey = c_custkey),
 good AS (SELECT * FROM r WHERE k % 101 <> 0 AND k % 103 <> 0 AND k % 107 <> 0 AND k % 109 <> 0 AND k % 113 <> 0 AND k % 127 <> 0),
@@ -149,7 +149,7 @@ _ADDRESS = """CASE WHEN k % 6 <> 0 AND k % 4 <> 0 THEN 'Rua ' || t || ', ' || CA
 
 @query(
     "clean_listing",
-    f"""WITH {_RECORDS}
+    f"""WITH {RECORDS}
 SELECT 'https://site.example/l/' || t AS url, c_mktsegment AS neighborhood, 'N' || CAST(c_nationkey AS VARCHAR) AS location_id,
   'Z' || CAST(k % 4 AS VARCHAR) AS zone, CASE WHEN rental THEN 'RENTAL' ELSE 'SALE' END AS business_type,
   CASE WHEN k % 5 = 0 THEN substr('Description of listing ' || t || ' with a long tail of words', 1, 40) ELSE 'Title ' || t END AS title,
@@ -179,7 +179,7 @@ def clean_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "quarantine_counts",
-    f"""WITH {_RECORDS}, found AS (
+    f"""WITH {RECORDS}, found AS (
   SELECT unnest(['missing:url', 'missing:state', 'not_numeric:bedrooms', 'no_unit_type', 'no_pricing', 'bad_updated_date']) AS reason,
          unnest([101, 103, 107, 109, 113, 127]) AS prime)
 SELECT reason, count(*) AS rows FROM found JOIN r ON k % prime = 0 GROUP BY reason""",
@@ -405,7 +405,7 @@ def null_safe_ne(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "unusual_rentals",
-    f"""WITH {_RECORDS}
+    f"""WITH {RECORDS}
 SELECT 'https://site.example/l/' || t AS url, e.b AS "businessType", e.p AS period FROM good,
   LATERAL (SELECT unnest(['OTHER', 'RENTAL']) AS b, unnest([NULL, CASE WHEN k % 10 = 0 THEN 'DAILY' ELSE 'MONTHLY' END]) AS p) e
 WHERE e.p IS DISTINCT FROM 'MONTHLY'""",

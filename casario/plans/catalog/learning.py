@@ -412,10 +412,9 @@ def model_search(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("run_id", F.col("metrics")["test_mae"].alias("test_mae"), F.col("params")["model"].alias("model"))
 
 
-@query("empty_guard", "SELECT o_orderkey AS url FROM orders WHERE o_orderkey < 0")
+@query("empty_guard", f"WITH {views.LISTING} SELECT url FROM listing WHERE location_id = 'none'")
 def empty_guard(spark: SparkSession, folder: str) -> DataFrame:
-    """Nothing to score: no prediction is made and the table stays as it is."""
-    none = views.offers(spark, folder).where(F.col("o_orderkey") < 0)
-    frame = none.select(F.col("o_orderkey").alias("url"))
+    """A segment without listings: no prediction is made and the rows come back as they are."""
+    frame = views.listings(spark, folder).where(F.col("location_id") == "none").select("url")
     predicted = train.predict(frame, model=None)
     return frame if predicted is None else predicted

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casario.operators import upsert
+from casario.operators import serve, upsert
 from casario.plans import refresh
-from casario.plans.catalog import views
+from casario.plans.catalog import cleaning, views
 from casario.plans.catalog.registry import query
-from casario.session import scratch_path
+from casario.session import cut_lineage, scratch_path
+from casario.sources import pages
 from casario.sources.tables import Store
 from casario.streaming import ingest
 
@@ -119,6 +122,49 @@ def refresh_cycle(spark: SparkSession, folder: str) -> DataFrame:
     return _text(store.read("listing")).select("user_id", "event_type", "value", "ts", "total_fee_predict")
 
 
+_ASKED = ("request_id", "origin", "business_type", "listing_type", "locationId")
+
+
+def landed_searches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nested records as page files per search (portal, contract, kind, nation), at most 24 a page."""
+    found = cleaning.nested_listings(spark, folder).withColumn(
+        "request_id", F.concat_ws("|", "business_type", "listing_type", "locationId")
+    )
+    paged = found.groupBy(*_ASKED, F.floor(F.col("o_orderkey") / F.lit(24)).cast("int").alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct("o_orderkey", "record"))).alias("rows")
+    )
+    path = scratch_path(spark, "searches")
+    paged.select(
+        "origin", "request_id", (F.col("page") + 1).alias("page"), F.lit(200).alias("status"),
+        F.struct(
+            F.size("rows").alias("totalCount"), F.struct(F.transform("rows", lambda r: r["record"]).alias("listings")).alias("result")
+        ).alias("search"),
+    ).write.json(path)
+    asked = found.select(*_ASKED).distinct()
+    fixed = {"site": "https://site.example", "neighborhood": "Area", "state": "State", "city": "City", "zone": "Zone"}
+    return pages.read_pages(spark, path), asked.withColumns({c: F.lit(v) for c, v in fixed.items()})
+
+
+@query(
+    "refresh_pages",
+    f"""WITH {cleaning.RECORDS.replace('k % 103 <> 0 AND ', '')}
+SELECT 'https://site.example/l/' || t AS url, 'N' || CAST(c_nationkey AS VARCHAR) AS location_id,
+  CASE WHEN rental THEN 'RENTAL' ELSE 'SALE' END AS business_type, o_orderpriority AS listing_type,
+  CAST(k % 5 AS INTEGER) AS bedrooms, CASE WHEN rental AND k % 10 = 0 THEN price * 30 ELSE price END + coalesce(condo_fee, 0) AS total_fee,
+  CASE WHEN k % 19 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS updated_date FROM priced""",
+)
+def refresh_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole cycle over every search: landed pages, cleaning, merge, activation, read."""
+    landed, asked = landed_searches(spark, folder)
+    store = Store(spark, scratch_path(spark, "refresh"), buckets=8)
+    refresh.refresh(store, landed, cut_lineage(asked), dt.datetime(2002, 1, 1))
+    found = serve.active_listings(store.read("listing"), store.read("active"))
+    return found.select(
+        "url", "location_id", "business_type", "listing_type", "bedrooms", "total_fee",
+        F.col("updated_date").cast("string").alias("updated_date"),
+    )
+
+
 @query(
     "stream_upsert",
     f"WITH {views.OBSERVATION}, {views.marked_sql('observation')} {_FOLD} FROM marked GROUP BY user_id",
@@ -177,10 +223,10 @@ def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "fk_check",
     f"""WITH {views.ACTIVE}
-SELECT url, location_id FROM active WHERE url NOT IN (SELECT url FROM listing WHERE o_orderkey % 10 <> 0)""",
+SELECT url, location_id FROM active WHERE url NOT IN (SELECT url FROM listing WHERE listing_type <> '5-LOW')""",
 )
 def fk_check(spark: SparkSession, folder: str) -> DataFrame:
-    known = views.offers(spark, folder).where(F.col("o_orderkey") % 10 != 0)
+    known = views.offers(spark, folder).where(F.col("listing_type") != "5-LOW")
     return upsert.orphans(views.active(spark, folder), known).select("url", "location_id")
 
 
@@ -193,8 +239,6 @@ UNION ALL SELECT * FROM batch WHERE url NOT IN (SELECT url FROM cleared)""",
 )
 def replace_segment(spark: SparkSession, folder: str) -> DataFrame:
     """Two contract segments are cleared on disk; one comes back with new rows, one stays empty."""
-    import datetime as dt
-
     store = Store(spark, scratch_path(spark, "segments"))
     store.append("active", views.active(spark, folder))
     listings = views.listings(spark, folder)

@@ -38,6 +38,8 @@ def build_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("CASARIO_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # plans here have many small projections: do not look up the call site of each column
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
