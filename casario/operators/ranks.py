@@ -126,9 +126,14 @@ def previous_value(
     ).drop("_hot", "_block", "_prev", "_edge")
 
 
-def keys_at(df: DataFrame, order: list[Column], keys: list[str], positions: list[int]) -> dict[int, Row]:
+def keys_at(
+    df: DataFrame, order: list[Column], keys: list[str], positions: list[int], as_text: bool = False
+) -> dict[int, Row]:
     """The key rows at the given 0-based positions of the sorted order.
 
+    ``as_text`` returns the keys as text, which casts back exactly and does not depend on
+    the time zone of this process.
+
     Only the key columns are sorted (range partitioned). Sorted rows are written once,
     so partition counts and positions refer to the same partitions; a handful of rows
     and one count per partition reach the driver.
@@ -146,7 +151,8 @@ def keys_at(df: DataFrame, order: list[Column], keys: list[str], positions: list
         start += row["count"]
     if not wanted:
         return {}
-    rows = sorted_keys.where(F.col("_at").isin(list(wanted))).collect()
+    shown = [F.col(c).cast("string").alias(c) if as_text else F.col(c) for c in keys]
+    rows = sorted_keys.where(F.col("_at").isin(list(wanted))).select("_at", *shown).collect()
     return {wanted[r["_at"]]: r for r in rows}
 
 
@@ -159,7 +165,7 @@ def with_contiguous_folds(df: DataFrame, keys: list[str], k: int = 5, name: str
     """Adds a 1-based fold: k contiguous blocks of rows in the order of ``keys`` (unique, not null)."""
     total = df.count()
     starts = block_starts(total, k)[1:]
-    found = keys_at(df, [F.col(c) for c in keys], keys, starts)
+    found = keys_at(df, [F.col(c) for c in keys], keys, starts, as_text=True)
     types = dict(df.dtypes)
     here = F.struct(*[F.col(c) for c in keys])
     fold = F.lit(1)

@@ -48,11 +48,11 @@ RECORD = {
     "account": {"id": "1"},
     "medias": [{"url": "https://img/{action}/{width}x{height}/a.jpg"}],
     "accountLink": {"href": "/a"},
-    "link": {"href": "/imovel/1"},
+    "link": {"href": "/l/1"},
 }
 
 
-def record(href="/imovel/1", **changes) -> dict:
+def record(href="/l/1", **changes) -> dict:
     """A copy of the sample record; keys are dotted paths below ``listing`` (or `medias`, `link`)."""
     out = copy.deepcopy(RECORD)
     out["link"]["href"] = href

@@ -45,6 +45,12 @@ def test_contiguous_folds(spark, n):
     assert [r["fold"] for r in rows] == want
 
 
+def test_folds_by_timestamp_ignore_the_process_time_zone(spark):
+    days = spark.range(10).select(F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.col("id") + 1, F.lit(0), F.lit(0), F.lit(0)).alias("t"))
+    rows = ranks.with_contiguous_folds(days, ["t"], 5).orderBy("t").collect()
+    assert [r["fold"] for r in rows] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+
+
 @pytest.fixture(scope="module")
 def offers(spark):
     rng = random.Random(6)
