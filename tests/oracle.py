@@ -42,7 +42,7 @@ def expected(db, sql: str) -> tuple[list[str], list[str], list[tuple]]:
     return names, types, rows_of(names, cursor.fetchall())
 
 
-SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SAME = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 
 
 def compare(df, db, sql: str) -> str | None:
