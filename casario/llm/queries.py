@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casario.llm import chat, rules, urls
+from casario.llm import chat, decontaminate, lines, rules, urls
 from casario.llm.frames import table
 from casario.session import configure
 
@@ -20,6 +20,64 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *rules.BASE, "base_failed", "kept", "rule")
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    kept = lines.drop_shared_lines(table(spark, folder, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select(
+        "doc_id", F.col("__llm_lines").alias("n_lines"), F.col("__llm_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+OP4_SQL = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+keyed AS (
+  SELECT doc_id, lines, list_transform(lines, lambda x: translate(
+    trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM split),
+lined AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(keys) AS key, generate_subscripts(keys, 1) AS pos FROM keyed),
+shared AS (SELECT key FROM lined WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(s.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
+FROM lined l LEFT JOIN shared s ON l.key = s.key GROUP BY doc_id"""
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = F.col("__llm_found")
+    return decontaminate.matches(docs, table(spark, folder, "benchmark")).select(
+        "doc_id", found["n_words"].alias("n_words"), decontaminate.hit_words(found["spans"]).alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"),
+        (F.size(found["spans"]) > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bs AS (SELECT *, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM bs),
+ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM ds),
+hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
+words AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -90,7 +148,9 @@ SELECT page_id, url, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, n_
 FROM parsed LEFT JOIN best USING (page_id)"""
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_chat_format": op8_chat_format,
     "op9_url_lists": op9_url_lists,
 }
-SQL: dict[str, str] = {"op9_url_lists": OP9_SQL}
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_lists": OP9_SQL}
