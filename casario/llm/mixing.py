@@ -29,6 +29,7 @@ POINTS, ROUNDS = 32, 6
 # Above this many plan rows (sources times blocks) the plan is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 100_000
 
+ADDED = ("n_tokens", "weight", "epoch", "block", "place")
 SOURCE, TOKENS, ORDER, SPOT = "__llm_source", "__llm_tokens", "__llm_order", "__llm_spot"
 
 
@@ -134,7 +135,7 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
     """``docs`` once for each time that the mixture takes them.
 
     Adds ``n_tokens``, ``weight`` of the source, ``epoch`` (pass, from 1), ``block`` and ``place`` of the block in its source's
-    permutation. Sorting by (epoch, a hash of source and place) gives a training order of whole blocks.
+    permutation, in place of columns of the same names. Sorting by (epoch, a hash of source and place) gives a training order of whole blocks.
     """
     with_place = placed(docs)
     planned, size = plan(with_place, budget_tokens, entropy_share, most_repeats)
@@ -151,7 +152,7 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
     part = (F.col("__llm_left") > 0) & (F.col("__llm_until").isNull() | (F.col(ORDER) <= F.col("__llm_until")))
     times = F.col("__llm_passes") + part.cast("long")
     return chosen.where(times > 0).select(
-        *docs.columns, F.col(TOKENS).alias("n_tokens"), F.col("__llm_weight").alias("weight"),
+        *(c for c in docs.columns if c not in ADDED), F.col(TOKENS).alias("n_tokens"), F.col("__llm_weight").alias("weight"),
         F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("epoch"),
         F.col("__llm_block").alias("block"), F.col("__llm_place").alias("place"),
     )

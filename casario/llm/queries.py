@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casario.llm import chat, decontaminate, lines, rules, urls
+from casario.llm import chat, decontaminate, lines, mixing, neardup, rules, urls
 from casario.llm.frames import table
 from casario.session import configure
 
@@ -16,8 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
-    judged = rules.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return judged.select("doc_id", *rules.BASE, "base_failed", "kept", "rule")
+    judged = rules.quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return judged.select(f"{rules.ROW}.doc_id", *rules.BASE, "base_failed", "kept", "rule")
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +44,12 @@ SELECT doc_id, count(*) AS n_lines, count(s.key) AS n_dropped,
 FROM lined l LEFT JOIN shared s ON l.key = s.key GROUP BY doc_id"""
 
 
+def op6_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "place")
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -146,11 +152,41 @@ best AS (
 SELECT page_id, url, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, n_matches IS NOT NULL AS blocked,
        coalesce(n_matches, 0) AS n_matches, b.p AS pattern, strftime(b.f, '%Y-%m-%d %H:%M:%S') AS listed_since
 FROM parsed LEFT JOIN best USING (page_id)"""
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    found = neardup.named_classes(neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")))
+    return found.select(
+        "doc_id", F.col("class_first.doc_id").alias("class_id"), F.col("copies").alias("n_copies"), F.col("links").alias("n_links")
+    )
+
+
+OP10_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS same FROM grams GROUP BY doc_id),
+copies AS (SELECT doc_id, count(*) OVER (PARTITION BY same) AS n_copies FROM sizes),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
+counted AS (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY x),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+classes AS (SELECT x AS doc_id, min(y) AS least FROM reach GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(classes.least, doc_id)) AS class_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM split LEFT JOIN copies USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN classes USING (doc_id)"""
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_line_dedup": op4_line_dedup,
+    "op6_temperature_mix": op6_temperature_mix,
     "op7_decontamination": op7_decontamination,
     "op8_chat_format": op8_chat_format,
     "op9_url_lists": op9_url_lists,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_lists": OP9_SQL}
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_lists": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}

@@ -23,6 +23,7 @@ from casario.session import cut_lineage
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
+ROW = "__llm_row"
 # Labelled rows learned from, at most: the rows with the least hashes. More rows hardly move cut points.
 SAMPLE_ROWS = 20_000
 CUTS = 24
@@ -49,11 +50,11 @@ def _repeated_words(hashes: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, base statistics, ratios), one narrow row per document, from one scan of the texts."""
+    """(row, base statistics, ratios) of each document from one scan; ``__llm_row`` holds all its columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
-    split = docs.select("doc_id", text.alias("text")).select(
-        "doc_id", "text",
+    split = docs.select(F.struct(*docs.columns).alias(ROW), text.alias("text")).select(
+        ROW,
         F.when(trimmed != "", F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")).alias("words"),
         F.filter(F.split("text", r"\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
@@ -63,12 +64,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         lambda word, i: F.xxhash64(word, *(F.get("words", i + k) for k in range(1, WINDOW))),
     )
     hashed = split.select(
-        "doc_id", "words", "lines", n.cast("long").alias("n_words"),
+        ROW, "words", "lines", n.cast("long").alias("n_words"),
         F.array_join("words", "").alias("body"),
         F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("windows"),
     )
     counted = hashed.select(
-        "doc_id", "n_words",
+        ROW, "n_words",
         F.length("body").cast("long").alias("word_chars"),
         F.regexp_count("body", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -82,13 +83,15 @@ def statistics(docs: DataFrame) -> DataFrame:
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
 
-    return counted.select(
-        "doc_id", *BASE,
+    done = F.struct(
+        ROW, *BASE,
         share("n_symbols", "word_chars").alias("symbol_share"), share("n_upper", "word_chars").alias("upper_share"),
         share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"),
         share("word_chars", "n_words").alias("word_length"), share("n_distinct", "n_words").alias("distinct_share"),
         share("n_words", "n_lines").alias("words_per_line"),
     )
+    # filters over statistics stop at the generator; pushed below it, they would compute everything anew for each use
+    return counted.select(F.inline(F.array(done)))
 
 
 def base_failed() -> Column:
@@ -209,16 +212,18 @@ def learn(labelled: DataFrame, names: tuple[str, ...], precision: float = 0.95,
     return rules
 
 
-def learn_from(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learns from the labelled documents that the base rules keep; label ``quality`` 0 is bad."""
+def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Learns from labelled documents that the base rules keep; label ``quality`` 0 is bad."""
     known = (
         labels.where(F.col("quality").isin(0, 1))
-        .select("doc_id", (1 - F.col("quality")).alias("bad"), F.xxhash64("doc_id").alias("order"))
-        .orderBy("order", "doc_id", "bad").limit(sample_rows)
+        .select("doc_id", (1 - F.col("quality")).alias("__llm_bad"), F.xxhash64("doc_id").alias("__llm_hash"))
+        .orderBy("__llm_hash", "doc_id", "__llm_bad").limit(sample_rows)
     )
-    rows = stats.join(F.broadcast(known), "doc_id").where(~base_failed())
-    held = cut_lineage(rows.withColumn("pruning", F.pmod("order", F.lit(3)) == 0).drop("order", "doc_id"))
-    return learn(held, RATIOS + ("n_words",))
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).where(~base_failed())
+    held = cut_lineage(rows.select(
+        *RATIOS, "n_words", F.col(f"{ROW}.__llm_bad").alias("bad"), (F.pmod(f"{ROW}.__llm_hash", F.lit(3)) == 0).alias("pruning")
+    ))
+    return learn(held, (*RATIOS, "n_words"))
 
 
 def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -229,6 +234,10 @@ def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics, rule and verdict of every document. The texts are read once."""
-    stats = cut_lineage(statistics(docs))
-    return judge(stats, learn_from(stats, labels))
+    """Row, statistics, rule and verdict of every document."""
+    return judge(statistics(docs), learn_from(docs, labels))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that neither a base rule nor a learned one rejects."""
+    return quality(docs, labels).where("kept").select(f"{ROW}.*")
