@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casario.llm import chat, decontaminate, lines, mixing, neardup, rules, urls
+from casario.llm import chat, decontaminate, lines, mixing, neardup, privacy, rules, toxicity, urls
 from casario.llm.frames import table
 from casario.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label")).where(~held_out)
+    score = F.col("__llm_score")
+    return toxicity.score(docs, *toxicity.learn(docs, labels)).select(
+        "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     judged = rules.quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
@@ -44,6 +55,15 @@ SELECT doc_id, count(*) AS n_lines, count(s.key) AS n_dropped,
 FROM lined l LEFT JOIN shared s ON l.key = s.key GROUP BY doc_id"""
 
 
+def op5_private_terms(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    found = privacy.private_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *(F.col(f"n_{kind}") for kind in privacy.KINDS), "base_sha256",
+        privacy.written(F.concat("spans", "term_spans")).alias("spans"),
+    )
+
+
 def op6_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
@@ -181,8 +201,10 @@ FROM split LEFT JOIN copies USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op4_line_dedup": op4_line_dedup,
+    "op5_private_terms": op5_private_terms,
     "op6_temperature_mix": op6_temperature_mix,
     "op7_decontamination": op7_decontamination,
     "op8_chat_format": op8_chat_format,
