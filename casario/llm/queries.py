@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casario.llm import chat, decontaminate, lines, mixing, neardup, privacy, rules, toxicity, urls
+from casario.llm import chat, decontaminate, lines, mixing, neardup, privacy, rules, substrings, toxicity, urls
 from casario.llm.frames import table
 from casario.session import configure
 
@@ -31,6 +31,16 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(f"{rules.ROW}.doc_id", *rules.BASE, "base_failed", "kept", "rule")
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    cut = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    length, left = F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), F.octet_length("__llm_kept").cast("long")
+    return cut.select(
+        "doc_id", length.alias("n_bytes"), (length - left).alias("n_removed"),
+        F.size("__llm_spans").cast("long").alias("n_spans"), F.sha2("__llm_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     kept = lines.drop_shared_lines(table(spark, folder, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -203,6 +213,7 @@ FROM split LEFT JOIN copies USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_private_terms": op5_private_terms,
     "op6_temperature_mix": op6_temperature_mix,
