@@ -4,7 +4,7 @@
    class; from here on there is one row per class, so copies cost nothing more.
 2. Band and row counts follow from the threshold and the target recall. Classes that share a band hash are a
    group. Groups with the same members are found by sums over members and kept once.
-3. Members of groups fetch their sets, one row per (group, member). A group of more than ``BLOCK`` classes is
+3. Members of groups fetch their sets, one row per (group, member). A group of more than ``block`` classes is
    cut into blocks, and each pair of blocks is one unit of work. Within a unit, intersections come from products of
    0/1 matrices over chunks of shared grams; a pair is counted in the first group that it shares.
 4. Units return per class the number of linked documents and one edge of a spanning forest, never pairs. Components
@@ -227,7 +227,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, block: int = BLOCK) -> DataFrame:
     """(doc_id, k2, copy_class, component, copies, links) of every document.
 
     ``copy_class`` is null for texts without words. ``links`` counts the other documents that a document is linked with,
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         _fetch(n), "s long, copies long, groups array<struct<g:long,c:long>>, grams binary"
     )
     each = sets.select("s", "copies", "grams", F.col("groups.g").alias("groups"), F.explode("groups").alias("e"))
-    blocks = F.ceil(F.col("e.c") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("e.c") / block).cast("int")
     mine = F.pmod(F.xxhash64("s"), blocks).cast("int")
     units = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(
         F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), (mine > other).cast("int").alias("side"), (mine != other).alias("cross")

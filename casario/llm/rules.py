@@ -149,6 +149,8 @@ def _counts(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[lis
         F.struct(F.lit(n).alias("name"), _cell(F.col(n), points).alias("cell")) for n, points in cuts.items() if points
     ))
     table = {n: [[0, 0] for _ in range(len(points) + 1)] for n, points in cuts.items()}
+    if not any(cuts.values()):
+        return table
     for row in rows.select("bad", F.inline(cells)).groupBy("name", "cell", "bad").count().collect():
         table[row["name"]][row["cell"]][row["bad"]] = row["count"]
     return table

@@ -169,7 +169,7 @@ def _spans(flags: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
 
 
-def _shards(length: int):
+def _shards(length: int, shard_bytes: int):
     def solve(rows: list[dict]) -> pa.RecordBatch:
         flags, _, hashes = repeated_windows([r["raw"] for r in rows], length)
         ends = np.cumsum([len(f) for f in flags])
@@ -188,7 +188,7 @@ def _shards(length: int):
         for batch in batches:
             for row in batch.to_pylist():
                 at = (row["anchor"], row["part"])
-                if at != key and size >= SHARD_BYTES:
+                if at != key and size >= shard_bytes:
                     yield solve(held)
                     held, size = [], 0
                 key = at
@@ -200,7 +200,7 @@ def _shards(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, k2, spans) of documents with repeated strings: byte ranges that they cover, overlapping as found."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = with_key(docs.select("doc_id", "text")).select("doc_id", K2, "text")
@@ -221,11 +221,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ).agg(F.collect_list(F.struct("anchor", "contents", "content", "one.start", "one.windows")).alias("wanted"))
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col(K2) == F.col("__llm_same"))).select("wanted", "text")
     cut = texts.mapInArrow(_cut_out(length), "anchor long, contents long, content long, windows int, raw binary").dropDuplicates(["anchor", "content"])
-    parts = F.ceil(F.col("contents") * (2 * length) / SHARD_BYTES).cast("int")
+    parts = F.ceil(F.col("contents") * (2 * length) / shard_bytes).cast("int")
     spread = cut.withColumn("parts", parts).withColumn("part", F.pmod("content", F.col("parts")).cast("int"))
     solved = cut_lineage(
         spread.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-        .mapInArrow(_shards(length), "anchor long, content long, spans array<struct<a:int,b:int>>, hashes array<long>")
+        .mapInArrow(_shards(length, shard_bytes), "anchor long, content long, spans array<struct<a:int,b:int>>, hashes array<long>")
     )
     within = solved.where(F.size("spans") > 0).select("anchor", "content", "spans")
     open_ = solved.where(F.size("hashes") > 0).select("anchor", "content", F.posexplode("hashes").alias("a", "hash"))
@@ -251,9 +251,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with ``__llm_kept`` (bytes left, as binary: a cut may fall inside a character) and ``__llm_spans`` (removed ranges)."""
-    spans = repeated_spans(docs, length).select(
+    spans = repeated_spans(docs, length, shard_bytes).select(
         F.col("doc_id").alias("__llm_id"), F.col(K2).alias("__llm_same"), F.col("spans").alias("__llm_found")
     )
     joined = with_key(docs).join(

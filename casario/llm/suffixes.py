@@ -1,4 +1,4 @@
-"""Suffix arrays in numpy: refinement by doubling, common prefixes, binary search.
+"""Suffix arrays in numpy: refinement by doubling and binary search.
 
 Symbols are positive integers; 0 ends a string and matches nothing, not even another 0.
 """
@@ -68,30 +68,6 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(codes: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of each suffix of ``sa`` with the one before it, counted up to ``depth`` symbols.
-
-    Kasai's bound, a prefix loses at most one symbol from a place to the next, is applied to all places at
-    once: a prefix measured at one place bounds those of the places after it, so doubling strides find all.
-    """
-    runs = run_lengths(codes)
-    lcp = np.zeros(len(sa), dtype=np.int64)
-    if len(sa) < 2:
-        return lcp
-    a, b = sa[1:], sa[:-1]
-    limit = np.minimum(np.minimum(runs[a], runs[b]), depth)
-    open_ = np.flatnonzero(limit > 0)
-    found = np.zeros(len(a), dtype=np.int64)
-    while len(open_):
-        x, y = a[open_] + found[open_], b[open_] + found[open_]
-        same = codes[x] == codes[y]
-        open_ = open_[same]
-        found[open_] += 1
-        open_ = open_[found[open_] < limit[open_]]
-    lcp[1:] = found
-    return lcp
-
-
 def _below(codes: np.ndarray, at: np.ndarray, queries: np.ndarray, lengths: np.ndarray, after: bool) -> np.ndarray:
     """Whether the suffix at each place sorts before its query; with ``after``, also if it starts with it."""
     verdict = np.full(len(at), after)
