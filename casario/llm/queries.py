@@ -80,6 +80,52 @@ def op6_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "place")
 
 
+OP6_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS s,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+         CAST('0x' || substr(md5('doc|' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 13) AS BIGINT) AS spot
+  FROM documents),
+totals AS (SELECT s, sum(n) AS tokens FROM docs GROUP BY s HAVING sum(n) > 0),
+sources AS (SELECT s, tokens, tokens / (sum(tokens) OVER ()) AS p, sum(tokens) OVER () AS total, count(*) OVER () AS k FROM totals),
+-- one bisection for the entropy, one for the repetition limit
+bounds(step, lo, hi, mid) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END, CASE WHEN ok THEN (mid + hi) / 2 ELSE (lo + mid) / 2 END
+  FROM (SELECT b.*, (SELECT ln(sum(exp(b.mid * ln(p)))) - sum(exp(b.mid * ln(p)) * b.mid * ln(p)) / sum(exp(b.mid * ln(p)))
+                            >= 0.97 * ln(max(k)) - 1e-12 FROM sources) AS ok FROM bounds b WHERE step < 40)),
+limits(step, lo, hi, mid) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END, CASE WHEN ok THEN (mid + hi) / 2 ELSE (lo + mid) / 2 END
+  FROM (SELECT b.*, (SELECT max(exp(b.mid * ln(p)) / p) / sum(exp(b.mid * ln(p))) > 4 + 1e-12 FROM sources) AS ok FROM limits b WHERE step < 40)),
+even AS (SELECT -sum(p * ln(p)) >= 0.97 * ln(max(k)) - 1e-12 AS at_one, max(1 / p) / max(k) > 4 + 1e-12 AS over_at_zero FROM sources),
+power AS (
+  SELECT round(greatest(CASE WHEN at_one THEN 1 ELSE (SELECT lo FROM bounds WHERE step = 40) END,
+                        CASE WHEN over_at_zero THEN (SELECT hi FROM limits WHERE step = 40) ELSE 0 END), 6) AS a FROM even),
+weighted AS (
+  SELECT s, tokens, total, exp(a * ln(p)) / sum(exp(a * ln(p))) OVER () AS weight, CAST(least(256, ceil(tokens / 20000)) AS BIGINT) AS blocks
+  FROM sources, power),
+budgets AS (SELECT *, CAST(floor(weight * total) AS BIGINT) AS budget FROM weighted),
+placed AS (
+  SELECT doc_id, source, n, spot, d.s, weight, blocks, spot % blocks AS block, budget // tokens AS passes, budget % tokens AS rest
+  FROM docs d JOIN budgets b ON d.s = b.s),
+sized AS (SELECT s, block, any_value(rest) AS rest, sum(n) AS size FROM placed GROUP BY s, block),
+permuted AS (
+  SELECT s, block, size, row_number() OVER w AS place, rest - coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining
+  FROM (SELECT *, md5('block|' || s || '|' || CAST(block AS VARCHAR)) AS h FROM sized)
+  WINDOW w AS (PARTITION BY s ORDER BY substr(h, 1, 13), block)),
+ordered AS (
+  SELECT p.*, place, remaining, size,
+         coalesce(sum(n) OVER (PARTITION BY p.s, p.block ORDER BY spot, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed p JOIN permuted q ON p.s = q.s AND p.block = q.block),
+taken AS (SELECT *, passes + CASE WHEN remaining > 0 AND (remaining >= size OR before < remaining) THEN 1 ELSE 0 END AS times FROM ordered)
+SELECT doc_id, source, CAST(n AS BIGINT) AS n_tokens, round(weight, 6) AS weight, CAST(unnest(range(1, CAST(times AS BIGINT) + 1)) AS BIGINT) AS epoch,
+       CAST(block AS INTEGER) AS block, CAST(place AS INTEGER) AS place
+FROM taken WHERE times > 0"""
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -222,4 +268,4 @@ QUERIES: dict[str, Query] = {
     "op9_url_lists": op9_url_lists,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_lists": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_temperature_mix": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_url_lists": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
