@@ -13,8 +13,8 @@ from casario.schemas import SEGMENT
 
 TABLE_COLUMNS = ("title", "usable_area", "type_unit", "estacao", "distance", "total_fee", "total_fee_predict")
 PAGE_SIZE = 25
-# Up to this many rows a page is one top-k; deeper pages are located by position first.
-TOP_K_ROWS = 100_000
+# The first pages are one top-k, as each task keeps this many rows at most; deeper ones are located by position.
+TOP_K_ROWS = 40 * PAGE_SIZE
 
 
 def in_segment(df: DataFrame, business_type: str, listing_type: str, location_id: str) -> DataFrame:
@@ -44,7 +44,7 @@ def display_rounded(df: DataFrame) -> DataFrame:
 
 
 def sort_columns(sort_by: list[tuple[str, str]], key: str = "url") -> list[Column]:
-    """Caller's (column, asc|desc) list, nulls last both ways, the key as last resort."""
+    """Caller's (column, asc|desc) list, nulls last both ways, then the key."""
     chosen = sort_by or [("error", "asc")]
     order = [F.col(c).asc_nulls_last() if d == "asc" else F.col(c).desc_nulls_last() for c, d in chosen]
     return [*order, F.col(key).asc_nulls_last()]
@@ -58,15 +58,19 @@ def page_of(
     key: str = "url",
     top_k: int = TOP_K_ROWS,
 ) -> DataFrame:
-    """Rows ``[page*size, (page+1)*size)`` of the sorted result."""
-    order = sort_columns(sort_by or [], key)
+    """Rows ``[page*size, (page+1)*size)`` of the sorted result.
+
+    Null and repeated keys are rows like others; rows that tie in order and key follow the text of the row, so a page
+    holds the same rows however deep it lies.
+    """
+    whole = F.to_json(F.struct(*df.columns))
+    order = [*sort_columns(sort_by or [], key), whole]
     start = page * size
     if start + size <= top_k:
         return df.orderBy(*order).offset(start).limit(size)
-    names = list(dict.fromkeys([*[c for c, _ in (sort_by or [("error", "asc")])], key]))
-    found = keys_at(df, order, names, list(range(start, start + size)))
-    urls = [row[key] for row in found.values()]
-    return df.where(F.col(key).isin(urls)).orderBy(*order)
+    found = keys_at(df, order, df.columns, list(range(start, start + size)))
+    rows = [tuple(row[c] for c in df.columns) for _, row in sorted(found.items())]
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def table_page(

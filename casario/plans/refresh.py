@@ -23,7 +23,7 @@ def moment(as_of: dt.datetime) -> Column:
 def observe(
     pages: DataFrame, requests: DataFrame, stations: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Landed pages to (usable listings with their station, rejects)."""
+    """Landed pages to (usable listings with their station, rejects). Rejects are records and whole pages, with reasons."""
     good = page_source.before_first_failure(pages)
     # usable rows, rejects and the station search all read it: parse the pages once
     cleaned = cut_lineage(clean.clean_listings(page_source.stamp(page_source.records(good), requests)))
@@ -36,7 +36,7 @@ def observe(
                 ("linha", "string"), ("estacao", "string"), ("lat_metro", "double"),
                 ("lon_metro", "double"), ("distance", "double"))}
         )
-    return usable, clean.rejected(cleaned)
+    return usable, clean.rejected(cleaned).unionByName(page_source.rejected_pages(pages, requests))
 
 
 def merge_into(store: Store, batch: DataFrame, force: bool = False, **columns) -> None:
@@ -54,12 +54,15 @@ def merge_into(store: Store, batch: DataFrame, force: bool = False, **columns) -
 
 
 def activate(store: Store, segments: DataFrame, batch: DataFrame, as_of: dt.datetime) -> None:
-    """Replaces the given segments of the active set by the urls of the batch."""
+    """Replaces the given segments of the active set by the urls of the batch.
+
+    New rows are written before old ones are dropped: a job that dies in between leaves no segment empty.
+    """
     rows = batch.select("url", *SEGMENT, "seq").withColumn("updated_date", moment(as_of))
     surviving = upsert.without_segments(store.read("active"), segments)
     fresh = cut_lineage(upsert.new_active(rows, surviving))
-    store.clear_segments(segments)
-    store.append("active", fresh)
+    store.replace_partitions("active", fresh)
+    store.clear_segments(segments.select(*SEGMENT).join(fresh.select(*SEGMENT).distinct(), list(SEGMENT), "left_anti"))
 
 
 def score_active(store: Store, model: PipelineModel, encoding: DataFrame, segments: DataFrame, as_of: dt.datetime) -> bool:

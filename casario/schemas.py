@@ -78,10 +78,11 @@ CONTEXT_FIELDS = (
 
 RECORD_STRUCT = "struct<" + ",".join(f"{n}:{t}" for n, t in RECORD_FIELDS.items()) + ">"
 
-# A landed page: the response body under `search`, next to what was asked for.
+# A landed page: the response body under `search`, next to what was asked for. Records stay the
+# text they are, so fields that no schema names are kept.
 PAGE = (
     "origin string, request_id string, page int, status int, "
-    f"search struct<totalCount:bigint,result:struct<listings:array<{RECORD_STRUCT}>>>, _corrupt_record string"
+    "search struct<totalCount:bigint,result:struct<listings:array<string>>>, _corrupt_record string"
 )
 
 REQUIRED = (

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from casario.schemas import CONTEXT_FIELDS, PAGE, RECORD_FIELDS
+from casario.schemas import CONTEXT_FIELDS, PAGE, RECORD_FIELDS, RECORD_STRUCT
 from casario.session import cut_lineage
 
 PAGE_SIZE = 24
@@ -33,9 +34,33 @@ def read_pages(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Data
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
+def corrupt(pages: DataFrame) -> Column:
+    """Lines that are no JSON object; a reader that stops at them has no such column."""
+    return F.col("_corrupt_record").isNotNull() if "_corrupt_record" in pages.columns else F.lit(False)
+
+
 def malformed(pages: DataFrame) -> DataFrame:
     """Page documents without a search envelope."""
-    return pages.where(F.col("search").isNull() & (F.coalesce(F.col("status"), F.lit(200)) < 400))
+    return pages.where(~corrupt(pages) & F.col("search").isNull() & (F.coalesce(F.col("status"), F.lit(200)) < 400))
+
+
+def rejected_pages(pages: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Pages that hold no listings, as rejects with reason and text: broken lines, and bodies without an envelope.
+
+    With ``requests`` only bodies of these are returned; a broken line does not say whose it is.
+    """
+    bodies = malformed(pages)
+    if requests is not None:
+        bodies = bodies.join(requests.select("origin", "request_id"), ["origin", "request_id"], "left_semi")
+    text = F.to_json(F.struct("origin", "request_id", "page", "status"))
+    none = F.lit(None).cast("string").alias("url")
+    out = bodies.select(none, "origin", F.array(F.lit("malformed_page")).alias("reject_reasons"), text.alias("raw"))
+    if "_corrupt_record" not in pages.columns:
+        return out
+    broken = pages.where(corrupt(pages)).select(
+        none, "origin", F.array(F.lit("corrupt_page")).alias("reject_reasons"), F.col("_corrupt_record").alias("raw")
+    )
+    return out.unionByName(broken)
 
 
 def total_listings(pages: DataFrame) -> DataFrame:
@@ -64,26 +89,54 @@ def before_first_failure(
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """One row per listing record, with page, position and the request it belongs to."""
+    """One row per listing record: page, position, request, typed fields, and the record's own text."""
     return (
         pages.where(F.col("search").isNotNull())
-        .select("origin", "request_id", "page", F.posexplode("search.result.listings").alias("position", "record"))
-        .select("origin", "request_id", "page", "position", "record.*")
+        .select("origin", "request_id", "page", F.posexplode("search.result.listings").alias("position", "record_text"))
+        .select(
+            "origin", "request_id", "page", "position", "record_text",
+            F.inline(F.array(F.from_json("record_text", RECORD_STRUCT))),
+        )
     )
 
 
+def overlaid(text: Column, context: Column) -> Column:
+    """A JSON object's text with the fields of another put behind its own, where they win on equal names."""
+    body, more = F.rtrim(text), F.to_json(context)
+    inside = F.rtrim(F.substring(body, F.lit(1), F.length(body) - 1))
+    empty = F.ltrim(F.substring(inside, 2, 1 << 30)) == ""
+    return F.when(
+        body.endswith("}"), F.concat(inside, F.when(empty, "").otherwise(","), F.substring(more, F.lit(2), F.length(more)))
+    ).otherwise(more)
+
+
+def numbered(requests: DataFrame) -> DataFrame:
+    """Requests with ``request_seq``, the order in which they count: the caller's, or that of their names.
+
+    One row per search, so numbering them is a window over a short list.
+    """
+    if "request_seq" in requests.columns:
+        return requests
+    order = Window.orderBy("origin", "request_id")
+    return requests.withColumn("request_seq", F.dense_rank().over(order))
+
+
 def stamp(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """Overlays the search context on every record; the context wins on equal names."""
+    """Overlays the search context on every record; the context wins on equal names.
+
+    ``raw`` is the record as landed with the context in it. ``seq`` orders records over all requests.
+    """
     own = [c for c in rows.columns if c not in CONTEXT_FIELDS or c == "origin"]
-    context = requests.select("request_id", *CONTEXT_FIELDS)
+    context = numbered(requests).select("request_id", "request_seq", *CONTEXT_FIELDS)
     stamped = rows.select(*own).join(context, ["origin", "request_id"])
-    raw = F.to_json(F.struct(*RECORD_FIELDS, *CONTEXT_FIELDS))
-    return stamped.withColumns({"raw": raw, "seq": sequence_number(F.col("page"), F.col("position"))})
+    raw = overlaid(F.col("record_text"), F.struct(*CONTEXT_FIELDS))
+    seq = sequence_number(F.col("request_seq"), F.col("page"), F.col("position"))
+    return stamped.withColumns({"raw": raw, "seq": seq}).drop("record_text", "request_seq")
 
 
-def sequence_number(page: Column, position: Column, per_page: int = 1_000_000) -> Column:
-    """Order of a record within its request."""
-    return page.cast("bigint") * F.lit(per_page) + position
+def sequence_number(request: Column, page: Column, position: Column) -> Column:
+    """Order of a record: by request, page and position; room for a million records a page and pages a request."""
+    return (request.cast("bigint") * F.lit(1_000_000) + page) * F.lit(1_000_000) + position
 
 
 def raw_records(stored: DataFrame) -> DataFrame:
