@@ -10,7 +10,7 @@ from casario.operators import clean
 from casario.plans.catalog import views
 from casario.plans.catalog.registry import query
 from casario.schemas import CONTEXT_FIELDS, RECORD_STRUCT
-from casario.session import scratch_path
+from casario.session import cut_lineage, scratch_path
 from casario.sources import pages
 
 
@@ -302,8 +302,8 @@ PER_PAGE = 24
 def landed_documents(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     """Writes the documents as page files, up to 24 per page, and returns path and requests.
 
-    A page's records are gathered by page, never by source. Page 3 of a request answers
-    with an error, and some files hold an error body instead of a search result.
+    A page's records are gathered by page, never by source. Page 7 of a request has no search result, and records have
+    fields that no schema names.
     """
     docs = views.table(spark, folder, "documents").select(
         F.concat(F.lit("portal"), (F.col("doc_id") % 2).cast("string")).alias("origin"),
@@ -314,8 +314,10 @@ def landed_documents(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     record = F.struct(
         F.struct(
             F.col("text").alias("description"), F.lit("").alias("title"), F.col("n_chars").cast("string").alias("usableAreas"),
+            F.struct(F.col("doc_id").alias("number")).alias("unlisted"),
         ).alias("listing"),
-        F.struct(F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("href")).alias("link"),
+        F.struct(F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("href"), F.lit("name").alias("name")).alias("link"),
+        F.array("n_chars").alias("unknown"),
     )
     counted = docs.groupBy("origin", "request_id").agg(F.count(F.lit(1)).alias("totalCount"))
     found = (
@@ -357,6 +359,39 @@ def ingest_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "raw_roundtrip",
+    """SELECT 'https://portal' || CAST(doc_id % 2 AS VARCHAR) || '.example/d/' || CAST(doc_id AS VARCHAR) AS url,
+  CAST(doc_id AS VARCHAR) AS number, 'name' AS name, CAST(n_chars AS VARCHAR) AS unknown, 'zone ' || lang AS zone, md5(text) AS text_md5
+FROM documents WHERE (doc_id // 48 + 1) % 50 <> 7""",
+)
+def raw_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of the landed records that no schema names, read back out of ``raw``."""
+    path, requests = landed_documents(spark, folder)
+    rows = pages.stamp(pages.records(pages.read_pages(spark, path)), requests)
+
+    def field(name: str) -> Column:
+        return F.get_json_object("raw", f"$.{name}")
+
+    return rows.select(
+        F.concat("site", "link.href").alias("url"), field("listing.unlisted.number").alias("number"), field("link.name").alias("name"),
+        field("unknown[0]").alias("unknown"), field("zone").alias("zone"), F.md5(field("listing.description")).alias("text_md5"),
+    )
+
+
+@query(
+    "page_rejects",
+    """SELECT 'malformed_page' AS reason, count(DISTINCT (doc_id % 2, lang, doc_id // 48)) AS pages FROM documents WHERE (doc_id // 48 + 1) % 50 = 7
+UNION ALL SELECT 'corrupt_page', count(DISTINCT (doc_id % 2, lang)) FROM documents""",
+)
+def page_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that hold no listings, by reason: bodies without a search result, and one broken line for each request."""
+    path, requests = landed_documents(spark, folder)
+    requests.select(F.concat(F.lit('{"origin": "'), "origin", F.lit('", "request_id": '), "request_id")).write.mode("append").text(path)
+    rejects = cut_lineage(pages.rejected_pages(pages.read_pages(spark, path), requests))
+    return rejects.groupBy(F.get("reject_reasons", F.lit(0)).alias("reason")).agg(F.count(F.lit(1)).alias("pages"))
+
+
 @query(
     "page_totals",
     """SELECT 'portal' || CAST(doc_id % 2 AS VARCHAR) AS origin, lang AS request_id, count(*) AS total,

@@ -366,9 +366,16 @@ def training_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    f"""WITH {views.OFFERS} SELECT least(50, count(*)) AS rows, least(50, count(*)) AS urls, least(50, count(*)) AS known FROM offers""",
+)
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return sample(views.offers(spark, folder).select("url", "total_fee"), 50, seed=train.RANDOM_STATE)
+    """Size of a random sample, its distinct urls, and how many of them are offers."""
+    offers = views.offers(spark, folder).select("url", "total_fee")
+    taken = cut_lineage(sample(offers, 50, seed=train.RANDOM_STATE))
+    known = taken.join(offers, ["url", "total_fee"], "left_semi").agg(F.count(F.lit(1)).alias("known"))
+    return taken.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("url").alias("urls")).crossJoin(known)
 
 
 def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
@@ -384,32 +391,75 @@ def _frame(spark: SparkSession, folder: str) -> DataFrame:
 _SMALL = {"n_estimators": 5, "max_depth": 4}
 
 
-@query("oof_predict")
+@query(
+    "oof_predict",
+    f"""WITH {views.OFFERS}, sized AS (
+  SELECT url, CAST(bedrooms AS DOUBLE) AS x, total_fee AS y, row_number() OVER (ORDER BY url) - 1 AS pos, count(*) OVER () AS n FROM offers),
+folded AS (
+  SELECT *, CAST(CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1)
+    ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END + 1 AS INTEGER) AS fold FROM sized),
+fits AS (
+  SELECT f.fold, regr_slope(y, x) AS slope, regr_intercept(y, x) AS base
+  FROM (SELECT DISTINCT fold FROM folded) f JOIN folded r ON r.fold <> f.fold GROUP BY f.fold)
+SELECT url, fold, round(base + slope * x, 1) AS prediction FROM folded JOIN fits USING (fold)""",
+)
 def oof_predict(spark: SparkSession, folder: str) -> DataFrame:
-    model = train.create_model(features.feature_names(), "LinearRegression", transformer_x=True)
-    return train.out_of_fold(_frame(spark, folder), model).select("url", "fold", F.round("prediction", 2).alias("prediction"))
+    """Five contiguous folds by url, each predicted by least squares over one feature fitted on the other four."""
+    frame = cut_lineage(views.offers(spark, folder).select("url", F.col("bedrooms").cast("double").alias("bedrooms"), F.col("total_fee").alias("label")))
+    model = train.create_model(["bedrooms"], "LinearRegression")
+    return train.out_of_fold(frame, model).select("url", "fold", F.round("prediction", 1).alias("prediction"))
 
 
-@query("train_score")
+@query(
+    "train_score",
+    f"""WITH {views.LISTING} SELECT count(*) AS rows, count(*) AS predicted, true AS better_than_mean FROM listing""",
+)
 def train_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Fit on all rows, store the model, load it and score the active rows."""
+    """Fit on all rows, store the model, load it and score the same rows; its error against that of the mean."""
     frame = _frame(spark, folder)
-    model = train.create_model(features.feature_names(), "LGBMRegressor", transformer_x=True, transformer_y=True, **_SMALL)
+    model = train.create_model(features.feature_names(), "LGBMRegressor", transformer_x=True, **_SMALL)
     store = Store(spark, scratch_path(spark, "model"))
     store.save_model(model.fit(frame))
-    scored = store.load_model().transform(frame)
-    return train.score(scored)
+    scored = store.load_model().transform(frame).select("label", "prediction")
+    mean = frame.agg(F.avg("label").alias("mean"))
+    return scored.crossJoin(F.broadcast(mean)).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("predicted"),
+        (F.avg((F.col("label") - F.col("prediction")) ** 2) < F.avg((F.col("label") - F.col("mean")) ** 2)).alias("better_than_mean"),
+    )
+
+
+def _searched(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """A seeded random search, small trees, both tree families."""
+    limits = {"n_estimators": (2, 4), "max_depth": (2, 4)}
+    families = ["RandomForestRegressor", "LGBMRegressor"]
+    return train.search(spark, frame, features.feature_names(), n_trials=2, folds=2, families=families, limits=limits)
 
 
-@query("model_search")
+@query(
+    "model_search",
+    """SELECT 'run' || lpad(CAST(r AS VARCHAR), 5, '0') AS run_id, CAST(f AS INTEGER) AS fold, true AS has_error, true AS has_model
+FROM range(2) runs(r), range(1, 3) folds(f)""",
+)
 def model_search(spark: SparkSession, folder: str) -> DataFrame:
-    """A seeded random search over two families, the best admissible run refitted on all rows."""
+    """One row per run and fold of a search."""
+    found = _searched(spark, _frame(spark, folder))
+    return found.select(
+        "run_id", "fold", (F.col("metrics")["test_mae"] > 0).alias("has_error"), F.col("params")["model"].isNotNull().alias("has_model")
+    )
+
+
+@query(
+    "publish_model",
+    f"""WITH {views.ACTIVE} SELECT count(*) AS rows, count(*) AS predicted FROM listing WHERE url IN (SELECT url FROM active)""",
+)
+def publish_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The best run of a search refitted on all rows, stored, loaded, and applied to the active listings."""
     frame = _frame(spark, folder)
-    limits = {"n_estimators": (2, 4), "max_depth": (2, 4)}
-    names = features.feature_names()
-    found = train.search(spark, frame, names, n_trials=2, folds=2, families=["RandomForestRegressor"], limits=limits)
-    best = train.summarise(found).orderBy(F.col("metrics")["test_mae"], "run_id")
-    return best.select("run_id", F.col("metrics")["test_mae"].alias("test_mae"), F.col("params")["model"].alias("model"))
+    best, _ = train.publish_best(train.summarise(_searched(spark, frame)), frame, features.feature_names())
+    store = Store(spark, scratch_path(spark, "published"))
+    store.save_model(best)
+    wanted = frame.join(views.active(spark, folder).select("url"), "url", "left_semi")
+    return store.load_model().transform(wanted).agg(F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("predicted"))
 
 
 @query("empty_guard", f"WITH {views.LISTING} SELECT url FROM listing WHERE location_id = 'none'")

@@ -90,6 +90,33 @@ def test_refresh_cycle_end_to_end(spark, tmp_path):
     assert refresh.current(store, *segment).count() == 0 and store.read("listing").count() == 3
 
 
+def test_same_url_in_two_requests(spark, tmp_path):
+    """Requests are taken one after the other, in the caller's order or that of their names."""
+    asked = requests(spark, request_id="r1").union(requests(spark, request_id="r2"))
+    (tmp_path / "in").mkdir()
+    first, later = record("/1"), record("/1", updatedAt="2021-06-09T10:00:00Z", extra={"kept": [1, 2.50]})
+    (tmp_path / "in" / "a.json").write_text("\n".join([
+        page([later], request_id="r2"), page([first], request_id="r1"), "{broken", page(None, number=9, request_id="r2"),
+    ]))
+    for k, (order, day) in enumerate([(None, 9), ({"r1": 2, "r2": 1}, 1)]):
+        numbered = asked if order is None else asked.withColumn("request_seq", F.when(F.col("request_id") == "r1", order["r1"]).otherwise(order["r2"]))
+        store = Store(spark, str(tmp_path / f"t{k}"), buckets=4)
+        rejects = refresh.refresh(store, _pages(spark, tmp_path / "in"), numbered, dt.datetime(2024, 1, 1))
+        assert sorted(r["reject_reasons"][0] for r in rejects.collect()) == ["corrupt_page", "malformed_page"]
+        row = store.read("listing").collect()
+        assert len(row) == 1 and row[0]["updated_date"].day == day
+    found = store.read("listing").first()
+    assert '"state":"Rio de Janeiro"' in found["raw"]
+
+
+def test_bucket_count_belongs_to_the_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4, listing_types={"url": "string"})
+    store.replace_partitions("listing", store.with_bucket(spark.createDataFrame([("/1",)], "url string")))
+    assert Store(spark, str(tmp_path)).buckets == 4
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path), buckets=16)
+
+
 def _pages(spark, path):
     from casario.sources.pages import read_pages
 

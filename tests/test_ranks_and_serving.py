@@ -149,3 +149,11 @@ def test_location_names(spark):
     found = locations.search_locations(directory, "tijuca").drop("place").collect()
     assert [r["name"] for r in found] == ["Tijuca, Rio de Janeiro - RJ"] and found[0]["state"] == "Rio"
     assert list(found[0].asDict())[1:] == list(LOCATION_KEYS)
+
+
+def test_pages_are_equal_at_any_depth(spark):
+    rows = [(f"/{k}", float(k % 3)) for k in range(20)] + [(None, 1.0), (None, 1.0), ("/3", 0.0), ("/4", None), (None, None)]
+    df = spark.createDataFrame(rows, "url string, error double")
+    for number in range(7):
+        shallow, deep = (serve.page_of(df, number, 4, top_k=top).collect() for top in (1000, 0))
+        assert shallow == deep
