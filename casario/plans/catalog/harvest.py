@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casario.plans.catalog import views
 from casario.plans.catalog.registry import query
+from casario.session import cut_lineage
 from casario.sources import stations
 
 _LINKS = """links AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS link FROM pages)"""
@@ -86,3 +87,57 @@ def stations_of_state(spark: SparkSession, folder: str) -> DataFrame:
     store = Store(spark, scratch_path(spark, "stations"))
     store.write_stations(rows)
     return store.stations("S1").select("uf", "linha", "estacao", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+BASE = "https://rail.example"
+
+
+def rail_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """An index page per nation, three lines each, a page per supplier as station, and its coordinates.
+
+    Line pages also link a station in a paragraph and one below another element of a cell; neither is on the line.
+    """
+    key, line = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 3).cast("string")
+    stops = views.stations(spark, folder).join(
+        views.table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", F.col("s_suppkey").alias("station_id")), "station_id"
+    ).select("*", F.concat_ws("_", F.col("s_nationkey").cast("string"), line).alias("on"))
+
+    def page(url: Column, *body: Column) -> DataFrame:
+        html = F.concat(F.lit("<html><body>"), *body, F.lit("</body></html>"))
+        return stops.select(url.alias("url"), html.alias("html"))
+
+    def gathered(by: str, url: Column, cell: Column, head: str, foot: Column) -> DataFrame:
+        rows = stops.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(cell)), "").alias("cells"))
+        return rows.select(url.alias("url"), F.concat(F.lit(f"<table>{head}"), "cells", F.lit("</table>"), foot).alias("html"))
+
+    nation = F.col("s_nationkey").cast("string")
+    line_cell = F.concat(F.lit('<tr><td><a title="line '), line, F.lit('" href="/line/'), "on", F.lit('">x</a></td><td>-</td></tr>'))
+    stop_cell = F.concat(F.lit('<tr><td><a href="/wiki/Esta_'), key, F.lit('">stop</a></td></tr>'))
+    decoys = F.lit('<p><a href="/wiki/Esta_1">near</a></p><table><tr><td><b><a href="/wiki/Esta_2">old</a></b></td></tr></table>')
+    index = gathered("s_nationkey", F.concat(F.lit(f"{BASE}/index/"), nation), line_cell, "<tr><th>Terminais</th></tr>", F.lit(""))
+    lines = gathered("on", F.concat(F.lit(f"{BASE}/line/"), "on"), stop_cell, "", decoys)
+    station = page(
+        F.concat(F.lit(f"{BASE}/wiki/Esta_"), key), F.lit('<h1 id="firstHeading">'), F.col("estacao"), F.lit("</h1>"),
+        F.lit('<a href="https://tools.wmflabs.org/geo/'), key, F.lit('">map</a>'),
+    )
+    place = page(
+        F.concat(F.lit("https://tools.wmflabs.org/geo/"), key), F.lit('<span class="geo"><span>'),
+        F.when(F.col("s_suppkey") % 11 != 0, F.col("lat").cast("string")).otherwise("none"),
+        F.lit("</span>, <span>"), F.col("lng").cast("string"), F.lit("</span></span>"),
+    )
+    seeds = stops.select(F.concat(F.lit("n"), nation).alias("uf"), F.concat(F.lit(f"{BASE}/index/"), nation).alias("url")).distinct()
+    return index.union(lines).union(station).union(place), seeds
+
+
+@query(
+    "station_harvest",
+    f"""WITH {views.STATION}
+SELECT 'n' || CAST(s_nationkey AS VARCHAR) AS uf, 'line ' || CAST(s_suppkey % 3 AS VARCHAR) AS linha, estacao,
+  '{BASE}/wiki/Esta_' || CAST(s_suppkey AS VARCHAR) AS url, round(lat, 6) AS lat, round(lng, 6) AS lng
+FROM station JOIN supplier ON s_suppkey = station_id WHERE s_suppkey % 11 <> 0""",
+)
+def station_harvest(spark: SparkSession, folder: str) -> DataFrame:
+    """Index, line, station and coordinate pages followed hop by hop; stations without coordinates are left out."""
+    pages, seeds = rail_pages(spark, folder)
+    found = stations.harvest_stations(cut_lineage(pages), cut_lineage(seeds), BASE)
+    return found.select("uf", "linha", "estacao", "url", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))

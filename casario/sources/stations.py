@@ -21,6 +21,10 @@ GEO_CLASS = "geo"
 HREF = r'<a\s[^>]*?href="([^"]*)"'
 
 
+# Elements without content, which never enclose a link.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
 class _PageFacts(HTMLParser):
     """Collects, in one pass, what the directory needs from a page."""
 
@@ -29,6 +33,8 @@ class _PageFacts(HTMLParser):
         self.heading: str | None = None
         self.title: str | None = None
         self.links: list[str] = []
+        self.cell_links: list[str] = []
+        self._open_tags: list[str] = []
         self.geo: list[str] = []
         self.line_titles: list[str] = []
         self.line_links: list[str] = []
@@ -62,6 +68,9 @@ class _PageFacts(HTMLParser):
                 self._open("th")
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
+            if self._open_tags[-2:] == ["tr", "td"]:
+                self.cell_links.append(a["href"])
+        self._enter(tag)
         for t in self._tables:
             if t["cell"] == 1 and (tag == "a" or t.get("in_a")):
                 if a.get("title"):
@@ -71,7 +80,22 @@ class _PageFacts(HTMLParser):
             if tag == "a":
                 t["in_a"] = True
 
+    def _enter(self, tag: str) -> None:
+        """Keeps the path of open elements; a cell or row ends the one before it."""
+        if tag in ("td", "th", "tr"):
+            stops = ("table", "tr") if tag != "tr" else ("table",)
+            while self._open_tags and self._open_tags[-1] not in stops and "table" in self._open_tags:
+                self._open_tags.pop()
+        if tag not in _VOID:
+            self._open_tags.append(tag)
+
+    def _leave(self, tag: str) -> None:
+        if tag in self._open_tags:
+            while self._open_tags.pop() != tag:
+                pass
+
     def handle_endtag(self, tag):
+        self._leave(tag)
         closes = self._text is not None and tag in ("h1", "h2", "title", "span", "th")
         if closes:
             self._close()
@@ -108,7 +132,7 @@ class _PageFacts(HTMLParser):
 
 FACTS = (
     "url string, heading string, title string, links array<string>, geo array<string>, "
-    "line_titles array<string>, line_links array<string>"
+    "line_titles array<string>, line_links array<string>, cell_links array<string>"
 )
 
 
@@ -120,15 +144,15 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             page.feed(html or "")
             page.close()
             rows.append(
-                (url, page.heading, page.title, page.links, page.geo, page.line_titles, page.line_links)
+                (url, page.heading, page.title, page.links, page.geo, page.line_titles, page.line_links, page.cell_links)
             )
         yield pd.DataFrame(
-            rows, columns=["url", "heading", "title", "links", "geo", "line_titles", "line_links"]
+            rows, columns=["url", "heading", "title", "links", "geo", "line_titles", "line_links", "cell_links"]
         )
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """Heading, title, links, coordinates and line table of each page (Arrow batches, no shuffle)."""
+    """Heading, title, links, coordinates, line table and links directly in table cells of each page (Arrow batches, no shuffle)."""
     return pages.select("url", "html").mapInPandas(_parse, FACTS)
 
 
@@ -167,28 +191,34 @@ def absolute(base: str, link: Column) -> Column:
 def harvest_stations(pages: DataFrame, seeds: DataFrame, base: str) -> DataFrame:
     """Follows seed -> line -> station -> coordinates and returns the station table rows.
 
+    Stations of a line are the links directly in its page's table cells.
+
     ``seeds`` has ``uf`` and ``url``; a state without seeds gives no rows. Stations
     without coordinates are left out.
     """
-    facts = page_facts(pages)
-    # duplicates of a page would multiply links: keep one per url
-    facts = facts.groupBy("url").agg(F.min(F.struct(*[c for c in facts.columns if c != "url"])).alias("f"))
-    # four hops read it: parse each page once
-    facts = cut_lineage(facts.select("url", "f.*"))
-    index = facts.join(seeds.select("url", "uf"), "url", "left_semi")
+    def facts_of(urls: DataFrame) -> DataFrame:
+        """Parses only the pages that a hop leads to, one of each url."""
+        facts = page_facts(pages.join(urls.select("url").distinct(), "url", "left_semi"))
+        facts = facts.groupBy("url").agg(F.min(F.struct(*[c for c in facts.columns if c != "url"])).alias("f"))
+        return facts.select("url", "f.*")
+
+    # each hop is written, so the next one knows how few pages it needs
+    index = facts_of(seeds)
     lines = line_index(index).join(seeds.select("url", "uf"), "url")
-    lines = lines.select("uf", "linha", absolute(base, F.col("link")).alias("link")).distinct()
-    on_line = follow(lines, facts.select("url", "links"), carry=("uf", "linha"))
-    found = (
-        on_line.select("uf", "linha", F.explode("links").alias("link"))
+    lines = cut_lineage(lines.select("uf", "linha", absolute(base, F.col("link")).alias("link")).distinct())
+    on_line = follow(lines, facts_of(lines.select(F.col("link").alias("url"))), carry=("uf", "linha"))
+    found = cut_lineage(
+        on_line.select("uf", "linha", F.explode("cell_links").alias("link"))
         .where(F.contains("link", F.lit(STATION_LINK)))
         .select("uf", "linha", absolute(base, F.col("link")).alias("link"))
         .distinct()
     )
-    detail = follow(found, facts.select("url", "heading", "links"), carry=("uf", "linha"))
+    detail = follow(found, facts_of(found.select(F.col("link").alias("url"))), carry=("uf", "linha"))
     to_geo = F.get(F.filter("links", lambda c: F.contains(c, F.lit(COORDINATE_LINK))), F.lit(0))
-    located = detail.select("uf", "linha", F.col("heading").alias("estacao"), F.col("url").alias("page"), to_geo.alias("link"))
-    coords = facts.select(
+    located = cut_lineage(
+        detail.select("uf", "linha", F.col("heading").alias("estacao"), F.col("url").alias("page"), to_geo.alias("link"))
+    )
+    coords = facts_of(located.select(F.col("link").alias("url"))).select(
         F.col("url").alias("link"),
         F.get("geo", F.lit(0)).try_cast("double").alias("lat"),
         F.get("geo", F.lit(1)).try_cast("double").alias("lng"),
