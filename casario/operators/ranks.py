@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casario.session import cut_lineage
 
-# Cells of the value axis: 64 per factor e, each cut into 4096.
+# Cells of the value axis: 64 per octave, each cut into 4096.
 COARSE_CELLS = 64
 FINE_CELLS = 4096
 
@@ -29,21 +29,25 @@ def grouped_median(df: DataFrame, group: list[str], value: str, name: str) -> Da
     Equal values of a group are counted first. A fixed, monotone cutting of the value
     axis then locates the cell holding each middle rank from per-cell counts, and only
     that cell's distinct values are ordered. A group of any size is thus spread over
-    many tasks at every step.
+    many tasks, unless its distinct values crowd into one cell.
     """
     counted = (
         df.where(_not_null([*group, value]) & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    position = F.signum("_v") * F.log1p(F.abs(F.col("_v"))) * F.lit(float(COARSE_CELLS))
+    # octave and place within it, like the bits of a double: as fine for tiny values as for large ones
+    size = F.abs(F.col("_v"))
+    octave = F.floor(F.log2(size))
+    place = octave + size / F.pow(F.lit(2.0), octave) + F.lit(1100.0)
+    position = F.when(size > 0, F.signum("_v") * place * F.lit(float(COARSE_CELLS))).otherwise(0.0)
     cell = F.floor(position).cast("bigint")
     fine = F.floor((position - F.floor(position)) * F.lit(float(FINE_CELLS))).cast("bigint")
     counted = counted.withColumns({"_cell": cell, "_fine": fine})
     cells = counted.groupBy(*group, "_cell", "_fine").agg(F.sum("_n").alias("_n"))
     coarse = cells.groupBy(*group, "_cell").agg(F.sum("_n").alias("_n"))
 
-    # at most a few thousand cells per group (64 per factor e over the double range)
+    # COARSE_CELLS per octave: some thousands for values of any usual spread, 270,000 over the double range
     ordered = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
     ranked = coarse.withColumns(
@@ -69,7 +73,7 @@ def grouped_median(df: DataFrame, group: list[str], value: str, name: str) -> Da
         .where(holds("_k1") | holds("_k2"))
         .select(*group, "_cell", "_fine", F.col("_before").alias("_base"), "_k1", "_k2")
     )
-    # the distinct values of one fine cell
+    # the distinct values of one fine cell, which agree to a part in COARSE_CELLS * FINE_CELLS
     last = Window.partitionBy(*group, "_cell", "_fine").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
         counted.join(narrowed, [*group, "_cell", "_fine"])

@@ -182,7 +182,7 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
         "user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
         F.when(key % 11 != 0, moved).alias("seen"),
     )
-    merge = ingest.merge_stream(seen, lambda batch: refresh.merge_into(store, batch, **KEYED), f"{work}/offsets")
+    merge = ingest.merge_stream(seen, lambda batch, _: refresh.merge_into(store, batch, **KEYED), f"{work}/offsets")
     merge.awaitTermination()
     return _text(store.read("listing")).select("user_id", "event_type", "value", "ts")
 

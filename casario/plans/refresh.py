@@ -21,10 +21,13 @@ def moment(as_of: dt.datetime) -> Column:
 
 
 def observe(
-    pages: DataFrame, requests: DataFrame, stations: DataFrame | None = None
+    pages: DataFrame, requests: DataFrame, stations: DataFrame | None = None, failures: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Landed pages to (usable listings with their station, rejects). Rejects are records and whole pages, with reasons."""
-    good = page_source.before_first_failure(pages)
+    """Landed pages to (usable listings with their station, rejects). Rejects are records and whole pages, with reasons.
+
+    ``failures`` are failed pages (origin, request_id, page) of earlier batches.
+    """
+    good = page_source.before_first_failure(pages, known=failures)
     # usable rows, rejects and the station search all read it: parse the pages once
     cleaned = cut_lineage(clean.clean_listings(page_source.stamp(page_source.records(good), requests)))
     usable = clean.accepted(cleaned, keep=("seq",))

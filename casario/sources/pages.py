@@ -72,15 +72,19 @@ def failed(pages: DataFrame) -> Column:
 
 
 def before_first_failure(
-    pages: DataFrame, by: tuple[str, ...] = ("origin", "request_id"), page: str = "page", bad: Column | None = None
+    pages: DataFrame, by: tuple[str, ...] = ("origin", "request_id"), page: str = "page", bad: Column | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Pages of each request that come before its first failed one.
+    """Pages of each request that come before its first failed one. ``known`` has failed pages seen elsewhere.
 
     One failure row per request is joined back, so a request of any size is never gathered.
     The failures are few and written first: the pages are not shuffled to meet them.
     """
     bad = failed(pages) if bad is None else bad
-    cut = cut_lineage(pages.where(bad).groupBy(*by).agg(F.min(page).alias("_cut")))
+    failures = pages.where(bad).select(*by, page)
+    if known is not None:
+        failures = failures.unionByName(known.select(*by, page))
+    cut = cut_lineage(failures.groupBy(*by).agg(F.min(page).alias("_cut")))
     return (
         pages.join(cut, list(by), "left")
         .where(F.col("_cut").isNull() | (F.col(page) < F.col("_cut")))

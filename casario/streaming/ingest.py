@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from casario.plans.refresh import merge_into, observe
 from casario.schemas import PAGE
+from casario.session import cut_lineage
+from casario.sources.pages import failed
 from casario.sources.tables import Store
 
 
@@ -30,17 +32,13 @@ def fresh_observations(stream: DataFrame, key: str, date: str, delay: str) -> Da
     )
 
 
-def merge_stream(stream: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Runs ``merge`` once per trigger until all present files are taken.
+def merge_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Runs ``merge`` with the rows and number of each trigger until all present files are taken.
 
     The merge is idempotent, so a batch replayed after a failure changes nothing.
     """
-
-    def each(batch: DataFrame, _: int) -> None:
-        merge(batch)
-
     return (
-        stream.writeStream.foreachBatch(each)
+        stream.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -48,12 +46,23 @@ def merge_stream(stream: DataFrame, merge: Callable[[DataFrame], None], checkpoi
 
 
 def ingest_pages(
-    spark: SparkSession, path: str, requests: DataFrame, store: Store, checkpoint: str, stations: DataFrame | None = None
+    spark: SparkSession, path: str, requests: DataFrame, store: Store, checkpoint: str, stations: DataFrame | None = None,
+    files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """New page files to merged listings."""
+    """New page files to merged listings; rejects and failed pages are kept by trigger in the store's folder.
 
-    def merge(batch: DataFrame) -> None:
-        usable, _ = observe(batch, requests, stations)
-        merge_into(store, usable)
+    A failed page cuts its request in all later triggers, as it does within one.
+    """
 
-    return merge_stream(page_stream(spark, path), merge, checkpoint)
+    def merge(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        landed = cut_lineage(batch)
+        failures = f"{store.root}/page_failures"
+        landed.where(failed(landed)).select("origin", "request_id", "page").write.mode("overwrite").parquet(f"{failures}/trigger={number}")
+        known = session.read.schema("origin string, request_id string, page int, trigger int").parquet(failures)
+        usable, rejects = observe(landed, requests, stations, known.where(F.col("trigger") <= number))
+        rejects.write.mode("overwrite").parquet(f"{store.root}/rejects/trigger={number}")
+        # folding reads it several times
+        merge_into(store, cut_lineage(usable))
+
+    return merge_stream(page_stream(spark, path, files_per_trigger), merge, checkpoint)

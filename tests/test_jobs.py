@@ -134,6 +134,21 @@ def test_stream_ingest_takes_only_new_files(spark, tmp_path):
         assert store.read("listing").count() == want
 
 
+def test_stream_keeps_rejects_and_failures(spark, tmp_path):
+    """A page that arrives a trigger after the failed page before it is cut, and nothing rejected is lost."""
+    store = Store(spark, str(tmp_path / "tables"), buckets=4)
+    landing, asked = tmp_path / "in", requests(spark)
+    landing.mkdir()
+    (landing / "a.json").write_text("\n".join([page([record("/1"), record("/2", bedrooms="x")]), page(None, number=2, status=500), "{broken"]))
+    ingest.ingest_pages(spark, str(landing), asked, store, str(tmp_path / "offsets")).awaitTermination()
+    (landing / "b.json").write_text(page([record("/3")], number=3))
+    (landing / "c.json").write_text(page(None, number=1))
+    ingest.ingest_pages(spark, str(landing), asked, store, str(tmp_path / "offsets"), files_per_trigger=1).awaitTermination()
+    assert [r["url"][-2:] for r in store.read("listing").collect()] == ["/1"]
+    rejects = spark.read.parquet(f"{store.root}/rejects").collect()
+    assert sorted(r["reject_reasons"][0] for r in rejects) == ["corrupt_page", "malformed_page", "not_numeric:bedrooms"]
+
+
 @pytest.fixture(scope="module")
 def listings(spark):
     rng = random.Random(11)

@@ -157,3 +157,13 @@ def test_pages_are_equal_at_any_depth(spark):
     for number in range(7):
         shallow, deep = (serve.page_of(df, number, 4, top_k=top).collect() for top in (1000, 0))
         assert shallow == deep
+
+
+def test_median_of_tiny_and_huge_values(spark):
+    groups = {
+        "tiny": [k * 1e-12 for k in range(1, 2001)], "mixed": [-1e300, -2.0, -1e-300, 0.0, 5e-324, 1.0, 1e308], "zero": [0.0, 0.0, -0.0],
+        "powers": [2.0**k for k in range(-30, 31)], "near": [2.0**k - 2.0 ** (k - 52) for k in range(1, 40)], "negative": [-float(k) for k in range(100)],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    got = ranks.grouped_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "m").collect()
+    assert {r["g"]: r["m"] for r in got} == {g: statistics.median(v) for g, v in groups.items()}
