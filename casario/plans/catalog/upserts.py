@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casario.operators import serve, upsert
@@ -166,16 +166,30 @@ def refresh_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TRIGGERS = 4
+
+
+def arriving(spark: SparkSession, folder: str, by: Column) -> DataFrame:
+    """The events as a stream of ``TRIGGERS`` files, in the order of a number, one file per trigger."""
+    events = views.table(spark, folder, "events")
+    path = scratch_path(spark, "arriving")
+    shares = [k / TRIGGERS for k in range(1, TRIGGERS)]
+    cuts = events.agg(F.percentile_approx(by, shares).alias("cuts")).first()["cuts"]
+    piece = sum((F.when(by > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    for k in range(TRIGGERS):
+        events.where(piece == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "stream_upsert",
     f"WITH {views.OBSERVATION}, {views.marked_sql('observation')} {_FOLD} FROM marked GROUP BY user_id",
 )
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """The event file as a stream, merged into a stored table per trigger."""
+    """The events as a stream of several files, merged into a stored table trigger by trigger."""
     work = scratch_path(spark, "stream")
     store = Store(spark, f"{work}/tables", buckets=8, listing_types=STATE_TYPES, key="user_id")
-    schema = views.table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = arriving(spark, folder, F.col("event_id"))
     key = F.col("event_id")
     moved = F.col("ts").cast("timestamp") + F.make_dt_interval((key % 3).cast("int"))
     seen = stream.select(
@@ -192,10 +206,9 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 1 AS kept FROM events GROUP BY user_id, CAST(ts AS DATE)""",
 )
 def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    """Re-sent observations of a key and day are dropped within the watermark."""
+    """Re-sent observations of a key and day are dropped within the watermark, over several triggers in the order of time."""
     work = scratch_path(spark, "dedupe")
-    schema = views.table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = arriving(spark, folder, F.unix_micros(F.col("ts").cast("timestamp")))
     timed = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     once = ingest.fresh_observations(timed, "user_id", "ts", "2 days")
     written = (

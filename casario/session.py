@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,14 +60,34 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="casario-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder, or that of the running job, that no other run uses."""
+    return f"{_job_roots[-1] if _job_roots else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_job_roots: list[str] = []
+
+
+@contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of the work inside lie in one folder, which is deleted at the end.
+
+    Results must be written elsewhere before the end: what is read afterwards would miss its tables.
+    """
+    root = scratch_path(spark, "job")
+    _job_roots.append(root)
+    try:
+        yield root
+    finally:
+        _job_roots.remove(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -276,3 +276,14 @@ def test_scoring_writes_predictions_back(spark, listings, tmp_path):
     rows = store.read("listing").collect()
     assert all((r["total_fee_predict"] is not None) == (r["url"] < "/050") for r in rows)
     assert not refresh.score_active(store, model, encoding, segments.limit(0), dt.datetime(2024, 1, 10))
+
+
+def test_job_scratch_is_deleted(spark):
+    from pathlib import Path
+
+    from casario.session import cut_lineage, job_scratch
+
+    with job_scratch(spark) as root:
+        assert cut_lineage(spark.range(10)).count() == 10
+        assert list(Path(root.removeprefix("file://")).iterdir())
+    assert not Path(root.removeprefix("file://")).exists()
