@@ -25,6 +25,7 @@ from casario.session import cut_lineage
 
 MOST_BLOCKS = 256
 BLOCK_TOKENS = 20_000
+SPOT_BITS, CELLS = 52, 4096
 POINTS, ROUNDS = 32, 6
 # Above this many plan rows (sources times blocks) the plan is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 100_000
@@ -39,7 +40,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def _hash(*parts: Column) -> Column:
-    """52 bits of an MD5, which every SQL engine has."""
+    """``SPOT_BITS`` of an MD5, which every SQL engine has."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long")
 
 
@@ -119,14 +120,24 @@ def plan(docs: DataFrame, budget_tokens: int | None = None, entropy_share: float
         "place": F.row_number().over(permuted), "left": F.col("rest") - F.coalesce(before, F.lit(0)),
     }))
     ends = settled.where((F.col("left") > 0) & (F.col("left") < F.col("block_tokens")))
-    in_order = Window.partitionBy(SOURCE).orderBy(ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    # one block of each source is cut
-    cut = (
+    # one block of each source is cut: first by cells of its order, of which there are CELLS, then inside one cell
+    inside = (
         narrow.join(ends.select(SOURCE, "block", "blocks", "left"), SOURCE)
         .where(F.col(f"{ORDER}.{SPOT}") % F.col("blocks") == F.col("block"))
-        .withColumn("sum", F.coalesce(F.sum(TOKENS).over(in_order), F.lit(0)))
-        .where(F.col("sum") < F.col("left")).groupBy(SOURCE, "block").agg(F.max(ORDER).alias("until"))
+        .withColumn("cell", F.floor(F.col(f"{ORDER}.{SPOT}") / F.lit((1 << SPOT_BITS) // CELLS)))
+    )
+    by_cell = Window.partitionBy(SOURCE).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = inside.groupBy(SOURCE, "block", "left", "cell").agg(F.sum(TOKENS).alias("size"), F.max(ORDER).alias("last")).withColumn(
+        "start", F.coalesce(F.sum("size").over(by_cell), F.lit(0))
+    )
+    whole = F.col("start") + F.col("size") < F.col("left")
+    edge = cells.where(~whole & (F.col("start") < F.col("left"))).select(SOURCE, "cell", "start")
+    in_order = Window.partitionBy(SOURCE).orderBy(ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    last = (
+        inside.join(edge, [SOURCE, "cell"]).withColumn("sum", F.col("start") + F.coalesce(F.sum(TOKENS).over(in_order), F.lit(0)))
+        .where(F.col("sum") < F.col("left")).select(SOURCE, "block", F.col(ORDER).alias("last"))
     )
+    cut = cells.where(whole).select(SOURCE, "block", "last").unionByName(last).groupBy(SOURCE, "block").agg(F.max("last").alias("until"))
     rows = settled.join(cut, [SOURCE, "block"], "left").where((F.col("passes") > 0) | (F.col("left") > 0))
     return rows.select(SOURCE, "block", "blocks", "weight", "passes", "left", "place", "until"), totals.count() * MOST_BLOCKS
 
