@@ -170,6 +170,22 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.union(extra)))
 
 
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns),
+sized AS (
+  SELECT *, length('<|im_start|>') + length(role) + 1 + length(text) + length('<|im_end|>') + 1 + len(regexp_extract_all(text,
+    '<\\*(\|im_start\||\|im_end\||\|endoftext\||s|/s|<SYS>|</SYS>)>|\[\\*(INST|/INST)\]')) AS n FROM given)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
 def list_log(spark: SparkSession, folder: str) -> DataFrame:
     """Dated list entries: each event concerns the page of its user; its type says what happens to which pattern."""
     pages, events = table(spark, folder, "pages"), table(spark, folder, "events")
@@ -268,4 +284,4 @@ QUERIES: dict[str, Query] = {
     "op9_url_lists": op9_url_lists,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_temperature_mix": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_url_lists": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_temperature_mix": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_url_lists": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
