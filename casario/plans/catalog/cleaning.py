@@ -381,7 +381,7 @@ def raw_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "page_rejects",
-    """SELECT 'malformed_page' AS reason, count(DISTINCT (doc_id % 2, lang, doc_id // 48)) AS pages FROM documents WHERE (doc_id // 48 + 1) % 50 = 7
+    """SELECT 'malformed_page' AS reason, count(DISTINCT (doc_id % 2, lang, doc_id // 48)) AS pages FROM documents WHERE (doc_id // 48 + 1) % 50 = 7 HAVING count(*) > 0
 UNION ALL SELECT 'corrupt_page', count(DISTINCT (doc_id % 2, lang)) FROM documents""",
 )
 def page_rejects(spark: SparkSession, folder: str) -> DataFrame:
