@@ -1,13 +1,15 @@
 """Personal data: fixed patterns, and terms that reveal a protected value by the corpus's own statistics.
 
-A protected value is an address or number found by pattern. Over all documents, the words around such values are
-counted: a word reveals a value if it makes the value likely where it was not,
+A protected value is an address or number found by pattern. A word of a document is one that stands outside such
+values, wherever in the text. Over all documents, words and values are counted: a word reveals a value if it makes
+the value likely where it was not,
 
     log2( P(value | word) / P(value) ) >= ``LEAST_BITS``   and   P(value | word) >= ``GENERALISE``,
 
-with probabilities as shares of documents and at least ``LEAST_DOCS`` documents that hold both. Revealing words near that
-value are generalised to their shape, or removed if P(value | word) >= ``REMOVE``. A word that stands near a value
-once proves nothing; a name that goes with one address wherever it occurs gives the person away.
+with probabilities as shares of documents and at least ``LEAST_DOCS`` documents that hold both. A revealing word is
+generalised to its shape in every place of every document, with or without the value, or removed if
+P(value | word) >= ``REMOVE``. A word that stands with a value once proves nothing; a name that goes with one address
+wherever it occurs gives the person away.
 
 Null texts are empty. Repeated rows count as documents. Offsets are code points, ends exclusive.
 """
@@ -30,8 +32,13 @@ from casario.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
-NEAR = 8  # words before and after a value
 LEAST_DOCS, LEAST_BITS, GENERALISE, REMOVE = 3, 4.0, 0.5, 0.9
+# Values or terms sent to the tasks at once; more make more passes, whose results add up.
+BLOCK_ROWS = 2_000_000
+# So many of the most common terms are known to the tasks, which leave out pairs that their counts rule out.
+COMMON_TERMS = 200_000
+# Pairs a task hands on at once.
+PAIRS = 1 << 18
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,15 +47,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
-_CANDIDATE = r"[0-9@]"
+_CANDIDATE = re.compile("[0-9@]")
 
 Span = tuple[str, int, int]
 
 BASE_SCHEMA = (
-    "doc_id {id}, " + K2 + " long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    "spans array<struct<kind:string,start:long,end:long>>, values array<long>, "
-    "near array<struct<value:long,term:long,start:long,end:long>>"
+    "doc_id {id}, " + K2 + " long, text string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
+    "spans array<struct<kind:string,start:long,end:long>>, term_spans array<struct<kind:string,start:long,end:long>>"
 )
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_DOCUMENT, _VALUE, _TERM = range(3)  # what is counted
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -101,101 +109,179 @@ def value_number(kind: str, raw: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def nearby(text: str, spans: list[Span]) -> tuple[list[int], list[tuple[int, int, int, int]]]:
-    """(values, (value, term, start, end) of the words within ``NEAR`` words of each value, values themselves left out)."""
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    hashes, _, begin, end = words(data, np.array([0, len(data)]))
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    starts, ends = points[begin], points[end]
-    free = np.ones(len(starts), dtype=bool)
-    for _, a, b in spans:
-        low, high = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
-        free[low:high] = False
-    values, near = set(), {}
-    for kind, a, b in spans:
-        value = value_number(kind, text[a:b])
-        values.add(value)
-        low, high = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b, side="left"))
-        for k in [*range(max(low - NEAR, 0), low), *range(high, min(high + NEAR, len(starts)))]:
-            if free[k]:
-                near[value, int(starts[k])] = (value, int(hashes[k].view(np.int64)), int(starts[k]), int(ends[k]))
-    return sorted(values), sorted(near.values())
+def found_spans(text: str) -> list[Span]:
+    return base_spans(text) if _CANDIDATE.search(text) else []
+
+
+def value_numbers(text: str, spans: list[Span]) -> np.ndarray:
+    return np.array(sorted({value_number(kind, text[a:b]) for kind, a, b in spans}), dtype=np.int64)
+
+
+def free_words(column: pa.Array) -> Iterator[tuple[str, list[Span], np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, spans of values, word hashes, starts, ends) of each text; words that touch a value are left out."""
+    data, offsets = utf8(column)
+    for first, stop in chunks(offsets):
+        part = data[offsets[first] : offsets[stop]]
+        edges = offsets[first : stop + 1] - offsets[first]
+        hashes, owner, begin, end = words(part, edges)
+        points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+        bounds = np.searchsorted(owner, np.arange(stop - first + 1))
+        for k in range(stop - first):
+            text = column[first + k].as_py() or ""
+            mine = slice(bounds[k], bounds[k + 1])
+            terms, starts, ends = hashes[mine].view(np.int64), points[begin[mine]] - points[edges[k]], points[end[mine]] - points[edges[k]]
+            if spans := found_spans(text):
+                free = np.ones(len(terms), dtype=bool)
+                for _, a, b in spans:
+                    free[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = False
+                terms, starts, ends = terms[free], starts[free], ends[free]
+            yield text, spans, terms, starts, ends
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    near_type = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-    digit_or_at = re.compile(_CANDIDATE)
     for batch in batches:
-        counts, digests, spans, values, near = {k: [] for k in KINDS}, [], [], [], []
+        counts, digests, spans = {k: [] for k in KINDS}, [], []
         for cell in batch.column("text"):
-            text = cell.as_py() or ""
-            found = base_spans(text) if digit_or_at.search(text) else []
-            v, n = nearby(text, found) if found else ([], [])
+            found = found_spans(cell.as_py() or "")
             for kind in KINDS:
                 counts[kind].append(sum(s[0] == kind for s in found))
             digests.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest())
             spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-            values.append(v)
-            near.append([{"value": e, "term": t, "start": a, "end": b} for e, t, a, b in n])
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), batch.column(K2), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()),
-                pa.array(spans, span_type), pa.array(values, pa.list_(pa.int64())), pa.array(near, near_type),
+                batch.column("doc_id"), batch.column(K2), batch.column("text"), *(pa.array(counts[k], pa.int64()) for k in KINDS),
+                pa.array(digests, pa.string()), pa.array(spans, _SPANS), pa.array([[]] * len(batch), _SPANS),
             ],
-            ["doc_id", K2, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "values", "near"],
+            ["doc_id", K2, "text", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "term_spans"],
         )
 
 
-def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, documents) of each batch: every word of every text, once a document."""
+def _added(numbers: np.ndarray, docs: np.ndarray, each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by number, with one more for each of the new arrays that holds it."""
+    new, count = np.unique(np.concatenate(each), return_counts=True)
+    numbers, where = np.unique(np.concatenate((numbers, new)), return_inverse=True)
+    return numbers, np.bincount(where, weights=np.concatenate((docs, count)), minlength=len(numbers)).astype(np.int64)
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(what, number, docs) of each batch: its documents, and every value and word of every text, once a document."""
     for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        terms, docs = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        for start, stop in chunks(offsets):
-            part = offsets[start : stop + 1]
-            hashes, owner, _, _ = words(data[part[0] : part[-1]], part - part[0])
-            bounds = np.searchsorted(owner, np.arange(stop - start + 1))
-            each = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            new, count = np.unique(np.concatenate(each), return_counts=True)
-            terms, where = np.unique(np.concatenate((terms, new)), return_inverse=True)
-            docs = np.bincount(where, weights=np.concatenate((docs, count)), minlength=len(terms)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(docs)], ["term", "docs"])
-
-
-def revealing(base: DataFrame, docs: DataFrame) -> DataFrame:
+        known = {what: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)) for what in (_VALUE, _TERM)}
+        each: dict[int, list[np.ndarray]] = {what: [] for what in known}
+        held = 0
+        for text, spans, terms, _, _ in free_words(batch.column("text")):
+            each[_TERM].append(np.unique(terms))
+            if spans:
+                each[_VALUE].append(value_numbers(text, spans))
+            held += len(each[_TERM][-1])
+            if held > PAIRS:
+                known, each, held = {w: _added(*known[w], each[w]) if each[w] else known[w] for w in known}, {w: [] for w in known}, 0
+        known = {w: _added(*known[w], each[w]) if each[w] else known[w] for w in known}
+        for what, (numbers, docs) in [(_DOCUMENT, (np.zeros(1, np.int64), np.array([len(batch)]))), *known.items()]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers), what, np.int32)), pa.array(numbers), pa.array(docs)], ["what", "number", "docs"])
+
+
+def _blocks(rows: DataFrame, key: str, most: int) -> Iterator[dict[str, np.ndarray]]:
+    """The rows as columns in blocks of about ``most``, each sorted by a key of whole numbers; no block if there is no row."""
+    blocks = -(-rows.count() // most)
+    for block in range(blocks):
+        got = rows.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).toArrow().sort_by(key)
+        yield {name: got.column(name).to_numpy() for name in got.column_names}
+
+
+def _place(numbers: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each number among known, sorted ones, and whether it is one of them."""
+    if not len(known):
+        return np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=bool)
+    at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+    return at, known[at] == numbers
+
+
+def _pairs(values, common):
+    """(value, term) of each document, for the values of a block; terms too common to reveal the value are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, often = values.value, common.value
+        for batch in batches:
+            for text, spans, terms, _, _ in free_words(batch.column("text")):
+                if not spans:
+                    continue
+                mine = value_numbers(text, spans)
+                at, held = _place(mine, frequent["number"])
+                if not held.any():
+                    continue
+                terms = np.unique(terms)
+                where, known = _place(terms, often["number"])
+                docs = np.where(known, often["docs"][where], 0) if len(often["number"]) else np.zeros(len(terms), dtype=np.int64)
+                for value, of_value in zip(mine[held], frequent["docs"][at[held]]):
+                    # P(value | term) is at most of_value / of_term
+                    left = terms[docs * GENERALISE <= of_value]
+                    for k in range(0, len(left), PAIRS):
+                        some = left[k : k + PAIRS]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), value)), pa.array(some)], ["value", "term"])
+
+    return run
+
+
+def revealing(docs: DataFrame, block_rows: int = BLOCK_ROWS, common_terms: int = COMMON_TERMS) -> DataFrame:
     """(value, term, action) of the words that give a value away; see the module's text for the rule."""
-    total = base.count()
-    values = base.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("of_value"))
-    pairs = (
-        base.select(F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["value"].alias("value"), n["term"].alias("term"))))).alias("p"))
-        .select("p.*").groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_DOCS)
+    spark = docs.sparkSession
+    counts = cut_lineage(
+        docs.select("text").mapInArrow(_document_counts, "what int, number long, docs long").groupBy("what", "number")
+        .agg(F.sum("docs").alias("docs")).where((F.col("what") == _DOCUMENT) | (F.col("docs") >= LEAST_DOCS))
     )
-    frequency = docs.select("text").mapInArrow(_document_words, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("of_term"))
+    total = counts.where(F.col("what") == _DOCUMENT).agg(F.sum("docs")).first()[0] or 0
+    values, terms = (counts.where(F.col("what") == what).select("number", "docs") for what in (_VALUE, _TERM))
+    often = terms.orderBy(F.desc("docs"), "number").limit(common_terms).toArrow().sort_by("number")
+    common = spark.sparkContext.broadcast({name: often.column(name).to_numpy() for name in often.column_names})
+    pairs = spark.createDataFrame([], "value long, term long")
+    texts = docs.select("text").where(F.col("text").rlike(_CANDIDATE.pattern))
+    for block in _blocks(values, "number", block_rows):
+        pairs = pairs.union(texts.mapInArrow(_pairs(spark.sparkContext.broadcast(block), common), "value long, term long"))
+    together = pairs.groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_DOCS)
     share = F.col("both") / F.col("of_term")
     bits = F.log2(share * F.lit(float(max(total, 1))) / F.col("of_value"))
-    return pairs.join(values, "value").join(frequency, "term").where((share >= GENERALISE) & (bits >= LEAST_BITS)).select(
-        "value", "term", F.when(share >= REMOVE, "remove").otherwise("generalise").alias("action")
-    )
+    return together.join(values.toDF("value", "of_value"), "value").join(terms.toDF("term", "of_term"), "term").where(
+        (share >= GENERALISE) & (bits >= LEAST_BITS)
+    ).select("value", "term", F.when(share >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
-def private_spans(docs: DataFrame) -> DataFrame:
+def _marks(told, names: list[str]):
+    """Adds the places of a block of revealing terms to ``term_spans``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = told.value
+        for batch in batches:
+            marks = batch.column("term_spans").to_pylist()
+            for k, (_, _, terms, starts, ends) in enumerate(free_words(batch.column("text"))):
+                at, hit = _place(terms, block["term"])
+                if hit.any():
+                    new = zip(block["remove"][at[hit]].tolist(), starts[hit].tolist(), ends[hit].tolist())
+                    marks[k] = sorted(
+                        [*marks[k], *({"kind": TERM_KINDS[r], "start": a, "end": b} for r, a, b in new)], key=lambda s: (s["kind"], s["start"])
+                    )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(marks, _SPANS) if n == "term_spans" else batch.column(n) for n in names], names
+            )
+
+    return run
+
+
+def private_spans(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, k2, counts, base_sha256, spans, term_spans) of every document.
 
     ``spans`` are those of the patterns; ``term_spans`` those of revealing words, of kind ``generalise`` or ``remove``.
     """
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = with_key(docs.select("doc_id", "text"))
-    base = cut_lineage(keyed.select("doc_id", K2, "text").mapInArrow(_base, BASE_SCHEMA.format(id=kind)))
-    near = base.select("doc_id", K2, F.inline("near"))
-    told = near.join(revealing(base, docs), ["value", "term"]).groupBy("doc_id", K2, "start", "end").agg(F.max("action").alias("kind"))
-    spans = told.groupBy("doc_id", K2).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("term_spans")).select(
-        F.col("doc_id").alias("__llm_id"), F.col(K2).alias("__llm_same"), "term_spans"
-    )
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return base.join(spans, F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col(K2) == F.col("__llm_same")), "left").select(
-        "doc_id", K2, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", F.coalesce("term_spans", none).alias("term_spans")
+    told = cut_lineage(
+        revealing(docs, block_rows).groupBy("term").agg(F.max((F.col("action") == "remove").cast("int")).alias("remove"))
     )
+    schema = BASE_SCHEMA.format(id=kind)
+    out = with_key(docs.select("doc_id", "text")).select("doc_id", K2, "text").mapInArrow(_base, schema)
+    for block in _blocks(told, "term", block_rows):
+        out = out.mapInArrow(_marks(spark.sparkContext.broadcast(block), out.columns), schema)
+    return out.select("doc_id", K2, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "term_spans")
 
 
 def written(spans: Column) -> Column:

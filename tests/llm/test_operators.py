@@ -116,6 +116,22 @@ def test_revealing_terms(spark):
     assert privacy.shape("Zorro-77") == "Xx-0" and privacy.sanitised("abc", [("remove", 1, 2)]) == "ac"
 
 
+@pytest.mark.parametrize("block_rows", [privacy.BLOCK_ROWS, 2])
+def test_revealing_terms_anywhere(spark, block_rows):
+    filler = " ".join(f"plain{k}" for k in range(30))
+    rows = [(k, f"Zorro {filler} write to fox@den.org {filler} signed zorro, Vega") for k in range(12)]
+    rows += [(50, f"{filler} only zorro is named here")]
+    rows += [(100 + k, f"{filler} write to c{k}@office.org") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.term_spans for r in privacy.private_spans(docs, block_rows).collect()}
+    marked = {k: sorted((s.kind, rows[i][1][s.start : s.end]) for s in spans[k]) for i, (k, _) in enumerate(rows)}
+    assert marked[0] == [("remove", "Vega"), ("remove", "Zorro"), ("remove", "signed"), ("remove", "zorro")]
+    assert marked[50] == [("remove", "zorro")]
+    assert not any(marked[100 + k] for k in range(200))
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    assert "orro" not in clean[0] + clean[50] and "<email>" in clean[0]
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(k, "w " * rng.randint(1, 60), "big" if k % 3 else f"s{k % 7}") for k in range(900)]
