@@ -1,8 +1,9 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
 Every task builds suffix arrays over the words of a few documents at a time (a shard) and looks up every
-test suffix by binary search. That gives all occurrences of test windows, so the words they cover, and the
-longest verbatim match of each document with its place (first word, item). Texts are not shuffled.
+test window by binary search. That gives all occurrences of test windows, so the words they cover; each is followed
+to its true end in the item, which gives the longest verbatim match of each document with its place (first word,
+item). Matches shorter than a window are not reported. Texts are not shuffled.
 
 Test items reach the tasks in blocks of a stated size: a benchmark larger than one block makes one pass for
 each block, and each pass adds to what the passes before it found.
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casario.llm.arrays import chunks, utf8, words
-from casario.llm.suffixes import find, shared_length, suffix_array
+from casario.llm.suffixes import find, run_lengths, shared_length, suffix_array, symbol_sums
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-# Matches are measured up to this many words; a longer one shows as several.
-LONGEST_QUERY = 256
+# Windows searched at once.
+QUERIES = 1 << 18
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -43,13 +44,15 @@ FOUND = T.StructType([
 
 @dataclass
 class Tests:
-    """One block of test items as arrays, small enough to broadcast."""
+    """One block of test items as arrays, at most some 30 bytes a word, small enough to broadcast."""
 
     vocabulary: np.ndarray  # sorted word hashes; the symbol of a word is one more than its place
-    suffixes: np.ndarray  # one row of symbols per distinct window or item end
-    lengths: np.ndarray
-    window: np.ndarray  # words that must match for a hit, 0 for suffixes that are no window
-    items: list[list[str]]  # items of each suffix
+    symbols: np.ndarray  # of all items, a 0 after each
+    sums: np.ndarray  # running sums for hashes of runs of symbols
+    ends: np.ndarray  # place of the 0 of each item
+    order: np.ndarray  # places where windows start, sorted by what follows up to the item's end
+    group: np.ndarray  # first slot of ``order`` of each distinct window, and the end
+    need: np.ndarray  # words of each distinct window
     ids: list[str]
 
 
@@ -59,29 +62,27 @@ def prepare(rows: list[tuple[object, str | None]], window: int) -> Tests:
     data, offsets = utf8(pa.array([t for _, t in rows], pa.string()))
     hashes, owner, _, _ = words(data, offsets) if len(rows) else (np.zeros(0, np.uint64), np.zeros(0, int), None, None)
     vocabulary = np.unique(hashes)
-    codes = np.searchsorted(vocabulary, hashes) + 1
-    bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
-    known: dict[tuple[bytes, int], int] = {}
-    items: list[list[str]] = []
-    suffixes: list[np.ndarray] = []
-    needed: list[int] = []
-    for k in range(len(rows)):
-        item = codes[bounds[k] : bounds[k + 1]]
-        for s in range(len(item)):
-            need = window if s + window <= len(item) else (len(item) if s == 0 else 0)
-            tail = item[s : s + LONGEST_QUERY]
-            at = known.setdefault((tail.tobytes(), need), len(items))
-            if at == len(items):
-                items.append([])
-                suffixes.append(tail)
-                needed.append(need)
-            if ids[k] not in items[at][-1:]:
-                items[at].append(ids[k])
-    width = max((len(x) for x in suffixes), default=1)
-    table = np.zeros((len(suffixes), width), dtype=np.int64)
-    for k, x in enumerate(suffixes):
-        table[k, : len(x)] = x
-    return Tests(vocabulary, table, np.array([len(x) for x in suffixes], dtype=np.int64), np.array(needed, dtype=np.int64), items, ids)
+    counts = np.bincount(owner, minlength=len(rows))
+    ends = np.cumsum(counts) + np.arange(len(rows))
+    symbols = np.zeros(len(hashes) + len(rows), dtype=np.int32)
+    symbols[np.arange(len(hashes)) + owner] = np.searchsorted(vocabulary, hashes) + 1
+    left = run_lengths(symbols)
+    first = np.zeros(len(symbols), dtype=bool)
+    first[(ends - counts)[counts > 0]] = True
+    need = np.where(left >= window, window, np.where(first, left, 0))
+    order = suffix_array(symbols, int(counts.max(initial=1)))
+    order = order[need[order] > 0]
+    need = need[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = need[1:] != need[:-1]
+    for k in range(int(need.max(initial=0))):
+        at = symbols[np.minimum(order + k, len(symbols) - 1)]
+        new[1:] |= (at[1:] != at[:-1]) & (k < need[1:])
+    group = np.flatnonzero(new)
+    return Tests(
+        vocabulary, symbols, symbol_sums(symbols), ends, order.astype(np.int32), np.append(group, len(order)).astype(np.int32),
+        need[group].astype(np.int32), ids,
+    )
 
 
 def _symbols(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -103,38 +104,69 @@ def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[begin, 0].tolist(), reach[np.append(begin[1:], len(spans)) - 1].tolist()))
 
 
+def _longest(codes: np.ndarray, at: np.ndarray, query: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """(words, place in the items) of the longest match that starts ``at`` each place, where a window occurs.
+
+    Of the sorted suffixes that start with the window, a neighbour of the place's own suffix has most in common with it.
+    """
+    sums, runs = symbol_sums(codes), run_lengths(codes)
+    first, last = tests.group[query].astype(np.int64), tests.group[query + 1].astype(np.int64) - 1
+
+    def shared(which: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        item = tests.order[slots].astype(np.int64)
+        most = np.minimum(runs[at[which]], tests.ends[np.searchsorted(tests.ends, item)] - item)
+        return shared_length(sums, at[which], tests.sums, item, most), item
+
+    low, high = first.copy(), last + 1
+    while (going := np.flatnonzero(low < high)).size:
+        middle = (low[going] + high[going]) // 2
+        length, item = shared(going, middle)
+        below = tests.symbols[item + length] < codes[at[going] + length]
+        low[going[below]] = middle[below] + 1
+        high[going[~below]] = middle[~below]
+    every = np.arange(len(at))
+    (before, one), (after, two) = shared(every, np.maximum(low - 1, first)), shared(every, np.minimum(low, last))
+    return np.maximum(before, after), np.where(before >= after, one, two)
+
+
 def match_shard(data: np.ndarray, offsets: np.ndarray, tests: Tests) -> tuple[np.ndarray, dict[int, dict]]:
     """Word counts of a shard's documents, and what was found in those that share words with tests."""
     n_docs = len(offsets) - 1
     hashes, owner, _, _ = words(data, offsets)
     counts = np.bincount(owner, minlength=n_docs)
     found: dict[int, dict] = {}
-    if not len(tests.suffixes) or not len(hashes):
+    if not len(tests.need) or not len(hashes):
         return counts, found
     # a 0 after each document keeps matches inside it
     place = np.arange(len(hashes)) + owner
     codes = np.zeros(len(hashes) + n_docs + 1, dtype=np.int64)
     codes[place] = _symbols(hashes, tests.vocabulary)
     first = np.cumsum(counts) - counts + np.arange(n_docs)
-    sa = suffix_array(codes, tests.suffixes.shape[1])
-
-    hit = np.flatnonzero(tests.window > 0)
-    need = tests.window[hit]
-    low, high = find(codes, sa, tests.suffixes[hit][:, : int(need.max(initial=1))], need)
-    sizes = high - low
-    slots = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-    at, query = sa[slots], np.repeat(np.arange(len(hit)), sizes)
-    verbatim = shared_length(codes, at, tests.suffixes, tests.lengths, hit[query])
+    sa = suffix_array(codes, int(tests.need.max()))
+
+    at, query = [], []
+    for k in range(0, len(tests.need), QUERIES):
+        some = slice(k, k + QUERIES)
+        low, high = find(codes, sa, tests.symbols, tests.need[some], tests.order[tests.group[:-1][some]].astype(np.int64))
+        sizes = high - low
+        at.append(sa[np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)])
+        query.append(np.repeat(np.arange(k, k + len(sizes)), sizes))
+    at, query = np.concatenate(at), np.concatenate(query)
+    if not len(at):
+        return counts, found
+    need = tests.need[query].astype(np.int64)
+    verbatim, item = _longest(codes, at, query, tests)
     docs = np.searchsorted(first, at, side="right") - 1
     order = np.lexsort((at, docs))
-    for mine in np.split(order, np.flatnonzero(np.diff(docs[order])) + 1) if len(order) else []:
+    for mine in np.split(order, np.flatnonzero(np.diff(docs[order])) + 1):
         d = int(docs[mine[0]])
         starts = at[mine] - first[d]
         top = mine[np.argmax(verbatim[mine])]
+        owners = np.unique(np.concatenate([np.searchsorted(tests.ends, tests.order[tests.group[q] : tests.group[q + 1]]) for q in np.unique(query[mine])]))
         found[d] = {
-            "items": {i for q in np.unique(query[mine]) for i in tests.items[hit[q]]},
-            "spans": np.stack([starts, starts + need[query[mine]]], axis=1),
-            "longest": (int(verbatim[top]), tests.items[hit[query[top]]][0], int(at[top] - first[d])),
+            "items": {tests.ids[i] for i in owners},
+            "spans": np.stack([starts, starts + need[mine]], axis=1),
+            "longest": (int(verbatim[top]), tests.ids[np.searchsorted(tests.ends, item[top])], int(at[top] - first[d])),
         }
     return counts, found
 

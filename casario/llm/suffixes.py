@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from casario.llm.arrays import mix, powers, slice_hashes
+
 
 def run_lengths(codes: np.ndarray) -> np.ndarray:
     """Symbols from each place to the next 0."""
@@ -68,52 +70,63 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         h *= 2
 
 
-def _below(codes: np.ndarray, at: np.ndarray, queries: np.ndarray, lengths: np.ndarray, after: bool) -> np.ndarray:
+def _below(codes: np.ndarray, at: np.ndarray, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, after: bool) -> np.ndarray:
     """Whether the suffix at each place sorts before its query; with ``after``, also if it starts with it."""
     verdict = np.full(len(at), after)
     undecided = np.arange(len(at))
-    for k in range(queries.shape[1]):
+    for k in range(int(lengths.max(initial=0))):
         undecided = undecided[k < lengths[undecided]]
         if not len(undecided):
             break
         place = at[undecided] + k
         have = codes[np.minimum(place, len(codes) - 1)]
-        want = queries[undecided, k]
+        want = symbols[starts[undecided] + k]
         differ = have != want
         verdict[undecided[differ]] = have[differ] < want[differ]
         undecided = undecided[~differ]
     return verdict
 
 
-def find(codes: np.ndarray, sa: np.ndarray, queries: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find(codes: np.ndarray, sa: np.ndarray, queries: np.ndarray, lengths: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Range of slots of ``sa`` whose suffixes start with each query, by binary search of all queries at once.
 
-    ``queries`` is padded with anything beyond ``lengths``. An empty range lies where the query would.
+    ``queries`` is padded with anything beyond ``lengths``, or flat with the ``starts`` of the queries in it. An empty
+    range lies where the query would.
     """
+    if starts is None:
+        starts, queries = np.arange(len(queries)) * queries.shape[1], queries.ravel()
     bounds = []
     for after in (False, True):
-        low, high = np.zeros(len(queries), dtype=np.int64), np.full(len(queries), len(sa), dtype=np.int64)
+        low, high = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), len(sa), dtype=np.int64)
         while True:
             going = np.flatnonzero(low < high)
             if not len(going):
                 break
             middle = (low[going] + high[going]) // 2
-            below = _below(codes, sa[middle], queries[going], lengths[going], after)
+            below = _below(codes, sa[middle], queries, starts[going], lengths[going], after)
             low[going[below]] = middle[below] + 1
             high[going[~below]] = middle[~below]
         bounds.append(low)
     return bounds[0], bounds[1]
 
 
-def shared_length(codes: np.ndarray, at: np.ndarray, queries: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Symbols that each suffix ``at`` a place and query number ``which`` have in common at their starts."""
-    out = np.zeros(len(at), dtype=np.int64)
-    going = np.arange(len(at))
-    for k in range(queries.shape[1]):
-        going = going[k < lengths[which[going]]]
-        place = np.minimum(at[going] + k, len(codes) - 1)
-        going = going[codes[place] == queries[which[going], k]]
-        if not len(going):
-            break
-        out[going] += 1
-    return out
+def symbol_sums(codes: np.ndarray) -> np.ndarray:
+    """Running sums from which ``slice_hashes`` gives the hash of any run of symbols."""
+    forward, _ = powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((mix(codes.astype(np.uint64) + np.uint64(1)) | np.uint64(1)) * forward[: len(codes)], out=sums[1:])
+    return sums
+
+
+def shared_length(sums: np.ndarray, at: np.ndarray, other_sums: np.ndarray, other: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Symbols, up to ``most``, that places ``at`` and ``other`` of two texts have in common at their starts.
+
+    Halving by hashes, so a long match takes few steps.
+    """
+    low, high = np.zeros(len(at), dtype=np.int64), most.astype(np.int64)
+    while (going := np.flatnonzero(low < high)).size:
+        middle = (low[going] + high[going] + 1) // 2
+        same = slice_hashes(sums, at[going], at[going] + middle) == slice_hashes(other_sums, other[going], other[going] + middle)
+        low[going[same]] = middle[same]
+        high[going[~same]] = middle[~same] - 1
+    return low

@@ -175,6 +175,41 @@ def test_contamination(spark, docs, corpus, block_bytes):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()} == {k for k, (_, hit, _) in want.items() if not hit}
 
 
+def test_longest_match_has_no_bound():
+    rng = random.Random(8)
+
+    def found(texts, items):
+        raws = [t.encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+        return decontaminate.match_shard(data, offsets, decontaminate.prepare(items, 10))[1]
+
+    item = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    hits = found(["before " + " ".join(item[200:2900]) + " after"], [("other", " ".join(item[250:400])), ("long", " ".join(item))])
+    assert hits[0]["longest"] == (2700, "long", 1)
+    for _ in range(40):
+        make = lambda n: [rng.choice("ab") for _ in range(n)]
+        items = [make(rng.randint(1, 40)) for _ in range(6)]
+        texts = [make(rng.randint(1, 60)) for _ in range(5)]
+        hits = found(["\n".join(t) for t in texts], [(k, " ".join(w)) for k, w in enumerate(items)])
+        for d, t in enumerate(texts):
+            best = 0
+            for w in items:
+                need = min(10, len(w))
+                for p in range(len(t)):
+                    for i in range(len(w) if len(w) >= 10 else 1):
+                        n = 0
+                        while p + n < len(t) and i + n < len(w) and t[p + n] == w[i + n]:
+                            n += 1
+                        best = max(best, n if n >= need else 0)
+            assert (hits[d]["longest"][0] if d in hits else 0) == best
+
+
+def test_block_of_tests_stays_near_its_bytes():
+    rng = random.Random(6)
+    tests = decontaminate.prepare([(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(2000))) for k in range(40)], 10)
+    assert sum(a.nbytes for a in vars(tests).values() if isinstance(a, np.ndarray)) < 36 * 80_000
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(4)
     for _ in range(30):
