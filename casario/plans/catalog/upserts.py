@@ -206,16 +206,11 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 1 AS kept FROM events GROUP BY user_id, CAST(ts AS DATE)""",
 )
 def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    """Re-sent observations of a key and day are dropped within the watermark, over several triggers in the order of time."""
+    """Re-sent observations of a key and day are dropped; each trigger holds days of the whole span, so most rows are late."""
     work = scratch_path(spark, "dedupe")
-    stream = arriving(spark, folder, F.unix_micros(F.col("ts").cast("timestamp")))
+    stream = arriving(spark, folder, F.xxhash64("event_id"))
     timed = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    once = ingest.fresh_observations(timed, "user_id", "ts", "2 days")
-    written = (
-        once.writeStream.format("parquet").option("path", f"{work}/rows")
-        .option("checkpointLocation", f"{work}/offsets").trigger(availableNow=True).start()
-    )
-    written.awaitTermination()
+    ingest.merge_stream(timed, ingest.keep_fresh(f"{work}/rows", "user_id", "ts"), f"{work}/offsets").awaitTermination()
     kept = spark.read.schema("user_id bigint, ts timestamp").parquet(f"{work}/rows")
     return kept.groupBy("user_id", F.col("ts").cast("date").cast("string").alias("day")).agg(
         F.count(F.lit(1)).cast("int").alias("kept")

@@ -22,14 +22,26 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.json(path)
 
 
-def fresh_observations(stream: DataFrame, key: str, date: str, delay: str) -> DataFrame:
-    """Drops re-sent observations of the same key and day while they are within ``delay``."""
-    return (
-        stream.withWatermark(date, delay)
-        .withColumn("_day", F.col(date).cast("date"))
-        .dropDuplicatesWithinWatermark([key, "_day"])
-        .drop("_day")
-    )
+def keep_fresh(path: str, key: str, date: str) -> Callable[[DataFrame, int], None]:
+    """A merge that keeps one observation of each key and day under ``path``, however late it arrives.
+
+    Rows lie by trigger and day (``trigger``, ``_day``). A trigger reads back only the days it brings, so no state grows
+    in memory and no row is too old to be compared.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        once = cut_lineage(batch.withColumn("_day", F.col(date).cast("date")).dropDuplicates([key, "_day"]))
+        if number:
+            days = [r[0] for r in once.select("_day").distinct().collect()]
+            stored = session.read.schema(f"`{key}` {batch.schema[key].dataType.simpleString()}, trigger int, _day date").parquet(path)
+            known = stored.where(
+                (F.col("trigger") < number) & (F.col("_day").isin([d for d in days if d]) | F.col("_day").isNull())
+            ).select(F.col(key).alias("_known"), F.col("_day").alias("_on"))
+            once = once.join(known, F.col(key).eqNullSafe(F.col("_known")) & F.col("_day").eqNullSafe(F.col("_on")), "left_anti")
+        once.repartitionByRange("_day", key).write.mode("overwrite").partitionBy("_day").parquet(f"{path}/trigger={number}")
+
+    return merge
 
 
 def merge_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

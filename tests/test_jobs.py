@@ -287,3 +287,28 @@ def test_job_scratch_is_deleted(spark):
         assert cut_lineage(spark.range(10)).count() == 10
         assert list(Path(root.removeprefix("file://")).iterdir())
     assert not Path(root.removeprefix("file://")).exists()
+
+
+def test_stream_keeps_late_observations(spark, tmp_path):
+    landing, rows, offsets = str(tmp_path / "landing"), str(tmp_path / "rows"), str(tmp_path / "offsets")
+    schema = "url string, seen timestamp, n int"
+
+    def land(*found):
+        spark.createDataFrame(list(found), schema).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
+        ingest.merge_stream(stream, ingest.keep_fresh(rows, "url", "seen"), offsets).awaitTermination()
+
+    def day(k, hour=0):
+        return dt.datetime(2024, 1, k, hour)
+
+    land(("a", day(20), 1), ("a", day(20, 5), 2), ("b", day(20), 3), ("a", None, 4))
+    land(("a", day(20, 9), 5), ("c", day(21), 6))
+    # far behind all that was seen: one is new, one is not; nulls are one day
+    land(("a", day(3), 7), ("a", day(3, 1), 8), ("a", day(20), 9), ("a", None, 10), (None, day(3), 11))
+    land(("a", day(3), 12), (None, day(3, 2), 13), ("b", day(4), 14))
+    got = spark.read.schema(f"{schema}, trigger int").parquet(rows).select("url", F.col("seen").cast("date"), "trigger").collect()
+    want = [
+        ("a", day(20).date(), 0), ("b", day(20).date(), 0), ("a", None, 0), ("c", day(21).date(), 1),
+        ("a", day(3).date(), 2), (None, day(3).date(), 2), ("b", day(4).date(), 3),
+    ]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
