@@ -170,15 +170,19 @@ TRIGGERS = 4
 
 
 def arriving(spark: SparkSession, folder: str, by: Column) -> DataFrame:
-    """The events as a stream of ``TRIGGERS`` files, in the order of a number, one file per trigger."""
+    """The events as a stream of ``TRIGGERS`` pieces in the order of a number, one piece per trigger, each of equally many files."""
     events = views.table(spark, folder, "events")
     path = scratch_path(spark, "arriving")
     shares = [k / TRIGGERS for k in range(1, TRIGGERS)]
     cuts = events.agg(F.percentile_approx(by, shares).alias("cuts")).first()["cuts"]
     piece = sum((F.when(by > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    sizes = dict(events.groupBy(piece.alias("piece")).count().collect())
+    # a task with as many rows as files puts one into each, and so many rows leave one such task
+    least = min(sizes.get(k, 0) for k in range(TRIGGERS))
+    files = max(1, min(spark.sparkContext.defaultParallelism, least // max(1, events.rdd.getNumPartitions())))
     for k in range(TRIGGERS):
-        events.where(piece == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        events.where(piece == k).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(

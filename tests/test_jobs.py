@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casario.operators import features, trials
 from casario.plans import refresh, train
+from casario.plans.catalog import upserts
 from casario.sources import stations
 from casario.sources.tables import Store
 from casario.streaming import ingest
@@ -312,3 +313,15 @@ def test_stream_keeps_late_observations(spark, tmp_path):
         ("a", day(3).date(), 2), (None, day(3).date(), 2), ("b", day(4).date(), 3),
     ]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_arriving_pieces_are_written_by_several_tasks(spark, folder, tmp_path):
+    triggers = []
+    stream = upserts.arriving(spark, folder, F.col("event_id")).withColumn("file", F.col("_metadata.file_name"))
+    ingest.merge_stream(
+        stream, lambda b, _: triggers.append(b.agg(F.min("event_id"), F.max("event_id"), F.count("*"), F.countDistinct("file")).first()),
+        str(tmp_path / "offsets"),
+    ).awaitTermination()
+    assert len(triggers) == upserts.TRIGGERS and min(t[3] for t in triggers) > 1
+    assert sum(t[2] for t in triggers) == spark.read.parquet(f"{folder}/events.parquet").count()
+    assert all(a[1] < b[0] for a, b in zip(triggers, triggers[1:]))
