@@ -82,8 +82,15 @@ def slice_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+# What ends a phrase: punctuation and line breaks.
+PHRASE_ENDS = b".,;:!?\n\x0b\x0c\r"
+
+
 def _word_bytes(kind: str) -> np.ndarray:
-    """Which bytes are inside words. ``alnum``: digits, letters, all beyond ASCII. ``space``: all but white space."""
+    """Which bytes are inside words.
+
+    ``alnum``: digits, letters, all beyond ASCII. ``space``: all but white space. ``phrase``: all but blanks and what ends a phrase.
+    """
     table = np.zeros(256, dtype=bool)
     if kind == "alnum":
         for low, high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -91,6 +98,8 @@ def _word_bytes(kind: str) -> np.ndarray:
     else:
         table[:] = True
         table[[0x20, *range(0x09, 0x0E)]] = False
+    if kind == "phrase":
+        table[list(PHRASE_ENDS)] = False
     return table
 
 
@@ -100,7 +109,7 @@ def _lower_case() -> np.ndarray:
     return table
 
 
-INSIDE = {kind: _word_bytes(kind) for kind in ("alnum", "space")}
+INSIDE = {kind: _word_bytes(kind) for kind in ("alnum", "space", "phrase")}
 LOWER = _lower_case()
 
 

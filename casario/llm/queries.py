@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casario.llm import chat, decontaminate, lines, mixing, neardup, privacy, rules, substrings, toxicity, urls
+from casario.llm import chat, decontaminate, infill, lines, mixing, neardup, phrases, privacy, rules, sharding, substrings, toxicity, urls
 from casario.llm.frames import table
 from casario.session import configure
 
@@ -272,6 +272,78 @@ SELECT doc_id, least(doc_id, coalesce(classes.least, doc_id)) AS class_id, coale
 FROM split LEFT JOIN copies USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN classes USING (doc_id)"""
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    sharded = sharding.with_shard(docs, sharding.plan(docs, 16)).select(
+        "doc_id", F.col(sharding.SIZE).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), sharding.SHARD
+    )
+    return sharding.with_slot(sharded).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col(sharding.SHARD).alias("shard"),
+        F.col(sharding.SLOT).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, folder, "documents").select("lang", "text")
+    return phrases.collocations(docs, min_count=100, most_words=5, top=2000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+spoken AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM spoken GROUP BY lang),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g, CAST(count(*) AS HUGEINT) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM spoken, range(1, 6) sizes(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.g, c.k, c.f AS a, n, j, x.f AS l, y.f AS r, (1000 * c.f * n) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM grams WHERE k > 1) c JOIN totals USING (lang)
+  JOIN grams x ON x.lang = c.lang AND x.g = c.g[1:j] JOIN grams y ON y.lang = c.lang AND y.g = c.g[j + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT DISTINCT lang, g[i:i + s - 1] AS g, f FROM (
+    SELECT lang, g, f, k, s, unnest(range(1, k - s + 2)) AS i FROM grams, range(2, 5) shorter(s) WHERE s < k)),
+held AS (SELECT lang, g, max(f) AS longer FROM inner_parts GROUP BY lang, g)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM lowest LEFT JOIN held USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000"""
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    cut = infill.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    output, form = F.col("__llm_output"), F.col("__llm_form")
+    return cut.select(
+        "doc_id", F.col("__llm_tokens").alias("n"), form.alias("form"),
+        F.col("__llm_prefix").alias("prefix_chars"), F.col("__llm_middle").alias("middle_chars"),
+        F.sha2(output, 256).alias("output_sha256"), F.sha2(infill.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS x, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS y,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT doc_id, n, form, t, array_to_string(w[1:x], '') AS a, array_to_string(w[x + 1:y], '') AS m, array_to_string(w[y + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(a) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -283,5 +355,11 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_url_lists": op9_url_lists,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_sharding": op11_sharding,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL, "op6_temperature_mix": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_url_lists": OP9_SQL,
+    "op10_ngram_jaccard": OP10_SQL, "op12_phrase_collocations": OP12_SQL, "op13_fill_in_middle": OP13_SQL,
 }
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_temperature_mix": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_url_lists": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
