@@ -114,3 +114,62 @@ def near_duplicates(docs: list[tuple], threshold: float = 0.8) -> list[tuple]:
     for i, g in enumerate(group):
         first[g] = min(first.get(g, docs[i][0]), docs[i][0])
     return [(first[g], len(n)) for g, n in zip(group, links)]
+
+
+def infilled(doc_id, text: str | None) -> tuple:
+    """(tokens, form, prefix, middle, output) by regular expression."""
+    text = text or ""
+    tokens = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted(x % (len(tokens) + 1) for x in h[:2])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return len(tokens), "plain", None, None, text
+    p, m, s = ("".join(x) for x in (tokens[:a], tokens[a:b], tokens[b:]))
+    if h[3] % 100 < 20:
+        return len(tokens), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(tokens), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def collocations(docs, least: int, most: int, top: int) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) from (lang, text) rows, by counting all phrases."""
+    counts, total = {}, {}
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(UPPER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] = total.get(lang, 0) + len(words)
+            for size in range(1, most + 1):
+                for k in range(len(words) - size + 1):
+                    key = lang, tuple(words[k : k + size])
+                    counts[key] = counts.get(key, 0) + 1
+    often = {k: v for k, v in counts.items() if v >= least}
+    covered = set()
+    for (lang, words), f in often.items():
+        for size in range(2, len(words)):
+            for k in range(len(words) - size + 1):
+                part = lang, words[k : k + size]
+                if f >= often[part]:
+                    covered.add(part)
+    rows = []
+    for (lang, words), a in often.items():
+        if len(words) < 2 or (lang, words) in covered:
+            continue
+        n = total[lang]
+        cuts = [(1000 * a * n // (often[lang, words[:k]] * often[lang, words[k:]]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        rows.append((lang, -score, -a, " ".join(words).encode(), often[lang, words[:k]], often[lang, words[k:]], n))
+    out, rank = [], {}
+    for lang, score, a, phrase, left, right, n in sorted(rows):
+        rank[lang] = rank.get(lang, 0) + 1
+        if rank[lang] <= top:
+            out.append((lang, rank[lang], phrase.decode(), -a, left, right, n, -score))
+    return out
+
+
+def longest_first(sizes: list[int], shards: int) -> list[int]:
+    """Loads after giving each size, the largest first, to the least loaded shard."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
