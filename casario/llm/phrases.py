@@ -1,9 +1,9 @@
 """Collocations: phrases of two to five words that occur together more often than their parts would.
 
-1. Tasks turn texts into chunks of one language: word occurrences as numbers of the chunk's own dictionary, with gaps where a
-   piece ends, and the dictionary as rows. Only dictionaries are shuffled for counting.
-2. Words that reach ``min_count`` are ranked by frequency. Chunks meet the ranks of their words in a cogroup by chunk, so
-   neither side ever grows beyond a chunk, and take them in place of their own numbers; other words become gaps.
+1. Tasks gather texts into chunks of one language. Words are counted by hash, each chunk's own counts first.
+2. Words that reach ``min_count`` are ranked by frequency, and chunks are written as the ranks of their word occurrences, with a gap
+   for other words and where a piece ends. Up to ``BROADCAST_ROWS`` ranks are broadcast. More of them meet the chunks, written with
+   numbers of their own dictionaries, in a cogroup by chunk, so that neither side ever grows beyond a chunk.
 3. Neighbours in a chunk are pairs of ranks. Ranks are split into tiles of ``TILE`` by ``TILE`` pairs: tiles of frequent ranks
    are counted by one dense ``bincount`` each, pairs of all other tiles are sorted and run-length counted.
    Pairs that reach ``min_count`` over all chunks are ranked in turn, and the chunks are written once more with these ranks
@@ -29,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casario.llm.arrays import LOWER, PHRASE_ENDS, utf8, words
+from casario.llm.arrays import LOWER, PHRASE_ENDS, chunks, utf8, words
 from casario.llm.frames import numbered
 from casario.session import cut_lineage, scratch_path
 
-CHUNK_BYTES = 4 << 20
-HELD_BYTES = 32 << 20
+CHUNK_BYTES, PART_BYTES = 4 << 20, 1 << 20
+# Unfinished chunks that a task holds, one a language.
+HELD_CHUNKS = 8
 TILE_BITS = 10
 TILE = 1 << TILE_BITS
 # Ranks below this many tiles are counted densely, in tiles that are full enough.
@@ -43,65 +44,120 @@ FULL = TILE * TILE // 32
 # Small row groups: a reader holds one of them at a time.
 ROW_GROUP = str(16 << 20)
 
-CHUNK_ROW = "chunk long, lang string, ids binary, code long, word string, n long"
+# So many ranks, of 16 bytes, are broadcast; more are joined.
+BROADCAST_ROWS = 1 << 20
+
+CHUNK_ROW = "chunk long, lang string, ids binary, code long, h long, word string, n long"
+COUNT_ROW = "lang string, h long, n long"
 IDS_ROW = "chunk long, lang string, ids binary"
 _32 = np.int64(32)
 
 
-def chunk_rows(chunk: int, lang: str, texts: list[np.ndarray]) -> pa.RecordBatch:
-    """One row of occurrences, then the dictionary: (place, word, count) of each distinct word."""
-    data = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+def spoken(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """(hash, whether a piece starts, lower-cased bytes, first byte, end byte) of the words of a chunk."""
+    data = np.concatenate(texts)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    hashes, owner, starts, ends = words(data, offsets, "phrase")
-    breaks = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(np.isin(data, np.frombuffer(PHRASE_ENDS, np.uint8)), out=breaks[1:])
-    distinct, first, place, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    apart = (owner[1:] != owner[:-1]) | (breaks[starts[1:]] != breaks[starts[:-1]])
-    gaps = np.flatnonzero(apart) + 1
-    ids = np.insert(place.astype(np.int32), gaps, np.int32(-1))
-    lower = LOWER[data].tobytes()
-    spelt = [lower[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    rows = len(distinct)
-    none = pa.nulls(rows, pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(rows + 1, chunk), pa.int64()), pa.array([lang] * (rows + 1), pa.string()),
-            pa.chunked_array([pa.array([ids.tobytes()], pa.binary()), none]).combine_chunks(),
-            pa.array(np.concatenate(([-1], np.arange(rows))), pa.int64()),
-            pa.array([None, *spelt], pa.binary()).cast(pa.string()), pa.array(np.concatenate(([len(hashes)], n)), pa.int64()),
-        ],
-        ["chunk", "lang", "ids", "code", "word", "n"],
-    )
+    ends_phrase = np.zeros(256, dtype=bool)
+    ends_phrase[list(PHRASE_ENDS)] = True
+    found = []
+    for start, stop in chunks(offsets, PART_BYTES):
+        base = offsets[start]
+        part = data[base : offsets[stop]]
+        hashes, owner, first, end = words(part, offsets[start : stop + 1] - base, "phrase")
+        breaks = np.concatenate(([0], np.cumsum(ends_phrase[part], dtype=np.int32)))
+        fresh = np.ones(len(hashes), dtype=bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (breaks[first[1:]] != breaks[first[:-1]])
+        found.append((hashes, fresh, first + base, end + base))
+    hashes, fresh, first, end = (np.concatenate(x) for x in zip(*found))
+    return hashes.view(np.int64), fresh, LOWER[data].tobytes(), first, end
+
+
+def found_ranks(codes: np.ndarray, ranks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The rank of each wanted code among sorted codes, or a gap."""
+    if not len(codes):
+        return np.full(len(wanted), -1, dtype=np.int32)
+    place = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return np.where(codes[place] == wanted, ranks[place], -1).astype(np.int32)
+
+
+def squeezed(ids: np.ndarray) -> np.ndarray:
+    """Ranks with each run of gaps as one gap."""
+    keep = ids >= 0
+    keep[1:] |= ids[:-1] >= 0
+    return ids[keep]
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_rows(chunk: int, lang: str, texts: list[np.ndarray]) -> pa.RecordBatch:
+    """(hash, count) of each distinct word of a chunk."""
+    distinct, n = np.unique(spoken(texts)[0], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct), pa.array(n, pa.int64())], ["lang", "h", "n"])
+
+
+NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+
+def chunk_rows(known):
+    """Makes the rows of a chunk: one of its occurrences, then one for each distinct word.
+
+    Occurrences are ranks, and the words those with a rank, where ``known`` broadcasts the ranks of hashes; else numbers of the
+    chunk's own dictionary, which is given whole.
+    """
+
+    def rows_of(chunk: int, lang: str, texts: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, fresh, lower, starts, ends = spoken(texts)
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        own = np.arange(len(distinct), dtype=np.int32)
+        if known is not None:
+            own = found_ranks(*known.value.get(lang, NOTHING), distinct)
+        ids = squeezed(np.insert(own[place], np.flatnonzero(fresh), np.int32(-1)))
+        wanted = np.flatnonzero(own >= 0)
+        spelt = [lower[a:b] for a, b in zip(starts[first[wanted]].tolist(), ends[first[wanted]].tolist())]
+        rows = len(wanted)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(rows + 1, chunk), pa.int64()), pa.array([lang] * (rows + 1), pa.string()),
+                pa.chunked_array([pa.array([ids.tobytes()], pa.binary()), pa.nulls(rows, pa.binary())]).combine_chunks(),
+                pa.array(np.concatenate(([-1], own[wanted])), pa.int64()), pa.array(np.concatenate(([0], distinct[wanted])), pa.int64()),
+                pa.array([None, *spelt], pa.binary()).cast(pa.string()), pa.array(np.concatenate(([len(hashes)], np.zeros(rows))).astype(np.int64)),
+            ],
+            ["chunk", "lang", "ids", "code", "h", "word", "n"],
+        )
+
+    return rows_of
+
+
+def _chunked(chunk_bytes: int, make):
     """Texts of a task gathered by language into chunks; the fullest goes first when too many bytes are held."""
-    task = TaskContext.get().partitionId()
-    held: dict[str, list[np.ndarray]] = {}
-    size: dict[str, int] = {}
-    made = 0
 
-    def flush(lang: str) -> pa.RecordBatch:
-        nonlocal made
-        made += 1
-        del size[lang]
-        return chunk_rows((task << 32) + made, lang, held.pop(lang))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        held: dict[str, list[np.ndarray]] = {}
+        size: dict[str, int] = {}
+        made = 0
+
+        def flush(lang: str) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            del size[lang]
+            return make((task << 32) + made, lang, held.pop(lang))
+
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for k, lang in enumerate(batch.column("lang").to_pylist()):
+                text = data[offsets[k] : offsets[k + 1]]
+                if not len(text):
+                    continue
+                # a copy, so that what waits does not keep its batch alive
+                held.setdefault(lang, []).append(text.copy())
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] >= chunk_bytes:
+                    yield flush(lang)
+                elif sum(size.values()) >= HELD_CHUNKS * chunk_bytes:
+                    yield flush(max(size, key=size.get))
+        for lang in list(held):
+            yield flush(lang)
 
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        for k, lang in enumerate(batch.column("lang").to_pylist()):
-            text = data[offsets[k] : offsets[k + 1]]
-            if not len(text):
-                continue
-            # the batch's buffer is not kept alive by what waits
-            held.setdefault(lang, []).append(text.copy())
-            size[lang] = size.get(lang, 0) + len(text)
-            if size[lang] >= CHUNK_BYTES:
-                yield flush(lang)
-            elif sum(size.values()) >= HELD_BYTES:
-                yield flush(max(size, key=size.get))
-    for lang in list(held):
-        yield flush(lang)
+    return run
 
 
 def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,15 +196,26 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def squeezed(ids: np.ndarray) -> np.ndarray:
-    """Ranks with each run of gaps as one gap."""
-    keep = ids >= 0
-    keep[1:] |= ids[:-1] >= 0
-    return ids[keep]
+def _broadcast_ranks(known):
+    """Chunks with the ranks of the pairs that start at each place, from broadcast ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.int32)
+                out = np.full(len(ids), -1, dtype=np.int32)
+                at, wanted = neighbours(ids)
+                out[at] = found_ranks(*known.value.get(row["lang"], NOTHING), wanted)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["chunk"]], pa.int64()), pa.array([row["lang"]], pa.string()), pa.array([squeezed(out).tobytes()], pa.binary())],
+                    ["chunk", "lang", "ids"],
+                )
+
+    return run
 
 
-def _renamed(paired: bool):
-    """Chunks with the ranks of their words, or of the pairs that start at each place."""
+def _joined_ranks(paired: bool):
+    """Chunks with the ranks of their words, or of the pairs that start at each place, which are the other side."""
 
     def run(key: tuple, chunk: pa.Table, ranks: pa.Table) -> pa.Table:
         schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("ids", pa.binary())])
@@ -156,12 +223,10 @@ def _renamed(paired: bool):
             return schema.empty_table()
         ids = np.frombuffer(chunk.column("ids")[0].as_py(), np.int32)
         codes, rank = ranks.column("code").to_numpy(), ranks.column("id").to_numpy()
-        at, wanted = neighbours(ids) if paired else (np.flatnonzero(ids >= 0), ids[ids >= 0].astype(np.int64))
         order = np.argsort(codes)
-        codes, rank = codes[order], rank[order]
-        place = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        at, wanted = neighbours(ids) if paired else (np.flatnonzero(ids >= 0), ids[ids >= 0].astype(np.int64))
         out = np.full(len(ids), -1, dtype=np.int32)
-        out[at] = np.where(codes[place] == wanted, rank[place], -1)
+        out[at] = found_ranks(codes[order], rank[order], wanted)
         return pa.table([chunk.column("chunk"), chunk.column("lang"), pa.array([squeezed(out).tobytes()], pa.binary())], schema=schema)
 
     return run
@@ -169,7 +234,7 @@ def _renamed(paired: bool):
 
 def _written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -179,42 +244,55 @@ def _ranked(counted: DataFrame, key: str, min_count: int) -> DataFrame:
     return numbered(often, "lang", "id", [F.col("lang"), F.desc("f"), F.col(key)])
 
 
-def _renumbered(chunks: DataFrame, hits: DataFrame, paired: bool) -> DataFrame:
-    hits = hits.withColumnRenamed("chunk", "of")
-    renamed = chunks.groupBy("chunk").cogroup(hits.groupBy("of")).applyInArrow(_renamed(paired), IDS_ROW)
-    return _written(renamed, "chunks")
+def _broadcast(ranked: DataFrame, key: str, most_rows: int):
+    """Ranks by language and sorted key as a broadcast, or None if there are more than ``most_rows``."""
+    if ranked.count() > most_rows:
+        return None
+    table, known = ranked.select("lang", key, "id").orderBy("lang", key).toArrow(), {}
+    for lang in table.column("lang").unique().to_pylist():
+        part = table.filter(pc.equal(table.column("lang"), lang))
+        known[lang] = part.column(key).to_numpy(), part.column("id").to_numpy().astype(np.int32)
+    return ranked.sparkSession.sparkContext.broadcast(known)
+
+
+def _met(chunked: DataFrame, hits: DataFrame, paired: bool) -> DataFrame:
+    """The chunks with the ranks that ``hits`` (of, code, id) names for their codes."""
+    sides = chunked.select("chunk", "lang", "ids").groupBy("chunk").cogroup(hits.groupBy("of"))
+    return _written(sides.applyInArrow(_joined_ranks(paired), IDS_ROW), "chunks")
+
+
+def _hits(codes: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
+    return codes.join(ranked.select("lang", key, "id"), ["lang", key]).select(F.col("chunk").alias("of"), "code", "id")
 
 
 def _id_codes(code: Column) -> tuple[Column, Column]:
     return F.shiftright(code, 32), code.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def frequent_phrases(docs: DataFrame, min_count: int = 100, most_words: int = 5) -> tuple[DataFrame, list[DataFrame]]:
+def frequent_phrases(
+    docs: DataFrame, min_count: int = 100, most_words: int = 5, broadcast_rows: int = BROADCAST_ROWS, chunk_bytes: int = CHUNK_BYTES
+) -> tuple[DataFrame, list[DataFrame]]:
     """((lang, n) of all words, then for 1 to ``most_words`` words the (lang, id, f, phrase, last, prefixes, suffixes, a, b)).
 
     ``prefixes`` and ``suffixes`` are the counts of the leading and trailing parts of 1, 2, ... words; ``a`` and ``b`` number
     the phrases without the last and without the first word.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    rows = _written(texts.mapInArrow(_chunked, CHUNK_ROW), "chunks")
-    chunks = rows.where(F.col("ids").isNotNull()).select("chunk", "lang", "ids")
-    entries = rows.where(F.col("word").isNotNull())
-    totals = cut_lineage(rows.where(F.col("ids").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n")))
-    # counted by hash; spelt out only where frequent
-    hashed = entries.select("chunk", "lang", "code", "word", "n", F.xxhash64("word").alias("h"))
-    ranked = cut_lineage(_ranked(hashed.select("lang", "h", "n"), "h", min_count))
-    hits = hashed.join(ranked.select("lang", "h", "id"), ["lang", "h"])
-    spelt = hits.groupBy("lang", "id").agg(F.min("word").alias("phrase"))
+    ranked = cut_lineage(_ranked(texts.mapInArrow(_chunked(chunk_bytes, count_rows), COUNT_ROW), "h", min_count))
+    known = _broadcast(ranked, "h", broadcast_rows)
+    rows = _written(texts.mapInArrow(_chunked(chunk_bytes, chunk_rows(known)), CHUNK_ROW), "chunks")
+    chunked, spelt = rows.where(F.col("ids").isNotNull()), rows.where(F.col("word").isNotNull())
+    totals = cut_lineage(chunked.groupBy("lang").agg(F.sum("n").alias("n")))
+    if known is None:
+        chunked = _met(chunked, _hits(spelt, ranked, "h"), paired=False)
+    spelt = spelt.select("lang", "h", "word").join(ranked.select("lang", "h", "id"), ["lang", "h"]).groupBy("lang", "id").agg(F.min("word").alias("phrase"))
     empty, no_id = F.array().cast("array<long>"), F.lit(None).cast("long")
     levels = [cut_lineage(ranked.join(spelt, ["lang", "id"]).select(
         "lang", "id", "f", "phrase", F.col("phrase").alias("last"), empty.alias("prefixes"), empty.alias("suffixes"), no_id.alias("a"), no_id.alias("b")
     ))]
-    hits = hits.select("chunk", "code", "id")
     for size in range(2, most_words + 1):
-        chunks = _renumbered(chunks, hits, paired=size > 2)
-        counted = chunks.mapInArrow(_pairs, "chunk long, lang string, code long, n long")
-        ranked = cut_lineage(_ranked(counted.select("lang", "code", "n"), "code", min_count))
-        hits = counted.join(ranked.select("lang", "code", "id"), ["lang", "code"]).select("chunk", "code", "id")
+        pairs = chunked.select("chunk", "lang", "ids").mapInArrow(_pairs, "chunk long, lang string, code long, n long")
+        ranked = cut_lineage(_ranked(pairs.select("lang", "code", "n"), "code", min_count))
         a, b = _id_codes(F.col("code"))
         left, right = (levels[-1].select("lang", F.col("id").alias(k), F.struct("f", "phrase", "last", "prefixes", "suffixes").alias(f"part_{k}")) for k in "ab")
         levels.append(cut_lineage(
@@ -224,6 +302,12 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, most_words: int = 5)
                 F.concat("part_b.suffixes", F.array("part_b.f")).alias("suffixes"), "a", "b",
             )
         ))
+        if size < most_words:
+            known = _broadcast(ranked, "code", broadcast_rows)
+            if known is None:
+                chunked = _met(chunked, _hits(pairs, ranked, "code"), paired=True)
+            else:
+                chunked = _written(chunked.select("chunk", "lang", "ids").mapInArrow(_broadcast_ranks(known), IDS_ROW), "chunks")
     return totals, levels
 
 
@@ -239,27 +323,33 @@ def _uncovered(level: DataFrame, shorter: DataFrame) -> DataFrame:
     return shorter.join(most, ["lang", "id"], "left").where(F.col("longer").isNull() | (F.col("longer") < F.col("f"))).drop("longer")
 
 
-def collocations(docs: DataFrame, min_count: int = 100, most_words: int = 5, top: int = 2000) -> DataFrame:
+def scored(found: DataFrame) -> DataFrame:
+    """(lang, phrase, score, k, a, l, r, n) of the weakest cut of each phrase, the first of equal ones; decimals of 38 digits keep it exact."""
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    cuts = found.select(
+        "lang", "phrase", F.col("f").alias("a"), "n", F.posexplode(F.arrays_zip("prefixes", F.reverse("suffixes").alias("suffixes"))).alias("k", "cut")
+    ).select("lang", "phrase", "a", "n", "k", F.col("cut.prefixes").alias("l"), F.col("cut.suffixes").alias("r"))
+    above, below = (exact("a") * exact("n")).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)"), exact("l") * exact("r")
+    weighed = cuts.withColumns({"above": above.cast("decimal(38,0)"), "below": below.cast("decimal(38,0)")}).withColumn("score", F.expr("above div below"))
+    return weighed.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("s")).select("lang", "phrase", "s.*")
+
+
+def collocations(
+    docs: DataFrame, min_count: int = 100, most_words: int = 5, top: int = 2000, broadcast_rows: int = BROADCAST_ROWS, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language.
 
     ``a`` counts the phrase, ``l`` and ``r`` the two parts of its weakest cut, ``n`` all words of the language;
     the score is floor(1000 a n / (l r)) at that cut. Phrases that a longer one always holds are left out.
     """
-    totals, levels = frequent_phrases(docs, min_count, most_words)
-    kept = [_uncovered(longer, level) for level, longer in zip(levels[1:], levels[2:])] + levels[-1:] if most_words > 1 else []
-    if not kept:
+    if most_words < 2:
         raise ValueError("phrases have at least two words")
+    totals, levels = frequent_phrases(docs, min_count, most_words, broadcast_rows, chunk_bytes)
+    kept = [_uncovered(longer, level) for level, longer in zip(levels[1:], levels[2:])] + levels[-1:]
     found = kept[0].select("lang", "phrase", "f", "prefixes", "suffixes")
     for level in kept[1:]:
         found = found.unionByName(level.select(*found.columns))
-    exact = lambda c: c.cast("decimal(19,0)")
-    weighed = found.join(totals, "lang").select(
-        "lang", "phrase", "f", "n", F.posexplode(F.arrays_zip("prefixes", F.reverse("suffixes").alias("suffixes"))).alias("k", "cut")
-    ).select(
-        "lang", "phrase", F.col("f").alias("a"), "n", "k", F.col("cut.prefixes").alias("l"), F.col("cut.suffixes").alias("r"),
-    ).withColumn("numerator", (exact(F.col("a")) * exact(F.col("n")) * F.lit(1000).cast("decimal(4,0)")).cast("decimal(38,0)"))
-    scored = weighed.withColumn("score", F.expr("numerator div CAST(CAST(l AS decimal(19,0)) * CAST(r AS decimal(19,0)) AS decimal(38,0))"))
-    lowest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("s")).select("lang", "phrase", "s.*")
+    lowest = scored(found.join(totals, "lang"))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return lowest.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top).select(
         "lang", "rank", "phrase", "a", "l", "r", "n", "score"
