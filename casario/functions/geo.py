@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casario.functions import antipodal
+from casario.functions.antipodal import FLATTENING, MAJOR_AXIS
+
 # WGS-84 and the mean earth radius (fixed values).
-MAJOR_AXIS = 6378137.0
-FLATTENING = 1 / 298.257223563
 MINOR_AXIS = MAJOR_AXIS * (1 - FLATTENING)
 MEAN_RADIUS = 6371008.8
 
@@ -138,7 +139,8 @@ def with_geodesic(
     """Adds the ellipsoidal distance in metres (Vincenty's inverse formula).
 
     Each iteration is its own projection, so intermediate values are computed once.
-    Pairs that do not converge (nearly antipodal) get the great-circle distance.
+    Pairs that do not converge (nearly antipodal) are solved for the azimuth instead, in a
+    projection of their own, so that all others stay in generated code.
     """
     e = _ends(lat1, lon1, lat2, lon2)
     parts = {"_g_su1": e.sin_u1, "_g_cu1": e.cos_u1, "_g_su2": e.sin_u2, "_g_cu2": e.cos_u2, "_g_diff": e.diff}
@@ -155,8 +157,11 @@ def with_geodesic(
     out = arcs(out)
     settled = (F.abs(lam - F.col("_g_prev")) < 1e-9) & (F.abs(lam) <= math.pi)
     cos2_a = F.lit(1.0) - sa * sa
-    distance = F.when(settled, _metres(ss, cs, cos2_a, _mid(e, cs, cos2_a))).otherwise(haversine(lat1, lon1, lat2, lon2))
-    return out.withColumn(name, distance).drop(*parts, "_g_lam", "_g_prev", "_g_ss", "_g_cs", "_g_sa")
+    out = out.withColumn("_g_m", F.when(settled, _metres(ss, cs, cos2_a, _mid(e, cs, cos2_a))))
+    solved = antipodal.distance(e.sin_u1, e.cos_u1, e.sin_u2, e.cos_u2, e.diff)
+    # the value is named twice, which keeps the projections apart
+    distance = F.when(F.col("_g_m").isNotNull(), F.col("_g_m")).when(e.diff.isNotNull() & e.sin_u1.isNotNull() & e.sin_u2.isNotNull(), solved)
+    return out.withColumn(name, distance).drop(*parts, "_g_lam", "_g_prev", "_g_ss", "_g_cs", "_g_sa", "_g_m")
 
 
 def _let(value: Column, body) -> Column:
@@ -193,7 +198,8 @@ def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps: int
             def metres(ss: Column, cs: Column, sa: Column) -> Column:
                 return _let(F.lit(1.0) - sa * sa, lambda ca: _let(_mid(e, cs, ca), lambda mid: _metres(ss, cs, ca, mid)))
 
-            return F.when(settled, arc(lam, metres)).otherwise(haversine(lat1, lon1, lat2, lon2))
+            solved = antipodal.distance(e.sin_u1, e.cos_u1, e.sin_u2, e.cos_u2, e.diff)
+            return F.when(settled, arc(lam, metres)).when(lam.isNotNull(), solved)
 
         start = F.struct(e.diff.alias("lam"), e.diff.alias("prev"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, finish)

@@ -95,3 +95,42 @@ def nearest_station(spark: SparkSession, folder: str) -> DataFrame:
         "url", "linha", "estacao", F.round("lat_metro", 6).alias("lat_metro"),
         F.round("lon_metro", 6).alias("lon_metro"), F.round("distance", 2).alias("distance"),
     )
+
+
+# Nearly antipodal pairs with published distances on WGS-84, in millimetres exact (fixed values).
+ANTIPODAL = [
+    (0.0, 0.0, 0.5, 179.5, 19936288.579),
+    (88.202499451857, 0.0, -88.202499451857, 179.981022032992859592, 20003898.214),
+    (89.262080389218, 0.0, -89.262080389218, 179.992207982775375662, 20003925.854),
+    (89.333123580033, 0.0, -89.333123580032997687, 179.99295812360148422, 20003926.881),
+    (56.320923501171, 0.0, -56.320923501171, 179.664747671772880215, 19993558.287),
+    (52.784459512564, 0.0, -52.784459512563990912, 179.634407464943777557, 19991596.095),
+    (48.522876735459, 0.0, -48.52287673545898293, 179.599720456223079643, 19989144.774),
+    (0.0, 0.0, 0.0, 180.0, 20003931.459),
+    (0.0, 0.0, 1.0, 180.0, 19893357.070),
+]
+
+
+@query(
+    "antipodal_distance",
+    f"""WITH known(pair, metres) AS (VALUES {', '.join(f'({i}, {p[4]:.3f})' for i, p in enumerate(ANTIPODAL))})
+SELECT o_orderkey, CAST(o_orderkey % {len(ANTIPODAL)} AS INTEGER) AS pair, CAST(metres AS DOUBLE) AS metres
+FROM orders JOIN known ON pair = o_orderkey % {len(ANTIPODAL)}""",
+)
+def antipodal_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """Known pairs, turned to the meridian of each row, with ends swapped and hemispheres mirrored: their distances stay."""
+    pair = (F.col("o_orderkey") % len(ANTIPODAL)).cast("int")
+    lat1, lon1, lat2, lon2 = (F.get(F.array(*[F.lit(p[k]) for p in ANTIPODAL]), F.col("pair")) for k in range(4))
+    turn = (F.col("o_custkey") % 720).cast("double") / F.lit(2.0) - F.lit(180.0)
+    north = F.when(F.col("o_custkey") % 2 == 0, 1.0).otherwise(-1.0)
+    orders = views.table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    # a scan of few files would solve on few cores
+    placed = orders.repartition("o_orderkey").withColumn("pair", pair).select(
+        "o_orderkey", "pair", (F.col("o_orderkey") % 4 < 2).alias("swap"),
+        (lat1 * north).alias("a"), (lon1 + turn).alias("b"), (lat2 * north).alias("c"), (lon2 + turn).alias("d"),
+    )
+    first = [F.when(F.col("swap"), F.col(x)).otherwise(F.col(y)) for x, y in (("c", "a"), ("d", "b"))]
+    second = [F.when(F.col("swap"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "c"), ("b", "d"))]
+    return geo.with_geodesic(placed, *first, *second, "metres").select(
+        "o_orderkey", "pair", F.round("metres", 3).alias("metres")
+    )

@@ -131,3 +131,55 @@ def test_no_pairwise_join(spark, folder):
 
     plan = catalog.queries()["nearest_station"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def by_quadrature(lat1, lon1, lat2, lon2):
+    """Plain solution: the azimuth by halving, longitude and length as integrals by Gauss's rule instead of series."""
+    f, b = geo.FLATTENING, geo.MINOR_AXIS
+    nodes, weights = np.polynomial.legendre.leggauss(40)
+    lam = abs(math.radians((lon2 - lon1 + 180) % 360 - 180))
+    if abs(lat1) < abs(lat2):
+        lat1, lat2 = lat2, lat1
+    if lat1 > 0:
+        lat1, lat2 = -lat1, -lat2
+    b1, b2 = (math.atan((1 - f) * math.tan(math.radians(x))) for x in (lat1, lat2))
+
+    def travel(alpha):
+        sin0 = math.sin(alpha) * math.cos(b1)
+        x1 = math.cos(alpha) * math.cos(b1)
+        x2 = math.sqrt(max(0.0, x1 * x1 + math.cos(b2) ** 2 - math.cos(b1) ** 2))
+        s1, s2 = math.atan2(math.sin(b1) - 1e-300, x1), math.atan2(math.sin(b2), x2)
+        k2 = (1 / (1 - f) ** 2 - 1) * (1 - sin0 * sin0)
+        s = (s1 + s2) / 2 + (s2 - s1) / 2 * nodes
+        root = np.sqrt(1 + k2 * np.sin(s) ** 2)
+        turned = (s2 - s1) / 2 * np.sum(weights * (2 - f) / (1 + (1 - f) * root))
+        omega = math.atan2(sin0 * math.sin(b2), x2) - math.atan2(sin0 * (math.sin(b1) - 1e-300), x1)
+        return omega - f * sin0 * turned, b * (s2 - s1) / 2 * float(np.sum(weights * root))
+
+    low, high = 0.0, math.pi
+    for _ in range(70):
+        mid = (low + high) / 2
+        low, high = (mid, high) if travel(mid)[0] < lam else (low, mid)
+    return travel((low + high) / 2)[1]
+
+
+def test_nearly_antipodal_points(spark):
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        lat, lon = rng.uniform(-89.5, 89.5), rng.uniform(-180, 180)
+        pairs.append((lat, lon, -lat + rng.uniform(-0.6, 0.6), lon + 180 + rng.uniform(-0.6, 0.6)))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a double, b double, c double, d double")
+    ends = [F.col(c) for c in "abcd"]
+    rows = geo.with_geodesic(df, *ends, "flat").withColumn("nested", geo.geodesic(*ends)).orderBy("i").collect()
+    for r, p in zip(rows, pairs):
+        want = by_quadrature(*p)
+        assert r["flat"] == pytest.approx(want, abs=1e-3), p
+        assert r["nested"] == pytest.approx(want, abs=1e-3), p
+
+
+def test_unknown_ends_have_no_distance(spark):
+    df = spark.createDataFrame([(None, 0.0, 1.0, 2.0), (1.0, None, 1.0, 2.0), (1.0, 0.0, None, 2.0), (1.0, 0.0, 1.0, None)], "a double, b double, c double, d double")
+    ends = [F.col(c) for c in "abcd"]
+    for r in geo.with_geodesic(df, *ends, "flat").withColumn("nested", geo.geodesic(*ends)).collect():
+        assert r["flat"] is None and r["nested"] is None
