@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casario.functions import numbers
 from casario.operators import features, ranks, trials
-from casario.plans import train
+from casario.plans import train, trees
 from casario.plans.catalog import views
 from casario.plans.catalog.registry import query
 from casario.plans.catalog.serving import PRICED, priced_items
@@ -388,7 +389,7 @@ def _frame(spark: SparkSession, folder: str) -> DataFrame:
     return cut_lineage(features.feature_frame(stored_listings(spark, folder), None, as_of()))
 
 
-_SMALL = {"n_estimators": 5, "max_depth": 4}
+_SMALL = {"n_estimators": 5, "max_depth": 4, "num_leaves": 8, "learning_rate": 0.3}
 
 
 @query(
@@ -429,22 +430,27 @@ def train_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """A seeded random search, small trees, both tree families."""
-    limits = {"n_estimators": (2, 4), "max_depth": (2, 4)}
-    families = ["RandomForestRegressor", "LGBMRegressor"]
-    return train.search(spark, frame, features.feature_names(), n_trials=2, folds=2, families=families, limits=limits)
+    """A model-based search over every family in five folds: four random trials, then one from what they showed. Trees are small."""
+    limits = {"n_estimators": (2, 4), "max_depth": (2, 4), "num_leaves": (2, 5)}
+    return train.search(spark, frame, features.feature_names(), n_trials=5, startup=4, limits=limits)
 
 
 @query(
     "model_search",
-    """SELECT 'run' || lpad(CAST(r AS VARCHAR), 5, '0') AS run_id, CAST(f AS INTEGER) AS fold, true AS has_error, true AS has_model
-FROM range(2) runs(r), range(1, 3) folds(f)""",
+    f"""WITH {views.LISTING}, n AS (SELECT count(*) AS n FROM listing)
+SELECT 'run' || lpad(CAST(r AS VARCHAR), 5, '0') AS run_id, CAST(f AS INTEGER) AS fold, n // 5 + CASE WHEN f <= n % 5 THEN 1 ELSE 0 END AS score_rows,
+  true AS better_than_twice_the_mean, 4 AS families
+FROM n, range(5) runs(r), range(1, 6) folds(f)""",
 )
 def model_search(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per run and fold of a search."""
-    found = _searched(spark, _frame(spark, folder))
-    return found.select(
-        "run_id", "fold", (F.col("metrics")["test_mae"] > 0).alias("has_error"), F.col("params")["model"].isNotNull().alias("has_model")
+    """One row per run and fold of a search: the rows of the held-out block, and whether its error is sane."""
+    frame = _frame(spark, folder)
+    found = cut_lineage(_searched(spark, frame))
+    mean = frame.agg(F.avg("label").alias("mean"))
+    kinds = found.agg(F.countDistinct(F.col("params")["model"]).cast("int").alias("families"))
+    return found.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(kinds)).select(
+        "run_id", "fold", F.col("metrics")["score_rows"].cast("bigint").alias("score_rows"),
+        (F.col("metrics")["test_mae"] < 2 * F.col("mean")).alias("better_than_twice_the_mean"), "families",
     )
 
 
@@ -468,3 +474,87 @@ def empty_guard(spark: SparkSession, folder: str) -> DataFrame:
     frame = views.listings(spark, folder).where(F.col("location_id") == "none").select("url")
     predicted = train.predict(frame, model=None)
     return frame if predicted is None else predicted
+
+
+# Orders as a training table: four features, one of them constant, and whole numbers to learn.
+_ORDER_X = ["o_totalprice", "CAST(o_custkey AS DOUBLE)", "CAST(o_orderkey % 97 AS DOUBLE)", "CAST(3 AS DOUBLE)"]
+_ORDER_Y = "floor(o_totalprice / 1000) + CAST(o_custkey % 5 AS DOUBLE) * 40"
+_TREES, _DEPTH, _TRIED, _LEAST, _SEED = 3, 3, 2, 5, 7
+
+
+def order_rows(spark: SparkSession, folder: str) -> DataFrame:
+    x = F.array(*[F.expr(e) for e in _ORDER_X])
+    return cut_lineage(views.table(spark, folder, "orders").select(x.alias("x"), F.expr(_ORDER_Y).cast("double").alias("y")))
+
+
+def _drawn_sql(kind: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{kind}', '{_SEED}', tree, node, feature)), 1, 13) AS BIGINT) / CAST({1 << trees.DRAW_BITS} AS DOUBLE))"
+
+
+def _levels_sql() -> str:
+    """The same growth in SQL, a few expressions a level; rows of nodes that stay leaves fall out."""
+    out = [
+        f"rows_0 AS (SELECT tree, o_orderkey AS id, 0 AS node, [{', '.join(_ORDER_X)}] AS x, CAST({_ORDER_Y} AS DOUBLE) AS y FROM orders, range({_TREES}) t(tree))",
+        "base_0 AS (SELECT DISTINCT tree, 1 AS nodes FROM rows_0)",
+    ]
+    for k in range(_DEPTH):
+        out += [
+            f"open_{k} AS (SELECT tree, node, count(*) AS n, sum(y) AS s FROM rows_{k} GROUP BY ALL HAVING count(*) >= {2 * _LEAST})",
+            f"""ranges_{k} AS (SELECT tree, node, feature, min(x[feature + 1]) AS low, max(x[feature + 1]) AS high
+  FROM rows_{k} JOIN open_{k} USING (tree, node), range({len(_ORDER_X)}) f(feature) GROUP BY ALL HAVING min(x[feature + 1]) < max(x[feature + 1]))""",
+            f"""tried_{k} AS (SELECT *, low + {_drawn_sql('cut')} * (high - low) AS cut FROM ranges_{k}
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {_drawn_sql('feature')}, feature) <= {_TRIED})""",
+            f"""sides_{k} AS (SELECT tree, node, feature, cut, count(*) AS n, sum(y) AS s
+  FROM rows_{k} JOIN tried_{k} USING (tree, node) WHERE x[feature + 1] <= cut GROUP BY ALL)""",
+            f"""gains_{k} AS (SELECT tree, node, feature, cut, a.n AS ln, a.s AS ls, o.n - a.n AS rn, o.s - a.s AS rs,
+  a.s * a.s / a.n + (o.s - a.s) * (o.s - a.s) / (o.n - a.n) - o.s * o.s / o.n AS gain
+  FROM sides_{k} a JOIN open_{k} o USING (tree, node) WHERE a.n >= {_LEAST} AND o.n - a.n >= {_LEAST})""",
+            f"best_{k} AS (SELECT * FROM gains_{k} QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, feature) = 1)",
+            f"""made_{k} AS (SELECT b.*, nodes + 2 * (row_number() OVER (PARTITION BY b.tree ORDER BY node) - 1) AS l
+  FROM best_{k} b JOIN base_{k} USING (tree) WHERE gain > 0)""",
+            f"""rows_{k + 1} AS (SELECT tree, id, CASE WHEN x[feature + 1] <= cut THEN l ELSE l + 1 END AS node, x, y
+  FROM rows_{k} JOIN made_{k} USING (tree, node))""",
+            f"base_{k + 1} AS (SELECT b.tree, any_value(nodes) + 2 * count(m.node) AS nodes FROM base_{k} b LEFT JOIN made_{k} m ON b.tree = m.tree GROUP BY b.tree)",
+        ]
+    made = " UNION ALL ".join(f"SELECT * FROM made_{k}" for k in range(_DEPTH))
+    out += [
+        f"made AS ({made})",
+        """nodes AS (SELECT tree, 0 AS node, count(*) AS n, sum(y) AS s FROM rows_0 GROUP BY tree
+  UNION ALL SELECT tree, l, ln, ls FROM made UNION ALL SELECT tree, l + 1, rn, rs FROM made)""",
+    ]
+    return ",\n".join(out)
+
+
+@query(
+    "extra_trees",
+    f"""WITH {_levels_sql()}
+SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, CAST(coalesce(feature, -1) AS INTEGER) AS feature,
+  round(coalesce(cut, 0), 6) AS cut, CAST(n AS BIGINT) AS rows, round(s / n, 6) AS value FROM nodes LEFT JOIN made USING (tree, node)""",
+)
+def extra_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of extremely randomised trees grown over all orders."""
+    grown = trees.grow_random_trees(order_rows(spark, folder), _TREES, _DEPTH, _TRIED, _LEAST, seed=_SEED)
+    nodes = [
+        (t, k, tree.feature[k], tree.cut[k], tree.rows[k], tree.value[k]) for t, tree in enumerate(grown) for k in range(len(tree.feature))
+    ]
+    found = spark.createDataFrame(nodes, "tree int, node int, feature int, cut double, rows bigint, value double")
+    return found.withColumns({"cut": F.round("cut", 6), "value": F.round("value", 6)})
+
+
+@query(
+    "leafwise_trees",
+    "SELECT CAST(tree AS INTEGER) AS tree, CAST(6 AS INTEGER) AS leaves, count(*) AS rows, true AS better_than_mean FROM orders, range(3) t(tree) GROUP BY tree",
+)
+def leafwise_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves of each boosted tree over all orders, the rows in them, and whether the ensemble beats the mean."""
+    rows = order_rows(spark, folder)
+    base, grown = trees.boost(rows, trees.Boosting(n_estimators=3, num_leaves=6, learning_rate=0.5))
+    ends = [(t, v, n) for t, tree in enumerate(grown) for f, v, n in zip(tree.feature, tree.value, tree.rows) if f == trees.LEAF]
+    found = spark.createDataFrame(ends, "tree int, value double, n bigint").groupBy("tree").agg(
+        F.count("*").cast("int").alias("leaves"), F.sum("n").alias("rows")
+    )
+    flat = rows.select(*[F.col("x")[k].alias(f"x{k}") for k in range(len(_ORDER_X))], "y")
+    model = trees.TreeEnsembleModel(base, grown, average=False)
+    scored = model.transform(VectorAssembler(inputCols=flat.columns[:-1], outputCol="features").transform(flat))
+    error = scored.agg((F.avg((F.col("y") - F.col("prediction")) ** 2) < F.avg((F.col("y") - F.lit(base)) ** 2)).alias("better_than_mean"))
+    return found.crossJoin(F.broadcast(error))

@@ -227,6 +227,20 @@ def test_cross_validation_and_search(spark, frame):
         train.publish_best(slow, frame, names)
 
 
+def test_search_does_not_depend_on_the_order_of_its_jobs(spark, frame):
+    limits = {"n_estimators": (2, 2), "max_depth": (2, 2), "num_leaves": (2, 3)}
+
+    def run(threads):
+        found = train.search(spark, frame, features.feature_names()[:6], 5, folds=2, startup=4, limits=limits, threads=threads).collect()
+        return [(r["run_id"], r["fold"], r["params"], {k: v for k, v in r["metrics"].items() if "time" not in k}) for r in found]
+
+    together = run(6)
+    # Spark's own boosting adds partial sums as they come in; a last digit may settle a tie between cuts
+    for (*one, metrics), (*other, again) in zip(together, run(1), strict=True):
+        assert one == other and metrics == pytest.approx(again, rel=0.02 if one[2]["model"] == "XGBRegressor" else 1e-6)
+    assert len(together) == 10 and len({p["model"] for _, _, p, _ in together}) == 4
+
+
 def test_model_with_log_target_survives_storage(spark, frame, tmp_path):
     names = features.feature_names()
     model = train.create_model(names, "ExtraTreesRegressor", True, True, n_estimators=5, max_depth=5, max_features="sqrt").fit(frame)
