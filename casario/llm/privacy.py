@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and terms that reveal a protected value by the corpus's own statistics.
 
-A protected value is an address or number found by pattern. A word of a document is one that stands outside such
-values, wherever in the text. Over all documents, words and values are counted: a word reveals a value if it makes
+A protected value is an address or number found by pattern, or the class that it belongs to: the domain of an address,
+the network of an ip, the leading digits of a card or phone. A word of a document is one that stands outside such
+values, wherever in the text. Over all texts, words and values are counted: a word reveals a value if it makes
 the value likely where it was not,
 
     log2( P(value | word) / P(value) ) >= ``LEAST_BITS``   and   P(value | word) >= ``GENERALISE``,
 
-with probabilities as shares of documents and at least ``LEAST_DOCS`` documents that hold both. A revealing word is
+with probabilities as shares of distinct texts and at least ``LEAST_DOCS`` distinct texts that hold both: copies of a text are
+no further evidence. Every document is counted, and one text of each group of equal ones is counted again with the
+negative number of the others, so that only copied texts are shuffled. A revealing word is
 generalised to its shape in every place of every document, with or without the value, or removed if
 P(value | word) >= ``REMOVE``. A word that stands with a value once proves nothing; a name that goes with one address
 wherever it occurs gives the person away.
 
-Null texts are empty. Repeated rows count as documents. Offsets are code points, ends exclusive.
+Null texts are empty. Repeated rows are copies. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -113,8 +116,19 @@ def found_spans(text: str) -> list[Span]:
     return base_spans(text) if _CANDIDATE.search(text) else []
 
 
+def value_class(kind: str, raw: str) -> int:
+    """Number of what values of one owner share: domain, network, leading digits."""
+    if kind == "email":
+        return value_number(kind, raw.rpartition("@")[2])
+    if kind == "ip":
+        return value_number(kind, raw.rpartition(".")[0] + ".")
+    return value_number(f"{kind} class", _NOT_DIGIT.sub("", raw)[:6])
+
+
 def value_numbers(text: str, spans: list[Span]) -> np.ndarray:
-    return np.array(sorted({value_number(kind, text[a:b]) for kind, a, b in spans}), dtype=np.int64)
+    """Numbers of all values of a text and of their classes."""
+    found = {(kind, text[a:b]) for kind, a, b in spans}
+    return np.array(sorted({number(*value) for value in found for number in (value_number, value_class)}), dtype=np.int64)
 
 
 def free_words(column: pa.Array) -> Iterator[tuple[str, list[Span], np.ndarray, np.ndarray, np.ndarray]]:
@@ -156,28 +170,42 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _added(numbers: np.ndarray, docs: np.ndarray, each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by number, with one more for each of the new arrays that holds it."""
-    new, count = np.unique(np.concatenate(each), return_counts=True)
-    numbers, where = np.unique(np.concatenate((numbers, new)), return_inverse=True)
-    return numbers, np.bincount(where, weights=np.concatenate((docs, count)), minlength=len(numbers)).astype(np.int64)
+def weighed_texts(docs: DataFrame) -> DataFrame:
+    """(text, weight): every document with 1, and one text of each group of m equal ones with 1 - m."""
+    same = F.struct(F.xxhash64("text"), F.xxhash64(F.lit("second"), "text"))
+    texts = docs.select("text", same.alias("same"))
+    copied = cut_lineage(texts.groupBy("same").agg(F.count("*").alias("m")).where("m > 1"))
+    once = texts.join(copied, "same").groupBy("same", "m").agg(F.min("text").alias("text"))
+    return texts.select("text", F.lit(1).cast("long").alias("weight")).unionByName(
+        cut_lineage(once.select("text", (1 - F.col("m")).alias("weight")))
+    )
+
+
+def _added(numbers: np.ndarray, docs: np.ndarray, each: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by number, with the weight of each of the new arrays that holds it."""
+    all_numbers = np.concatenate((numbers, *(found for found, _ in each)))
+    weights = np.concatenate((docs, *(np.full(len(found), weight) for found, weight in each)))
+    numbers, where = np.unique(all_numbers, return_inverse=True)
+    return numbers, np.bincount(where, weights=weights, minlength=len(numbers)).astype(np.int64)
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(what, number, docs) of each batch: its documents, and every value and word of every text, once a document."""
+    """(what, number, docs) of each batch: its documents, and every value and word of every text, once a document, by weight."""
     for batch in batches:
         known = {what: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)) for what in (_VALUE, _TERM)}
-        each: dict[int, list[np.ndarray]] = {what: [] for what in known}
+        each: dict[int, list[tuple[np.ndarray, int]]] = {what: [] for what in known}
         held = 0
-        for text, spans, terms, _, _ in free_words(batch.column("text")):
-            each[_TERM].append(np.unique(terms))
+        weights = batch.column("weight").to_pylist()
+        for weight, (text, spans, terms, _, _) in zip(weights, free_words(batch.column("text"))):
+            distinct = np.unique(terms)
+            each[_TERM].append((distinct, weight))
             if spans:
-                each[_VALUE].append(value_numbers(text, spans))
-            held += len(each[_TERM][-1])
+                each[_VALUE].append((value_numbers(text, spans), weight))
+            held += len(distinct)
             if held > PAIRS:
                 known, each, held = {w: _added(*known[w], each[w]) if each[w] else known[w] for w in known}, {w: [] for w in known}, 0
         known = {w: _added(*known[w], each[w]) if each[w] else known[w] for w in known}
-        for what, (numbers, docs) in [(_DOCUMENT, (np.zeros(1, np.int64), np.array([len(batch)]))), *known.items()]:
+        for what, (numbers, docs) in [(_DOCUMENT, (np.zeros(1, np.int64), np.array([sum(weights)]))), *known.items()]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers), what, np.int32)), pa.array(numbers), pa.array(docs)], ["what", "number", "docs"])
 
 
@@ -198,12 +226,12 @@ def _place(numbers: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pairs(values, common):
-    """(value, term) of each document, for the values of a block; terms too common to reveal the value are left out."""
+    """(value, term, weight) of each document, for the values of a block; terms too common to reveal the value are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, often = values.value, common.value
         for batch in batches:
-            for text, spans, terms, _, _ in free_words(batch.column("text")):
+            for weight, (text, spans, terms, _, _) in zip(batch.column("weight").to_pylist(), free_words(batch.column("text"))):
                 if not spans:
                     continue
                 mine = value_numbers(text, spans)
@@ -218,7 +246,9 @@ def _pairs(values, common):
                     left = terms[docs * GENERALISE <= of_value]
                     for k in range(0, len(left), PAIRS):
                         some = left[k : k + PAIRS]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), value)), pa.array(some)], ["value", "term"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(some), value)), pa.array(some), pa.array(np.full(len(some), weight, np.int64))], ["value", "term", "weight"]
+                        )
 
     return run
 
@@ -226,19 +256,20 @@ def _pairs(values, common):
 def revealing(docs: DataFrame, block_rows: int = BLOCK_ROWS, common_terms: int = COMMON_TERMS) -> DataFrame:
     """(value, term, action) of the words that give a value away; see the module's text for the rule."""
     spark = docs.sparkSession
+    weighed = weighed_texts(docs)
     counts = cut_lineage(
-        docs.select("text").mapInArrow(_document_counts, "what int, number long, docs long").groupBy("what", "number")
+        weighed.mapInArrow(_document_counts, "what int, number long, docs long").groupBy("what", "number")
         .agg(F.sum("docs").alias("docs")).where((F.col("what") == _DOCUMENT) | (F.col("docs") >= LEAST_DOCS))
     )
     total = counts.where(F.col("what") == _DOCUMENT).agg(F.sum("docs")).first()[0] or 0
     values, terms = (counts.where(F.col("what") == what).select("number", "docs") for what in (_VALUE, _TERM))
     often = terms.orderBy(F.desc("docs"), "number").limit(common_terms).toArrow().sort_by("number")
     common = spark.sparkContext.broadcast({name: often.column(name).to_numpy() for name in often.column_names})
-    pairs = spark.createDataFrame([], "value long, term long")
-    texts = docs.select("text").where(F.col("text").rlike(_CANDIDATE.pattern))
+    pairs = spark.createDataFrame([], "value long, term long, weight long")
+    texts = weighed.where(F.col("text").rlike(_CANDIDATE.pattern))
     for block in _blocks(values, "number", block_rows):
-        pairs = pairs.union(texts.mapInArrow(_pairs(spark.sparkContext.broadcast(block), common), "value long, term long"))
-    together = pairs.groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_DOCS)
+        pairs = pairs.union(texts.mapInArrow(_pairs(spark.sparkContext.broadcast(block), common), "value long, term long, weight long"))
+    together = pairs.groupBy("value", "term").agg(F.sum("weight").alias("both")).where(F.col("both") >= LEAST_DOCS)
     share = F.col("both") / F.col("of_term")
     bits = F.log2(share * F.lit(float(max(total, 1))) / F.col("of_value"))
     return together.join(values.toDF("value", "of_value"), "value").join(terms.toDF("term", "of_term"), "term").where(

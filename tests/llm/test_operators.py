@@ -119,7 +119,8 @@ def test_revealing_terms(spark):
 @pytest.mark.parametrize("block_rows", [privacy.BLOCK_ROWS, 2])
 def test_revealing_terms_anywhere(spark, block_rows):
     filler = " ".join(f"plain{k}" for k in range(30))
-    rows = [(k, f"Zorro {filler} write to fox@den.org {filler} signed zorro, Vega") for k in range(12)]
+    # texts that differ: copies would be no evidence
+    rows = [(k, f"Zorro {filler} write to fox@den.org {filler} signed zorro, Vega{' plain1' * k}") for k in range(12)]
     rows += [(50, f"{filler} only zorro is named here")]
     rows += [(100 + k, f"{filler} write to c{k}@office.org") for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
