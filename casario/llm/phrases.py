@@ -1,6 +1,6 @@
 """Collocations: phrases of two to five words that occur together more often than their parts would.
 
-1. Tasks gather texts into chunks of one language. Words are counted by hash, each chunk's own counts first.
+1. Tasks gather texts into chunks of one language. Words are counted, each chunk's own counts first.
 2. Words that reach ``min_count`` are ranked by frequency, and chunks are written as the ranks of their word occurrences, with a gap
    for other words and where a piece ends. Up to ``BROADCAST_ROWS`` ranks are broadcast. More of them meet the chunks, written with
    numbers of their own dictionaries, in a cogroup by chunk, so that neither side ever grows beyond a chunk.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casario.llm.arrays import LOWER, PHRASE_ENDS, chunks, utf8, words
+from casario.llm.arrays import LOWER, PHRASE_ENDS, chunks, prefix_sums, slice_hashes, utf8, words
 from casario.llm.frames import numbered
 from casario.session import cut_lineage, scratch_path
 
@@ -47,13 +47,13 @@ ROW_GROUP = str(16 << 20)
 # So many ranks, of 16 bytes, are broadcast; more are joined.
 BROADCAST_ROWS = 1 << 20
 
-CHUNK_ROW = "chunk long, lang string, ids binary, code long, h long, word string, n long"
-COUNT_ROW = "lang string, h long, n long"
+CHUNK_ROW = "chunk long, lang string, ids binary, code long, word string, n long"
+COUNT_ROW = "lang string, word string, n long"
 IDS_ROW = "chunk long, lang string, ids binary"
 _32 = np.int64(32)
 
 
-def spoken(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+def spoken(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """(hash, whether a piece starts, lower-cased bytes, first byte, end byte) of the words of a chunk."""
     data = np.concatenate(texts)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -69,7 +69,7 @@ def spoken(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, bytes, np.n
         fresh[1:] = (owner[1:] != owner[:-1]) | (breaks[first[1:]] != breaks[first[:-1]])
         found.append((hashes, fresh, first + base, end + base))
     hashes, fresh, first, end = (np.concatenate(x) for x in zip(*found))
-    return hashes.view(np.int64), fresh, LOWER[data].tobytes(), first, end
+    return hashes.view(np.int64), fresh, LOWER[data], first, end
 
 
 def found_ranks(codes: np.ndarray, ranks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -87,40 +87,56 @@ def squeezed(ids: np.ndarray) -> np.ndarray:
     return ids[keep]
 
 
+def spelt(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The slices of a text as strings, gathered at once."""
+    sizes = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    letters = lower[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters))
+
+
+def hashes_of(found: pa.Array) -> np.ndarray:
+    """The hashes that :func:`spoken` gives to lower-cased words."""
+    data, offsets = utf8(found)
+    parts = [slice_hashes(prefix_sums(data[offsets[a] : offsets[b]]), offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a]) for a, b in chunks(offsets)]
+    return np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+
+
 def count_rows(chunk: int, lang: str, texts: list[np.ndarray]) -> pa.RecordBatch:
-    """(hash, count) of each distinct word of a chunk."""
-    distinct, n = np.unique(spoken(texts)[0], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct), pa.array(n, pa.int64())], ["lang", "h", "n"])
+    """(word, count) of each distinct word of a chunk."""
+    hashes, _, lower, starts, ends = spoken(texts)
+    distinct, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(distinct), pa.string()), spelt(lower, starts[first], ends[first]), pa.array(n, pa.int64())], ["lang", "word", "n"]
+    )
 
 
 NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
 
 def chunk_rows(known):
-    """Makes the rows of a chunk: one of its occurrences, then one for each distinct word.
+    """Makes the rows of a chunk: one of its occurrences, then its dictionary if that is needed.
 
-    Occurrences are ranks, and the words those with a rank, where ``known`` broadcasts the ranks of hashes; else numbers of the
-    chunk's own dictionary, which is given whole.
+    Occurrences are ranks where ``known`` broadcasts the ranks of hashes; else numbers of the chunk's own dictionary, which follows.
     """
 
     def rows_of(chunk: int, lang: str, texts: list[np.ndarray]) -> pa.RecordBatch:
         hashes, fresh, lower, starts, ends = spoken(texts)
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        own = np.arange(len(distinct), dtype=np.int32)
-        if known is not None:
-            own = found_ranks(*known.value.get(lang, NOTHING), distinct)
+        if known is None:
+            own, rows = np.arange(len(distinct), dtype=np.int32), len(distinct)
+        else:
+            own, rows = found_ranks(*known.value.get(lang, NOTHING), distinct), 0
         ids = squeezed(np.insert(own[place], np.flatnonzero(fresh), np.int32(-1)))
-        wanted = np.flatnonzero(own >= 0)
-        spelt = [lower[a:b] for a, b in zip(starts[first[wanted]].tolist(), ends[first[wanted]].tolist())]
-        rows = len(wanted)
+        listed = spelt(lower, starts[first[:rows]], ends[first[:rows]])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(rows + 1, chunk), pa.int64()), pa.array([lang] * (rows + 1), pa.string()),
                 pa.chunked_array([pa.array([ids.tobytes()], pa.binary()), pa.nulls(rows, pa.binary())]).combine_chunks(),
-                pa.array(np.concatenate(([-1], own[wanted])), pa.int64()), pa.array(np.concatenate(([0], distinct[wanted])), pa.int64()),
-                pa.array([None, *spelt], pa.binary()).cast(pa.string()), pa.array(np.concatenate(([len(hashes)], np.zeros(rows))).astype(np.int64)),
+                pa.array(np.arange(-1, rows), pa.int64()), pa.chunked_array([pa.nulls(1, pa.string()), listed]).combine_chunks(),
+                pa.array(np.concatenate(([len(hashes)], np.zeros(rows))).astype(np.int64)),
             ],
-            ["chunk", "lang", "ids", "code", "h", "word", "n"],
+            ["chunk", "lang", "ids", "code", "word", "n"],
         )
 
     return rows_of
@@ -245,13 +261,16 @@ def _ranked(counted: DataFrame, key: str, min_count: int) -> DataFrame:
 
 
 def _broadcast(ranked: DataFrame, key: str, most_rows: int):
-    """Ranks by language and sorted key as a broadcast, or None if there are more than ``most_rows``."""
+    """Ranks by language and sorted code, which is the hash of a word, as a broadcast; None if there are more than ``most_rows``."""
     if ranked.count() > most_rows:
         return None
-    table, known = ranked.select("lang", key, "id").orderBy("lang", key).toArrow(), {}
+    table, known = ranked.select("lang", key, "id").toArrow().combine_chunks(), {}
     for lang in table.column("lang").unique().to_pylist():
-        part = table.filter(pc.equal(table.column("lang"), lang))
-        known[lang] = part.column(key).to_numpy(), part.column("id").to_numpy().astype(np.int32)
+        part = table.filter(pc.equal(table.column("lang"), lang)).combine_chunks()
+        keys = part.column(key)
+        codes = hashes_of(pa.concat_arrays(keys.chunks)) if key == "word" else keys.to_numpy()
+        order = np.argsort(codes)
+        known[lang] = codes[order], part.column("id").to_numpy()[order].astype(np.int32)
     return ranked.sparkSession.sparkContext.broadcast(known)
 
 
@@ -278,17 +297,16 @@ def frequent_phrases(
     the phrases without the last and without the first word.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    ranked = cut_lineage(_ranked(texts.mapInArrow(_chunked(chunk_bytes, count_rows), COUNT_ROW), "h", min_count))
-    known = _broadcast(ranked, "h", broadcast_rows)
+    ranked = cut_lineage(_ranked(texts.mapInArrow(_chunked(chunk_bytes, count_rows), COUNT_ROW), "word", min_count))
+    known = _broadcast(ranked, "word", broadcast_rows)
     rows = _written(texts.mapInArrow(_chunked(chunk_bytes, chunk_rows(known)), CHUNK_ROW), "chunks")
-    chunked, spelt = rows.where(F.col("ids").isNotNull()), rows.where(F.col("word").isNotNull())
+    chunked = rows.where(F.col("ids").isNotNull())
     totals = cut_lineage(chunked.groupBy("lang").agg(F.sum("n").alias("n")))
     if known is None:
-        chunked = _met(chunked, _hits(spelt, ranked, "h"), paired=False)
-    spelt = spelt.select("lang", "h", "word").join(ranked.select("lang", "h", "id"), ["lang", "h"]).groupBy("lang", "id").agg(F.min("word").alias("phrase"))
-    empty, no_id = F.array().cast("array<long>"), F.lit(None).cast("long")
-    levels = [cut_lineage(ranked.join(spelt, ["lang", "id"]).select(
-        "lang", "id", "f", "phrase", F.col("phrase").alias("last"), empty.alias("prefixes"), empty.alias("suffixes"), no_id.alias("a"), no_id.alias("b")
+        chunked = _met(chunked, _hits(rows.where(F.col("word").isNotNull()), ranked, "word"), paired=False)
+    empty, no_id, word = F.array().cast("array<long>"), F.lit(None).cast("long"), F.col("word")
+    levels = [cut_lineage(ranked.select(
+        "lang", "id", "f", word.alias("phrase"), word.alias("last"), empty.alias("prefixes"), empty.alias("suffixes"), no_id.alias("a"), no_id.alias("b")
     ))]
     for size in range(2, most_words + 1):
         pairs = chunked.select("chunk", "lang", "ids").mapInArrow(_pairs, "chunk long, lang string, code long, n long")
