@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casario.functions import numbers, texts
-from casario.operators.ranks import keys_at
+from casario.operators.ranks import grouped_median, keys_at
 from casario.schemas import SEGMENT
 
 TABLE_COLUMNS = ("title", "usable_area", "type_unit", "estacao", "distance", "total_fee", "total_fee_predict")
@@ -114,16 +114,28 @@ def centroid(df: DataFrame) -> DataFrame:
     return with_place(df).agg(F.avg("address_lat").alias("lat"), F.avg("address_lon").alias("lon"))
 
 
-def clusters(df: DataFrame, cell: float = 0.05) -> DataFrame:
-    """Points grouped by grid cell, as a map shows them zoomed out."""
-    return (
-        with_place(df)
-        .groupBy(
-            F.floor(F.col("address_lat") / F.lit(cell)).alias("cell_lat"),
-            F.floor(F.col("address_lon") / F.lit(cell)).alias("cell_lon"),
-        )
-        .agg(F.count(F.lit(1)).alias("points"), F.avg("address_lat").alias("lat"), F.avg("address_lon").alias("lon"))
-    )
+_CELL = ("cell_lat", "cell_lon")
+
+
+def clusters(df: DataFrame, cell: float = 0.05, levels: int = 1) -> DataFrame:
+    """Points grouped by grid cell, as a map shows them zoomed out, with their mean place and exact median fee.
+
+    Level 0 has cells of ``cell`` degrees, each further one cells of twice the side. Counts and sums of all levels are rolled up
+    from the cells of level 0, so the points are aggregated once; only the median returns to them.
+    """
+    placed = with_place(df).withColumns({
+        name: F.floor(F.col(place) / F.lit(cell)) for name, place in zip(_CELL, ("address_lat", "address_lon"))
+    })
+    finest = placed.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("points"), F.sum("address_lat").alias("lat"), F.sum("address_lon").alias("lon"))
+    zoom = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+
+    def at_level(rows: DataFrame, *keep: str) -> DataFrame:
+        """Each row once a level, in the cell that holds it there."""
+        return rows.select(zoom, *_CELL, *keep).withColumns({c: F.expr(f"shiftright({c}, level)") for c in _CELL})
+
+    rolled = at_level(finest, "points", "lat", "lon").groupBy("level", *_CELL).agg(F.sum("points").alias("points"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"))
+    fees = grouped_median(at_level(placed, "total_fee"), ["level", *_CELL], "total_fee", "median_fee")
+    return rolled.withColumns({c: F.col(c) / F.col("points") for c in ("lat", "lon")}).join(fees, ["level", *_CELL], "left")
 
 
 def last_update(active: DataFrame) -> DataFrame:

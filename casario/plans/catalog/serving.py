@@ -162,17 +162,27 @@ def centroid(spark: SparkSession, folder: str) -> DataFrame:
     return serve.centroid(views.offers(spark, folder)).select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query(
-    "grid_clusters",
-    f"""WITH {views.OFFERS}
-SELECT CAST(floor(address_lat / CAST(0.05 AS DOUBLE)) AS BIGINT) AS cell_lat,
-       CAST(floor(address_lon / CAST(0.05 AS DOUBLE)) AS BIGINT) AS cell_lon,
-       count(*) AS points, round(avg(address_lat), 6) AS lat, round(avg(address_lon), 6) AS lon
-FROM offers WHERE address_lat IS NOT NULL AND address_lon IS NOT NULL GROUP BY 1, 2""",
-)
+_CLUSTER_SQL = f"""WITH {views.OFFERS}
+SELECT {{level}}CAST(floor(address_lat / CAST(0.05 AS DOUBLE)) AS BIGINT) >> z AS cell_lat,
+       CAST(floor(address_lon / CAST(0.05 AS DOUBLE)) AS BIGINT) >> z AS cell_lon,
+       count(*) AS points, round(avg(address_lat), 6) AS lat, round(avg(address_lon), 6) AS lon, round(median(total_fee), 4) AS median_fee
+FROM offers, (SELECT unnest({{levels}}) AS z) WHERE address_lat IS NOT NULL AND address_lon IS NOT NULL GROUP BY ALL"""
+
+
+def _clusters(spark: SparkSession, folder: str, levels: int) -> DataFrame:
+    found = serve.clusters(views.offers(spark, folder), levels=levels)
+    return found.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6), "median_fee": F.round("median_fee", 4)})
+
+
+@query("grid_clusters", _CLUSTER_SQL.format(level="", levels="[0]"))
 def grid_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    found = serve.clusters(views.offers(spark, folder))
-    return found.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+    return _clusters(spark, folder, 1).drop("level")
+
+
+@query("cluster_levels", _CLUSTER_SQL.format(level="CAST(z AS INTEGER) AS level, ", levels="[0, 1, 2, 3, 4]"))
+def cluster_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The clusters of five zoom levels at once."""
+    return _clusters(spark, folder, 5)
 
 
 @query(

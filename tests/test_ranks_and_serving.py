@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 import statistics
 
@@ -109,6 +110,24 @@ def test_counts_and_bounds(offers):
     assert serve.centroid(offers).first()["lat"] == -22.0
 
 
+def test_clusters_of_every_level(spark):
+    rng = random.Random(12)
+    rows = [(rng.uniform(-1, 1), rng.uniform(-1, 1), float(rng.randint(1, 40)) if k % 7 else None) for k in range(500)] + [(None, 0.5, 1.0), (0.5, None, 1.0)]
+    df = spark.createDataFrame(rows, "address_lat double, address_lon double, total_fee double")
+    want = {}
+    for lat, lon, fee in rows[:500]:
+        for level in range(4):
+            side = 0.1 * 2**level
+            want.setdefault((level, math.floor(lat / side), math.floor(lon / side)), []).append((lat, lon, fee))
+    got = {(r["level"], r["cell_lat"], r["cell_lon"]): r for r in serve.clusters(df, 0.1, levels=4).collect()}
+    assert set(got) == set(want)
+    for key, points in want.items():
+        fees = [fee for _, _, fee in points if fee is not None]
+        assert got[key]["points"] == len(points) and got[key]["lat"] == pytest.approx(statistics.fmean(p[0] for p in points))
+        assert got[key]["median_fee"] == (statistics.median(fees) if fees else None)
+    assert serve.clusters(df.limit(0)).count() == 0
+
+
 def test_stale_segments(spark):
     schema = "business_type string, listing_type string, location_id string"
     asked = spark.createDataFrame([("RENTAL", "USED", x) for x in "abc"], schema)
