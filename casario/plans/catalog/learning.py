@@ -12,6 +12,7 @@ from casario.plans import train, trees
 from casario.plans.catalog import views
 from casario.plans.catalog.registry import query
 from casario.plans.catalog.serving import PRICED, priced_items
+from casario.schemas import LISTING_TYPES
 from casario.session import cut_lineage, scratch_path
 from casario.sources.tables import Store
 
@@ -223,6 +224,20 @@ def feature_frame(spark: SparkSession, folder: str) -> DataFrame:
     return frame.withColumns({**rounded, "neighborhood": F.round("neighborhood", 4)})
 
 
+@query("training_set", _feature_sql())
+def training_set(spark: SparkSession, folder: str) -> DataFrame:
+    """The same matrix out of a stored listing table, of whose columns half are read."""
+    store = Store(spark, scratch_path(spark, "training"), buckets=8)
+    listings = stored_listings(spark, folder)
+    whole = listings.select(*[
+        (F.col(name) if name in listings.columns else F.lit(None)).cast(kind).alias(name) for name, kind in LISTING_TYPES.items()
+    ])
+    store.replace_partitions("listing", store.with_bucket(whole))
+    frame = train.training_frame(store, as_of())
+    rounded = {c: F.round(c, 9) for c in ("address_lat", "address_lon")}
+    return frame.withColumns({**rounded, "neighborhood": F.round("neighborhood", 4)})
+
+
 def trial_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Orders as trials and order lines (first of each order) as their scores, rounded so that some repeat."""
     k = F.col("o_orderkey")

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from casario.operators import features, trials
 from casario.plans import refresh, train
 from casario.plans.catalog import upserts
+from casario.schemas import LISTING_TYPES, TRAINING_COLUMNS
 from casario.sources import stations
 from casario.sources.tables import Store
 from casario.streaming import ingest
@@ -213,6 +215,22 @@ def frame(listings):
     return features.feature_frame(listings, None, _as_of()).cache()
 
 
+def test_training_reads_only_its_columns(spark, listings, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    whole = listings.select(*[
+        (F.col(n) if n in listings.columns else F.lit(None)).cast(t).alias(n) for n, t in LISTING_TYPES.items()
+    ])
+    store.replace_partitions("listing", store.with_bucket(whole))
+    frame = train.training_frame(store, _as_of())
+    assert frame.count() == listings.count()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    read = [set(re.findall(r"(\w+):", part)) for part in re.findall(r"ReadSchema: struct<(.*)>", plan)]
+    # the other scan is that of the fitted encoding
+    assert max(read, key=len) == set(TRAINING_COLUMNS)
+
+
 def test_cross_validation_and_search(spark, frame):
     names = features.feature_names()
     limits = {"n_estimators": (2, 3), "max_depth": (2, 3)}
