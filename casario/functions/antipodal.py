@@ -5,7 +5,8 @@ longitude that the geodesic reaches at the latitude of the second point (Karney,
 are mirrored so that the first is the southern one of larger latitude; then that longitude grows with the azimuth,
 which also brackets it: a step that leaves the bracket halves it.
 
-The expression is interpreted, a few microseconds a step. It is meant for the rare rows that need it.
+The expression is interpreted: some 3 ms a row where it was measured (150,000 rows in 52 s on 8 cores). It is meant for the rare
+rows that need it.
 """
 
 from __future__ import annotations

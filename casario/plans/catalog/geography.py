@@ -114,23 +114,23 @@ ANTIPODAL = [
 @query(
     "antipodal_distance",
     f"""WITH known(pair, metres) AS (VALUES {', '.join(f'({i}, {p[4]:.3f})' for i, p in enumerate(ANTIPODAL))})
-SELECT o_orderkey, CAST(o_orderkey % {len(ANTIPODAL)} AS INTEGER) AS pair, CAST(metres AS DOUBLE) AS metres
-FROM orders JOIN known ON pair = o_orderkey % {len(ANTIPODAL)}""",
+SELECT c_custkey, CAST(c_custkey % {len(ANTIPODAL)} AS INTEGER) AS pair, CAST(metres AS DOUBLE) AS metres
+FROM customer JOIN known ON pair = c_custkey % {len(ANTIPODAL)}""",
 )
 def antipodal_distance(spark: SparkSession, folder: str) -> DataFrame:
     """Known pairs, turned to the meridian of each row, with ends swapped and hemispheres mirrored: their distances stay."""
-    pair = (F.col("o_orderkey") % len(ANTIPODAL)).cast("int")
+    pair = (F.col("c_custkey") % len(ANTIPODAL)).cast("int")
     lat1, lon1, lat2, lon2 = (F.get(F.array(*[F.lit(p[k]) for p in ANTIPODAL]), F.col("pair")) for k in range(4))
-    turn = (F.col("o_custkey") % 720).cast("double") / F.lit(2.0) - F.lit(180.0)
-    north = F.when(F.col("o_custkey") % 2 == 0, 1.0).otherwise(-1.0)
-    orders = views.table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    turn = ((F.col("c_custkey") * 7) % 720).cast("double") / F.lit(2.0) - F.lit(180.0)
+    north = F.when(F.col("c_custkey") % 3 == 0, 1.0).otherwise(-1.0)
+    customers = views.table(spark, folder, "customer").select("c_custkey")
     # a scan of few files would solve on few cores
-    placed = orders.repartition("o_orderkey").withColumn("pair", pair).select(
-        "o_orderkey", "pair", (F.col("o_orderkey") % 4 < 2).alias("swap"),
+    placed = customers.repartition("c_custkey").withColumn("pair", pair).select(
+        "c_custkey", "pair", (F.col("c_custkey") % 4 < 2).alias("swap"),
         (lat1 * north).alias("a"), (lon1 + turn).alias("b"), (lat2 * north).alias("c"), (lon2 + turn).alias("d"),
     )
     first = [F.when(F.col("swap"), F.col(x)).otherwise(F.col(y)) for x, y in (("c", "a"), ("d", "b"))]
     second = [F.when(F.col("swap"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "c"), ("b", "d"))]
     return geo.with_geodesic(placed, *first, *second, "metres").select(
-        "o_orderkey", "pair", F.round("metres", 3).alias("metres")
+        "c_custkey", "pair", F.round("metres", 3).alias("metres")
     )
