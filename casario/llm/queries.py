@@ -38,6 +38,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(
         "doc_id", length.alias("n_bytes"), (length - left).alias("n_removed"),
         F.size("__llm_spans").cast("long").alias("n_spans"), F.sha2("__llm_kept", 256).alias("kept_sha256"),
+        F.col("__llm_shared").alias("n_shared"), (F.col("__llm_shared") > 0).alias("shares_passage"),
     )
 
 

@@ -47,6 +47,19 @@ def substrings(texts: list[str | None], length: int) -> list[tuple[int, int, int
     return out
 
 
+def shared_passages(docs: list[tuple], n: int) -> list[int]:
+    """Words of each document at which a passage of n words starts that also stands in a document of another id or text."""
+    where: dict = {}
+    cells = []
+    for k, text in docs:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        w = words(low)
+        cells.append([tuple(w[i : i + n]) for i in range(len(w) - n + 1)])
+        for c in cells[-1]:
+            where.setdefault(c, set()).add((k, text))
+    return [sum(len(where[c]) > 1 for c in row) for row in cells]
+
+
 def line_key(line: str) -> str:
     return line.strip(WHITE).translate(UPPER)
 

@@ -49,6 +49,26 @@ def test_substrings(docs, corpus, length, shard_bytes):
         assert (n, n - len(r["__llm_kept"]), len(r["__llm_spans"]), brute.sha(bytes(r["__llm_kept"]))) == want[r.doc_id]
 
 
+def test_periodic_texts_and_shared_passages(spark, corpus):
+    """Repeated cells are one run; passages shared within one document only do not count as shared."""
+    rng = random.Random(3)
+    own = " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))
+    rows = corpus + [(900, "a" * 3000), (901, "abcdefg" * 500), (902, "xbcdefg" + "abcdefg" * 90), (903, own + " between " + own),
+                     (904, "la " * 400), (905, "LA " * 200 + "end"), (906, own[:-4] + "other"), (906, own[:-4] + "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute.substrings([t for _, t in rows], 40)
+    shared = brute.shared_passages(rows, 12)
+    expected = sorted((k, *w, s) for (k, _), w, s in zip(rows, want, shared))
+    for shard_bytes in (500, 1 << 20):
+        got = substrings.remove_repeats(docs, 40, shard_bytes, 12).collect()
+        assert sorted(
+            (r.doc_id, len((r.text or "").encode()), len((r.text or "").encode()) - len(r["__llm_kept"]), len(r["__llm_spans"]),
+             brute.sha(bytes(r["__llm_kept"])), r["__llm_shared"]) for r in got
+        ) == expected
+    runs = substrings.runs_of(substrings.prefix_sums(substrings.np.full(10_000, 97, dtype="uint8")), substrings.np.array([0, 10_000]), 400)
+    assert len(runs[0]) == 1 and runs[3].sum() == 9_601
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 @pytest.mark.parametrize("min_docs", [2, 10])
 def test_lines(spark, docs, corpus, keep, min_docs):
