@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casario.functions import numbers, texts
@@ -15,6 +16,8 @@ TABLE_COLUMNS = ("title", "usable_area", "type_unit", "estacao", "distance", "to
 PAGE_SIZE = 25
 # The first pages are one top-k, as each task keeps this many rows at most; deeper ones are located by position.
 TOP_K_ROWS = 40 * PAGE_SIZE
+# A page of a stored order reads whole files, so this bounds what it reads.
+FILE_ROWS = 1_000_000
 
 
 def in_segment(df: DataFrame, business_type: str, listing_type: str, location_id: str) -> DataFrame:
@@ -73,6 +76,43 @@ def page_of(
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def store_order(
+    df: DataFrame, path: str, sort_by: list[tuple[str, str]] | None = None, key: str = "url", file_rows: int = FILE_ROWS
+) -> None:
+    """Writes the rows in page order below ``path``, with the first position of every file, for ``stored_page``.
+
+    Rows that tie in order and key follow a hash of the row, so no page depends on the run; equal rows are interchangeable.
+    One global sort serves all pages until the rows change; ``path`` must be new.
+    """
+    tie = F.xxhash64(F.to_json(F.struct(*df.columns)))
+    ordered = df.orderBy(*sort_columns(sort_by or [], key), tie)
+    ordered.write.option("maxRecordsPerFile", file_rows).parquet(f"{path}/rows")
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+    files = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    # one row a file; the number of the task, then that of its file
+    before = Window.orderBy(
+        F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)\.", 1).cast("long")
+    ).rowsBetween(Window.unboundedPreceding, -1)
+    files.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/starts")
+
+
+def stored_page(spark: SparkSession, path: str, page: int, size: int = PAGE_SIZE) -> DataFrame:
+    """Rows ``[page*size, (page+1)*size)`` of a stored order. Only the files that hold them are read; past the end there are none."""
+    first = page * size
+    schema = spark.read.parquet(f"{path}/rows").schema
+    files = spark.read.parquet(f"{path}/starts").where((F.col("start") < first + size) & (F.col("start") + F.col("rows") > first))
+    place = "__place"
+    parts = [
+        spark.read.schema(schema).parquet(f"{path}/rows/{f['file']}")
+        .select(*schema.names, (F.col("_metadata.row_index") + f["start"]).alias(place))
+        .where(F.col(place).between(first, first + size - 1))
+        for f in files.collect()
+    ]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts).orderBy(place).drop(place)
+
+
 def table_page(
     df: DataFrame, page: int = 0, size: int = PAGE_SIZE, sort_by: list[tuple[str, str]] | None = None
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from casario.functions import texts
 from casario.operators import serve
 from casario.plans.catalog import views
 from casario.plans.catalog.registry import query
+from casario.session import scratch_path
 from casario.sources import locations
 
 
@@ -89,7 +90,9 @@ ORDER BY bedrooms DESC NULLS LAST, total_fee ASC NULLS LAST, url LIMIT 25 OFFSET
 )
 def deep_page(spark: SparkSession, folder: str) -> DataFrame:
     offers = views.offers(spark, folder).select("url", "total_fee", "bedrooms")
-    return serve.page_of(offers, page=400, sort_by=[("bedrooms", "desc"), ("total_fee", "asc")], top_k=5000)
+    path = scratch_path(spark, "order")
+    serve.store_order(offers, path, sort_by=[("bedrooms", "desc"), ("total_fee", "asc")])
+    return serve.stored_page(spark, path, page=400)
 
 
 @query("page_count", "SELECT count(*) AS rows, greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT)) AS pages FROM orders")

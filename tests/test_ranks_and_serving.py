@@ -186,3 +186,20 @@ def test_median_of_tiny_and_huge_values(spark):
     rows = [(g, v) for g, values in groups.items() for v in values]
     got = ranks.grouped_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "m").collect()
     assert {r["g"]: r["m"] for r in got} == {g: statistics.median(v) for g, v in groups.items()}
+
+
+def test_stored_order(spark, tmp_path):
+    """Every page equals the sorted rows, with ties, nulls and repeated rows, and reads few of the files."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None, f"u{k}"]), rng.choice([None, 1.0, 2.0, 3.0]), rng.randrange(3), {"k": k % 2}) for k in range(500)]
+    df = spark.createDataFrame(rows, "url string, fee double, rooms int, extra map<string,int>").repartition(7)
+    serve.store_order(df, f"{tmp_path}/order", [("fee", "desc")], file_rows=60)
+    pages = [serve.stored_page(spark, f"{tmp_path}/order", p, 40) for p in range(14)]
+    assert [p.count() for p in pages] == [40] * 12 + [20, 0]
+    got = [tuple(r) for p in pages for r in p.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, rows))
+    order = [(r[1] is None, -(r[1] or 0), r[0] is None, r[0] or "") for r in got]
+    assert order == sorted(order)
+    assert all(len(p.inputFiles()) <= 2 for p in pages) and len(spark.read.parquet(f"{tmp_path}/order/rows").inputFiles()) >= 9
+    serve.store_order(df.limit(0), f"{tmp_path}/none", [("fee", "desc")])
+    assert serve.stored_page(spark, f"{tmp_path}/none", 0).collect() == []
