@@ -43,7 +43,10 @@ def observe(
 
 
 def merge_into(store: Store, batch: DataFrame, force: bool = False, **columns) -> None:
-    """Folds a batch and merges it into the touched buckets of the listing table."""
+    """Folds a batch and merges it into the touched buckets of the listing table.
+
+    Stored rows are joined where they lie; only the folded batch is shuffled.
+    """
     folded = store.with_bucket(cut_lineage(upsert.fold_batch(batch, key=store.key, force=force, **columns)))
     touched = store.touched_buckets(folded)
     if not touched:
@@ -53,7 +56,7 @@ def merge_into(store: Store, batch: DataFrame, force: bool = False, **columns) -
     merged = upsert.merge(stored, folded.drop("url_bucket"), key=store.key, force=force, **columns)
     if {"created", "updated"} <= set(merged.columns):
         merged = upsert.stamp_audit(merged)
-    store.replace_partitions("listing", store.with_bucket(merged.drop("_op")))
+    store.replace_partitions("listing", store.with_bucket(merged.drop("_op")), placed=True)
 
 
 def activate(store: Store, segments: DataFrame, batch: DataFrame, as_of: dt.datetime) -> None:
@@ -80,7 +83,7 @@ def score_active(store: Store, model: PipelineModel, encoding: DataFrame, segmen
     predictions = model.transform(frame).select("url", "prediction")
     touched = store.touched_buckets(predictions)
     part = listings.where(F.col("url_bucket").isin(touched))
-    store.replace_partitions("listing", upsert.write_back(part, predictions))
+    store.replace_partitions("listing", upsert.write_back(part, predictions), placed=True)
     return True
 
 

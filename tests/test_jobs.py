@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from casario.operators import features, trials
+from casario.operators import features, serve, trials, upsert
 from casario.plans import refresh, train
 from casario.plans.catalog import upserts
 from casario.schemas import LISTING_TYPES, TRAINING_COLUMNS
@@ -120,6 +120,80 @@ def test_bucket_count_belongs_to_the_table(spark, tmp_path):
         Store(spark, str(tmp_path), buckets=16)
 
 
+def _listings(store, rows):
+    """(url, location, fee) as stored rows of one kind."""
+    given = store.spark.createDataFrame(rows, "url string, location_id string, total_fee double").withColumns(
+        {"business_type": F.lit("RENTAL"), "listing_type": F.lit("USED"), "updated_date": F.lit("2024-01-01").cast("timestamp")}
+    )
+    return store.with_bucket(given.select(*[(F.col(n) if n in given.columns else F.lit(None)).cast(t).alias(n) for n, t in store.types["listing"].items()]))
+
+
+def _scans(df):
+    """Files read and rows left by row groups, of every scan, after running ``df``."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append((node.metrics().apply("numFiles").value(), node.metrics().apply("numOutputRows").value()))
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_merge_moves_no_stored_rows(spark, tmp_path):
+    """Stored rows are joined in their buckets; folders no row of the batch belongs to keep their files."""
+    store = Store(spark, str(tmp_path), buckets=8)
+    store.replace_partitions("listing", _listings(store, [(f"/{i}", "L", 1.0) for i in range(200)]))
+    files = {str(f) for f in (tmp_path / "listing").rglob("*.parquet")}
+    assert len(files) == 8
+    batch = _listings(store, [("/7", "L", 9.0), ("/new", "L", 5.0)]).drop("url_bucket").withColumn("seq", F.lit(1))
+    batch = batch.withColumn("updated_date", F.lit("2024-01-02").cast("timestamp"))
+    folded = upsert.fold_batch(batch)
+    plan = upsert.merge(store.read("listing"), folded)._jdf.queryExecution().executedPlan().toString()
+    stored_side = plan[plan.index("SortMergeJoin"):].split("+- Sort")[0]
+    assert "Bucketed: true" in stored_side and "Exchange" not in stored_side
+    touched = set(store.touched_buckets(batch))
+    refresh.merge_into(store, batch)
+    after = {str(f) for f in (tmp_path / "listing").rglob("*.parquet")}
+    assert len(after) == 8 and len(files - after) == len(touched) < 8
+    got = {r["url"]: r["total_fee"] for r in store.read("listing").collect()}
+    assert len(got) == 201 and got["/7"] == 9.0 and got["/new"] == 5.0 and got["/8"] == 1.0
+    # a store of its own, as another job has, sees the same rows
+    assert Store(spark, str(tmp_path)).read("listing").count() == 201
+
+
+def test_reads_skip_files_and_row_groups(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    spark._jsc.hadoopConfiguration().set("parquet.block.size", "1024")
+    spark._jsc.hadoopConfiguration().set("parquet.block.row.count.limit", "100")
+    try:
+        store.replace_partitions("listing", _listings(store, [(f"/{i}", f"L{i % 20:02d}", float(i)) for i in range(8000)]))
+    finally:
+        spark._jsc.hadoopConfiguration().unset("parquet.block.size")
+        spark._jsc.hadoopConfiguration().unset("parquet.block.row.count.limit")
+    one = store.lookup("/4321")
+    assert [r["total_fee"] for r in one.collect()] == [4321.0]
+    [(n, rows)] = _scans(store.lookup("/4321"))
+    assert n == 1 and rows <= 100
+    assert store.lookup("/absent").count() == 0 and _scans(store.lookup("/absent"))[0][1] == 0
+    segment = serve.in_segment(store.read("listing"), "RENTAL", "USED", "L03")
+    assert segment.count() == 400
+    [(n, rows)] = _scans(segment.select("url", "total_fee", "location_id"))
+    assert n == 4 and 400 <= rows <= 2000
+
+
+def test_older_layouts_are_refused(spark, tmp_path):
+    spark.range(1).select(F.lit(4).alias("buckets")).write.parquet(str(tmp_path / "layout"))
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path))
+
+
 def _pages(spark, path):
     from casario.sources.pages import read_pages
 
