@@ -146,24 +146,46 @@ def landed_searches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return pages.read_pages(spark, path), asked.withColumns({c: F.lit(v) for c, v in fixed.items()})
 
 
-@query(
-    "refresh_pages",
-    f"""WITH {cleaning.RECORDS.replace('k % 103 <> 0 AND ', '')}
+_LANDED = f"""WITH {cleaning.RECORDS.replace('k % 103 <> 0 AND ', '')}
 SELECT 'https://site.example/l/' || t AS url, 'N' || CAST(c_nationkey AS VARCHAR) AS location_id,
   CASE WHEN rental THEN 'RENTAL' ELSE 'SALE' END AS business_type, o_orderpriority AS listing_type,
   CAST(k % 5 AS INTEGER) AS bedrooms, CASE WHEN rental AND k % 10 = 0 THEN price * 30 ELSE price END + coalesce(condo_fee, 0) AS total_fee,
-  CASE WHEN k % 19 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS updated_date FROM priced""",
-)
+  CASE WHEN k % 19 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS updated_date FROM priced"""
+
+
+def _shown(listings: DataFrame) -> DataFrame:
+    return listings.select(
+        "url", "location_id", "business_type", "listing_type", "bedrooms", "total_fee",
+        F.col("updated_date").cast("string").alias("updated_date"),
+    )
+
+
+@query("refresh_pages", _LANDED)
 def refresh_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The cycle over every search: landed pages, cleaning, merge, activation, read; without stations and model."""
     landed, asked = landed_searches(spark, folder)
     store = Store(spark, scratch_path(spark, "refresh"), buckets=8)
     refresh.refresh(store, landed, cut_lineage(asked), dt.datetime(2002, 1, 1))
-    found = serve.active_listings(store.read("listing"), store.read("active"))
-    return found.select(
-        "url", "location_id", "business_type", "listing_type", "bedrooms", "total_fee",
-        F.col("updated_date").cast("string").alias("updated_date"),
-    )
+    return _shown(serve.active_listings(store.read("listing"), store.read("active")))
+
+
+@query("stream_pages", _LANDED)
+def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The landed pages as a stream that stops after half of them and is started again on the same checkpoint.
+
+    Half of the pages land before the first run; the second run finds the other half and, sent once more, the first half.
+    """
+    landed, asked = landed_searches(spark, folder)
+    work = scratch_path(spark, "pages")
+    store = Store(spark, f"{work}/tables", buckets=8)
+    asked = cut_lineage(asked)
+    half = cut_lineage(landed.drop("_corrupt_record").withColumn("later", F.pmod(F.xxhash64("request_id", "page"), F.lit(2)) == 1))
+    for later in (False, True):
+        for part in (False, True) if later else (False,):
+            half.where(F.col("later") == part).drop("later").write.mode("append").json(f"{work}/landing")
+        files = half.rdd.getNumPartitions()
+        ingest.ingest_pages(spark, f"{work}/landing", asked, store, f"{work}/offsets", files_per_trigger=files).awaitTermination()
+    return _shown(store.read("listing"))
 
 
 TRIGGERS = 4

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from casario.plans.refresh import merge_into, observe
 from casario.schemas import PAGE
@@ -22,28 +23,41 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.json(path)
 
 
-def keep_fresh(path: str, key: str, date: str) -> Callable[[DataFrame, int], None]:
+def keep_fresh(path: str, key: str, date: str, run: str = "first") -> Callable[[DataFrame, int], None]:
     """A merge that keeps one observation of each key and day under ``path``, however late it arrives.
 
-    Rows lie by trigger and day (``trigger``, ``_day``). A trigger reads back only the days it brings, so no state grows
-    in memory and no row is too old to be compared.
+    Rows lie by run, trigger and day (``run``, ``trigger``, ``_day``). A trigger reads back only the days it brings, so no state
+    grows in memory and no row is too old to be compared. ``run`` names the checkpoint: triggers are numbered from 0 again
+    with a new one, which then needs a name of its own. A replayed trigger compares with all others and replaces itself.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         once = cut_lineage(batch.withColumn("_day", F.col(date).cast("date")).dropDuplicates([key, "_day"]))
-        if number:
-            days = [r[0] for r in once.select("_day").distinct().collect()]
-            stored = session.read.schema(f"`{key}` {batch.schema[key].dataType.simpleString()}, trigger int, _day date").parquet(path)
-            known = stored.where(
-                (F.col("trigger") < number) & (F.col("_day").isin([d for d in days if d]) | F.col("_day").isNull())
-            ).select(F.col(key).alias("_known"), F.col("_day").alias("_on"))
-            once = once.join(known, F.col(key).eqNullSafe(F.col("_known")) & F.col("_day").eqNullSafe(F.col("_on")), "left_anti")
-        once.repartitionByRange("_day", key).write.mode("overwrite").partitionBy("_day").parquet(f"{path}/trigger={number}")
+        days = [r[0] for r in once.select("_day").distinct().collect()]
+        kind = batch.schema[key].dataType.simpleString()
+        stored = read_stored(session, path, f"`{key}` {kind}, run string, trigger int, _day date")
+        known = stored.where(
+            ((F.col("run") != run) | (F.col("trigger") != number)) & (F.col("_day").isin([d for d in days if d]) | F.col("_day").isNull())
+        ).select(F.col(key).alias("_known"), F.col("_day").alias("_on"))
+        fresh = once.join(known, F.col(key).eqNullSafe(F.col("_known")) & F.col("_day").eqNullSafe(F.col("_on")), "left_anti")
+        fresh.repartitionByRange("_day", key).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_day").parquet(
+            f"{path}/run={run}/trigger={number}"
+        )
 
     return merge
 
 
+def read_stored(session: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows under a folder; none while nothing was written there."""
+    try:
+        return session.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return session.createDataFrame([], schema)
+
+
 def merge_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Runs ``merge`` with the rows and number of each trigger until all present files are taken.
 
