@@ -2,8 +2,9 @@
 
 A list is a log of dated entries (pattern, action, at): ``add`` puts a pattern on the list, ``remove`` takes it off.
 Patterns are a host, which covers its sub-domains, or a host with a path, which covers all below that path.
-The log of a pattern becomes disjoint validity intervals, so an as-of join is an equi-join on the pattern
-with a range condition that at most one interval per pattern meets.
+The log of a pattern becomes disjoint validity intervals. Time is cut into blocks, and the interval that is open where a
+block begins is carried into it, so the as-of join is an equi-join on pattern and block: a capture meets the carried interval
+and those that begin in its block, not all intervals of its pattern. At most one of them holds its time.
 
 Null or unparsable urls and null times match nothing. Rows of the log with a null pattern, time or
 unknown action are ignored. Of entries of one pattern and time, ``add`` wins. Repeated captures each give a row.
@@ -15,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casario.session import cut_lineage
 
+# seconds of a block of time: a pattern has one carried interval a block, and meets the entries of one block at once
+BLOCK = 3600
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port, final dot; empty if there is none."""
@@ -61,7 +65,31 @@ def validity(log: DataFrame) -> DataFrame:
     )
 
 
-def blocked_captures(captures: DataFrame, log: DataFrame, url: str = "url", at: str = "fetched_at", key: str = "page_id") -> DataFrame:
+def block_of(at: Column, width: int) -> Column:
+    return F.floor(F.unix_seconds(at.cast("timestamp")) / F.lit(width)).cast("long")
+
+
+def open_by_block(intervals: DataFrame, asked: DataFrame, width: int = BLOCK) -> DataFrame:
+    """(pattern, block, valid_from, valid_to): the intervals that begin in a block, and in each block of ``asked`` the one
+    that was open when it began.
+
+    ``asked`` holds distinct (pattern, block). The window runs over blocks, not over captures or entries.
+    """
+    begun = intervals.select("pattern", block_of(F.col("valid_from"), width).alias("block"), "valid_from", "valid_to")
+    none = F.lit(None).cast(intervals.select(F.struct("valid_from", "valid_to")).dtypes[0][1])
+    marks = begun.groupBy("pattern", "block").agg(F.max_by(F.struct("valid_from", "valid_to"), "valid_from").alias("last")).select(
+        "pattern", "block", "last", F.lit(False).alias("asked")
+    ).unionByName(asked.select("pattern", "block", none.alias("last"), F.lit(True).alias("asked")))
+    each = marks.groupBy("pattern", "block").agg(F.any_value("last", True).alias("last"), F.max("asked").alias("asked"))
+    before = Window.partitionBy("pattern").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.withColumn("open", F.last("last", True).over(before)).where("asked AND open IS NOT NULL")
+    lasting = F.col("open.valid_to").isNull() | (block_of(F.col("open.valid_to"), width) >= F.col("block"))
+    return begun.unionByName(carried.where(lasting).select("pattern", "block", "open.valid_from", "open.valid_to"))
+
+
+def blocked_captures(
+    captures: DataFrame, log: DataFrame, url: str = "url", at: str = "fetched_at", key: str = "page_id", width: int = BLOCK
+) -> DataFrame:
     """(key, url, at, blocked, n_matches, pattern, listed_since) of every capture.
 
     ``pattern`` is the longest matching one (by characters, then by text) and ``listed_since`` the start
@@ -69,8 +97,15 @@ def blocked_captures(captures: DataFrame, log: DataFrame, url: str = "url", at:
     """
     wanted = captures.select(F.col(key).alias("__llm_id"), F.col(url).alias("__llm_url"), F.col(at).alias("__llm_at"))
     asked = wanted.select("__llm_url", "__llm_at").distinct()
-    keyed = asked.select("*", F.explode(patterns_of(F.col("__llm_url"))).alias("pattern"))
-    hits = keyed.join(validity(log), "pattern").where(
+    keyed = asked.where(F.col("__llm_at").isNotNull()).select(
+        "*", F.explode(patterns_of(F.col("__llm_url"))).alias("pattern"), block_of(F.col("__llm_at"), width).alias("block")
+    )
+    intervals = cut_lineage(validity(log))
+    # distinct first, so that captures of one host are few rows by then
+    blocks = keyed.select("pattern", "block").distinct().join(intervals.select("pattern").distinct(), "pattern", "left_semi")
+    # written, so that its size decides the join, which then may split a hot key
+    pieces = cut_lineage(open_by_block(intervals, blocks, width))
+    hits = keyed.join(pieces, ["pattern", "block"]).where(
         (F.col("__llm_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("__llm_at") < F.col("valid_to")))
     )
     best = F.max(F.struct(F.length("pattern"), "pattern", "valid_from"))

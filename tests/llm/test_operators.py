@@ -2,6 +2,7 @@
 
 import json
 import math
+import bisect
 import random
 import re
 
@@ -281,6 +282,30 @@ def test_url_lists(spark):
     assert urls.blocked_captures(frame, entries.limit(0)).where("blocked").count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 3600, 10**9])
+def test_url_lists_of_one_busy_host(spark, width):
+    """Thousands of changes and captures of one host: as a walk along its sorted log."""
+    rng = random.Random(width)
+    log = [("h.org", rng.choice(["add", "remove"]), rng.randrange(-20_000, 40_000)) for _ in range(10_000)]
+    captures = [(k, f"http://h.org/{k % 3}", rng.randrange(-25_000, 60_000)) for k in range(10_000)]
+    at = F.timestamp_seconds("at")
+    frame = spark.createDataFrame(captures, "page_id long, url string, at long").withColumn("fetched_at", at).drop("at")
+    got = urls.blocked_captures(frame, spark.createDataFrame(log, "pattern string, action string, at long").withColumn("at", at), width=width)
+    found = {r[0]: (r[1], r[2], r[3]) for r in got.select("page_id", "blocked", "n_matches", F.unix_seconds("listed_since")).collect()}
+    listed = {}
+    for _, action, when in log:
+        listed[when] = listed.get(when, False) or action == "add"
+    since, states = None, []
+    for when in sorted(listed):
+        since = (when if since is None else since) if listed[when] else None
+        states.append((when, since))
+    for k, _, when in captures:
+        place = bisect.bisect_right(states, when, key=lambda state: state[0])
+        want = states[place - 1][1] if place else None
+        assert found[k] == (want is not None, int(want is not None), want)
+    assert len(found) == len(captures)
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_near_duplicates(docs, corpus, block):
     found = neardup.named_classes(neardup.near_duplicates(docs, recall=0.99999, block=block)).collect()
