@@ -175,7 +175,8 @@ def clusters(df: DataFrame, cell: float = 0.05, levels: int = 1) -> DataFrame:
 
     rolled = at_level(finest, "points", "lat", "lon").groupBy("level", *_CELL).agg(F.sum("points").alias("points"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"))
     fees = grouped_median(at_level(placed, "total_fee"), ["level", *_CELL], "total_fee", "median_fee")
-    return rolled.withColumns({c: F.col(c) / F.col("points") for c in ("lat", "lon")}).join(fees, ["level", *_CELL], "left")
+    # both sides have a row a cell, whose number no estimate knows: neither is broadcast
+    return rolled.withColumns({c: F.col(c) / F.col("points") for c in ("lat", "lon")}).join(fees.hint("shuffle_hash"), ["level", *_CELL], "left")
 
 
 def last_update(active: DataFrame) -> DataFrame:

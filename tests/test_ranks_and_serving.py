@@ -33,6 +33,16 @@ def test_median_never_gathers_a_group(spark):
     assert "percentile" not in plan and "collect_" not in plan
 
 
+def test_median_and_clusters_broadcast_no_values(spark):
+    """Small files hold many values, and zoom levels multiply them past any estimate."""
+    points = spark.range(1000).select(
+        (F.col("id") % 7 / 10).alias("address_lat"), (F.col("id") % 5 / 10).alias("address_lon"), F.col("id").cast("double").alias("total_fee")
+    )
+    median = ranks.grouped_median(points.select(F.explode(F.array("address_lat", "address_lon")).alias("g"), "total_fee"), ["g"], "total_fee", "m")
+    for df in (median, serve.clusters(points, levels=5)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keys_at_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     found = ranks.keys_at(df.repartition(5), [F.col("k")], ["k"], [0, 1, 499, 999, 1000])
