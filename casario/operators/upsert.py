@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casario.operators.ranks import previous_value
+from casario.operators.ranks import HOT_ROWS, hot_keys, previous_value
 from casario.schemas import ACTIVE_TYPES, IMMUTABLE, MUTABLE, SEGMENT
+from casario.session import cut_lineage
 
 
 def gate_opens(old: Column, new: Column, force: bool = False) -> Column:
@@ -38,20 +39,45 @@ def fold_batch(
     immutable: tuple[str, ...] = IMMUTABLE,
     mutable: tuple[str, ...] = MUTABLE,
     force: bool = False,
+    partitions: int | None = None,
+    hot_rows: int = HOT_ROWS,
     **hot,
 ) -> DataFrame:
     """One row per key: first-seen immutable columns, last applied mutable ones.
 
     ``_runs`` counts the applied rows; more than one means the batch itself changed day,
     so the fold wins over any stored row.
+
+    Whole rows are shuffled once, to ``partitions`` by key if given. Keys above ``hot_rows`` rows are few by counting: their first and
+    last applied row are found in key, order and date alone, and only these two rows of them are shuffled.
     """
-    marked = mark_applied(batch, key, seq, date, force, **hot)
     mutable = tuple(c for c in mutable if c in batch.columns)
     immutable = tuple(c for c in immutable if c in batch.columns)
-    folded = marked.groupBy(key).agg(
-        F.min_by(F.struct(*immutable), F.col(seq)).alias("_first") if immutable else F.first(F.lit(1)).alias("_first"),
-        F.max_by(F.struct(*mutable), F.when(F.col("applied"), F.col(seq))).alias("_last"),
-        F.count_if("applied").alias("_runs"),
+    order, rows = F.col(seq), batch
+    narrow = batch.select(key, seq, date)
+    often = cut_lineage(hot_keys(narrow, [key], hot_rows).select(F.col(key).alias("_often")))
+    crowded = not often.isEmpty()
+    if crowded:
+        of_often = narrow.join(F.broadcast(often), F.col(key).eqNullSafe(F.col("_often")), "left_semi")
+        marked = mark_applied(of_often, key, seq, date, force, hot_rows=hot_rows, **hot)
+        ends = marked.groupBy(F.col(key).alias("_often")).agg(
+            F.min(order).alias("_from"), F.max(F.when(F.col("applied"), order)).alias("_to"), F.count_if("applied").alias("_hot_runs")
+        )
+        rows = batch.join(F.broadcast(ends), F.col(key).eqNullSafe(F.col("_often")), "left").where(
+            F.col("_hot_runs").isNull() | order.isin(F.col("_from"), F.col("_to"))
+        ).drop("_often", "_from")
+    if partitions:
+        rows = rows.repartition(partitions, key)
+    before = F.lag(F.struct(F.col(date).alias("v"))).over(Window.partitionBy(key).orderBy(seq))
+    rows = rows.withColumn("_before", before)
+    applied = F.col("_before").isNull() | gate_opens(F.col("_before.v"), F.col(date), force)
+    if crowded:
+        applied = F.when(F.col("_hot_runs").isNull(), applied).otherwise(order.eqNullSafe(F.col("_to")))
+    runs = F.count_if(applied)
+    folded = rows.groupBy(key).agg(
+        F.min_by(F.struct(*immutable), order).alias("_first") if immutable else F.first(F.lit(1)).alias("_first"),
+        F.max_by(F.struct(*mutable), F.when(applied, order)).alias("_last"),
+        (F.coalesce(F.max("_hot_runs"), runs) if crowded else runs).alias("_runs"),
     )
     return folded.select(
         key, *[F.col(f"_first.{c}").alias(c) for c in immutable], *[F.col(f"_last.{c}").alias(c) for c in mutable], "_runs"

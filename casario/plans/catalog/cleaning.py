@@ -63,13 +63,30 @@ def _entry(kind: str, price: Column, condo: Column, period: Column | None) -> Co
     )
 
 
-def nested_listings(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as portal records: the record fields, the search context and one request per contract type.
-
-    One row in about a hundred misses something, each fault under its own prime.
-    """
+def searched_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders under their search: what a record is made of, the search context and one request per contract type."""
     k = F.col("o_orderkey")
     people = views.table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
+    kind = F.when(k % 3 == 0, "SALE").otherwise("RENTAL")
+    return views.table(spark, folder, "orders").join(people, "o_custkey").select(
+        k,
+        "c_mktsegment",
+        "o_orderdate",
+        kind.alias("request_id"),
+        F.lit("https://site.example").alias("site"),
+        F.col("c_mktsegment").alias("neighborhood"),
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("locationId"),
+        F.when(k % 103 != 0, F.lit("State")).alias("state"),
+        F.lit("City").alias("city"),
+        F.concat(F.lit("Z"), (k % 4).cast("string")).alias("zone"),
+        kind.alias("business_type"),
+        F.col("o_orderpriority").alias("listing_type"),
+        F.concat(F.lit("portal"), (k % 2).cast("string")).alias("origin"),
+    )
+
+
+def portal_record(k: Column, segment: Column, date: Column) -> Column:
+    """An order as a portal's record. One in about a hundred misses something, each fault under its own prime."""
     text = k.cast("string")
     rental = _entry(
         "RENTAL", F.lit(1000) + k % 5000, F.when(k % 2 == 0, k % 900),
@@ -77,11 +94,11 @@ def nested_listings(spark: SparkSession, folder: str) -> DataFrame:
     )
     sale = _entry("SALE", F.lit(300000) + k, F.lit(700), None)
     other = _entry("OTHER", F.lit(1), F.lit(1), None)
-    moment = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    moment = F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     address = F.struct(
         F.when(k % 6 != 0, F.concat(F.lit("Rua "), text)).alias("street"),
         F.when(k % 4 != 0, (k % 90).cast("string")).alias("streetNumber"),
-        F.col("c_mktsegment").alias("neighborhood"),
+        segment.alias("neighborhood"),
         F.when(k % 8 == 0, F.concat(F.lit("apto "), (k % 30).cast("string"))).alias("complement"),
         F.when(
             k % 17 != 0, F.struct(views.listing_lat(k).alias("lat"), views.listing_lon(k).alias("lon"))
@@ -105,24 +122,19 @@ def nested_listings(spark: SparkSession, folder: str) -> DataFrame:
     medias = F.when(
         k % 9 != 0, F.array(F.struct(F.concat(F.lit("http://img/{action}/{width}x{height}/"), text, F.lit(".jpg")).alias("url")))
     )
-    kind = F.when(k % 3 == 0, "SALE").otherwise("RENTAL")
-    return views.table(spark, folder, "orders").join(people, "o_custkey").select(
-        k,
-        kind.alias("request_id"),
-        F.struct(
-            F.struct(*[c.alias(n) for n, c in fields.items()]).alias("listing"),
-            medias.alias("medias"),
-            F.struct(F.when(k % 101 != 0, F.concat(F.lit("/l/"), text)).alias("href")).alias("link"),
-        ).alias("record"),
-        F.lit("https://site.example").alias("site"),
-        F.col("c_mktsegment").alias("neighborhood"),
-        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("locationId"),
-        F.when(k % 103 != 0, F.lit("State")).alias("state"),
-        F.lit("City").alias("city"),
-        F.concat(F.lit("Z"), (k % 4).cast("string")).alias("zone"),
-        kind.alias("business_type"),
-        F.col("o_orderpriority").alias("listing_type"),
-        F.concat(F.lit("portal"), (k % 2).cast("string")).alias("origin"),
+    return F.struct(
+        F.struct(*[c.alias(n) for n, c in fields.items()]).alias("listing"),
+        medias.alias("medias"),
+        F.struct(F.when(k % 101 != 0, F.concat(F.lit("/l/"), text)).alias("href")).alias("link"),
+    )
+
+
+def nested_listings(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as portal records: the record fields, the search context and one request per contract type."""
+    orders = searched_orders(spark, folder)
+    made_of = ("o_orderkey", "c_mktsegment", "o_orderdate")
+    return orders.select(
+        "o_orderkey", "request_id", portal_record(*[F.col(c) for c in made_of]).alias("record"), *[c for c in orders.columns if c not in (*made_of, "request_id")]
     )
 
 

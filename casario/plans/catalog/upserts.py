@@ -13,7 +13,7 @@ from casario.plans.catalog import cleaning, views
 from casario.plans.catalog.registry import query
 from casario.session import cut_lineage, scratch_path
 from casario.sources import pages
-from casario.sources.tables import Store
+from casario.sources.tables import Store, buckets_for
 from casario.streaming import ingest
 
 # How the observation table plugs into the generic merge.
@@ -123,24 +123,29 @@ def refresh_cycle(spark: SparkSession, folder: str) -> DataFrame:
     return _text(store.read("listing")).select("user_id", "event_type", "value", "ts", "total_fee_predict")
 
 
+# Page files are read whole, as they are compressed: this many pages lie in one.
+_LANDING = {"compression": "gzip", "maxRecordsPerFile": 20_000}
 _ASKED = ("request_id", "origin", "business_type", "listing_type", "locationId")
 
 
 def landed_searches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Nested records as page files per search (portal, contract, kind, nation), at most 24 a page."""
-    found = cleaning.nested_listings(spark, folder).withColumn(
+    """Nested records as page files per search (portal, contract, kind, nation), at most 24 a page.
+
+    Records are some 50 times larger than what they are made of, so they are made on their page, after the shuffle.
+    """
+    found = cleaning.searched_orders(spark, folder).withColumn(
         "request_id", F.concat_ws("|", "business_type", "listing_type", "locationId")
     )
+    made_of = ("o_orderkey", "c_mktsegment", "o_orderdate")
     paged = found.groupBy(*_ASKED, F.floor(F.col("o_orderkey") / F.lit(24)).cast("int").alias("page")).agg(
-        F.sort_array(F.collect_list(F.struct("o_orderkey", "record"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct(*made_of))).alias("rows")
     )
+    records = F.transform("rows", lambda r: cleaning.portal_record(*[r[c] for c in made_of]))
     path = scratch_path(spark, "searches")
     paged.select(
         "origin", "request_id", (F.col("page") + 1).alias("page"), F.lit(200).alias("status"),
-        F.struct(
-            F.size("rows").alias("totalCount"), F.struct(F.transform("rows", lambda r: r["record"]).alias("listings")).alias("result")
-        ).alias("search"),
-    ).write.json(path)
+        F.struct(F.size("rows").alias("totalCount"), F.struct(records.alias("listings")).alias("result")).alias("search"),
+    ).write.options(**_LANDING).json(path)
     asked = found.select(*_ASKED).distinct()
     fixed = {"site": "https://site.example", "neighborhood": "Area", "state": "State", "city": "City", "zone": "Zone"}
     return pages.read_pages(spark, path), asked.withColumns({c: F.lit(v) for c, v in fixed.items()})
@@ -153,6 +158,10 @@ SELECT 'https://site.example/l/' || t AS url, 'N' || CAST(c_nationkey AS VARCHAR
   CASE WHEN k % 19 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS updated_date FROM priced"""
 
 
+def _buckets(spark: SparkSession, folder: str) -> int:
+    return max(8, buckets_for(views.table(spark, folder, "orders").count()))
+
+
 def _shown(listings: DataFrame) -> DataFrame:
     return listings.select(
         "url", "location_id", "business_type", "listing_type", "bedrooms", "total_fee",
@@ -164,7 +173,7 @@ def _shown(listings: DataFrame) -> DataFrame:
 def refresh_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The cycle over every search: landed pages, cleaning, merge, activation, read; without stations and model."""
     landed, asked = landed_searches(spark, folder)
-    store = Store(spark, scratch_path(spark, "refresh"), buckets=8)
+    store = Store(spark, scratch_path(spark, "refresh"), buckets=_buckets(spark, folder))
     refresh.refresh(store, landed, cut_lineage(asked), dt.datetime(2002, 1, 1))
     return _shown(serve.active_listings(store.read("listing"), store.read("active")))
 
@@ -177,12 +186,12 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
     """
     landed, asked = landed_searches(spark, folder)
     work = scratch_path(spark, "pages")
-    store = Store(spark, f"{work}/tables", buckets=8)
+    store = Store(spark, f"{work}/tables", buckets=_buckets(spark, folder))
     asked = cut_lineage(asked)
-    half = cut_lineage(landed.drop("_corrupt_record").withColumn("later", F.pmod(F.xxhash64("request_id", "page"), F.lit(2)) == 1))
+    half = cut_lineage(landed.drop("_corrupt_record").withColumn("later", F.pmod(F.xxhash64("request_id", "page"), F.lit(2)) == 1), compression="zstd")
     for later in (False, True):
         for part in (False, True) if later else (False,):
-            half.where(F.col("later") == part).drop("later").write.mode("append").json(f"{work}/landing")
+            half.where(F.col("later") == part).drop("later").write.mode("append").json(f"{work}/landing", compression="gzip")
         files = half.rdd.getNumPartitions()
         ingest.ingest_pages(spark, f"{work}/landing", asked, store, f"{work}/offsets", files_per_trigger=files).awaitTermination()
     return _shown(store.read("listing"))

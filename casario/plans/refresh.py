@@ -28,11 +28,12 @@ def observe(
     ``failures`` are failed pages (origin, request_id, page) of earlier batches.
     """
     good = page_source.before_first_failure(pages, known=failures)
-    # usable rows, rejects and the station search all read it: parse the pages once
-    cleaned = cut_lineage(clean.clean_listings(page_source.stamp(page_source.records(good), requests)))
+    # usable rows, rejects and the station search all read it: parse the pages once; most of it is text
+    cleaned = cut_lineage(clean.clean_listings(page_source.stamp(page_source.records(good), requests)), compression="zstd")
     usable = clean.accepted(cleaned, keep=("seq",))
     if stations is not None:
-        usable = nearest.attach_nearest_station(usable, stations, order="url")
+        # folding and activation read it again; without stations it is a selection of what was written
+        usable = cut_lineage(nearest.attach_nearest_station(usable, stations, order="url"), compression="zstd")
     else:
         usable = usable.withColumns(
             {c: F.lit(None).cast(t) for c, t in (
@@ -45,15 +46,15 @@ def observe(
 def merge_into(store: Store, batch: DataFrame, force: bool = False, **columns) -> None:
     """Folds a batch and merges it into the touched buckets of the listing table.
 
-    Stored rows are joined where they lie; only the folded batch is shuffled.
+    Stored rows are joined where they lie. The batch, which is read several times, is shuffled once, to its buckets, and folded there.
     """
-    folded = store.with_bucket(cut_lineage(upsert.fold_batch(batch, key=store.key, force=force, **columns)))
-    touched = store.touched_buckets(folded)
+    touched = store.touched_buckets(batch)
     if not touched:
         return
+    folded = upsert.fold_batch(batch, key=store.key, force=force, partitions=store.buckets, **columns)
     stored = store.read("listing").where(F.col("url_bucket").isin(touched)).drop("url_bucket")
     columns.pop("seq", None)
-    merged = upsert.merge(stored, folded.drop("url_bucket"), key=store.key, force=force, **columns)
+    merged = upsert.merge(stored, folded, key=store.key, force=force, **columns)
     if {"created", "updated"} <= set(merged.columns):
         merged = upsert.stamp_audit(merged)
     store.replace_partitions("listing", store.with_bucket(merged.drop("_op")), placed=True)
@@ -108,7 +109,6 @@ def refresh(
         stale.withColumnRenamed("location_id", "locationId"), ["business_type", "listing_type", "locationId"], "left_semi"
     )
     batch, rejects = observe(pages, due, stations)
-    batch = cut_lineage(batch)
     merge_into(store, batch, force)
     activate(store, stale, batch, as_of)
     if model is not None and encoding is not None:

@@ -226,6 +226,36 @@ def test_stream_keeps_rejects_and_failures(spark, tmp_path):
     assert sorted(r["reject_reasons"][0] for r in rejects) == ["corrupt_page", "malformed_page", "not_numeric:bedrooms"]
 
 
+def test_triggers_leave_nothing_of_their_own(spark, tmp_path):
+    """What a trigger writes for itself would add up over the life of a stream."""
+    from pathlib import Path
+
+    from casario.session import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    store, landing, asked = Store(spark, str(tmp_path / "tables"), buckets=4), tmp_path / "in", requests(spark)
+    _land(landing, "a.json", [record("/1"), record("/2")])
+    _land(landing, "b.json", [record("/3")], number=2)
+    before = set(shared.iterdir())
+    ingest.ingest_pages(spark, str(landing), asked, store, str(tmp_path / "offsets"), files_per_trigger=1).awaitTermination()
+    assert store.read("listing").count() == 3 and set(shared.iterdir()) == before
+
+
+def test_landed_pages_are_compressed(spark, folder):
+    from pathlib import Path
+
+    from casario.plans.catalog import upserts
+
+    pages, _ = upserts.landed_searches(spark, folder)
+    assert {Path(f).suffix for f in pages.inputFiles()} == {".gz"}
+
+
+def test_buckets_follow_the_rows():
+    from casario.sources.tables import buckets_for
+
+    assert [buckets_for(n) for n in (0, 1, 250_000, 250_001, 54_000_000)] == [1, 1, 1, 2, 216]
+
+
 @pytest.fixture(scope="module")
 def listings(spark):
     rng = random.Random(11)

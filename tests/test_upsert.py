@@ -80,6 +80,27 @@ def test_hot_keys_are_cut_into_blocks_with_the_same_result(spark):
     assert ranks.hot_keys(df, ["url"], 100).collect() == [("/hot",)]
 
 
+def test_whole_rows_are_shuffled_once(spark):
+    """Folding reads a key's rows in order and merges them by key: both need the same placing, that of the stored buckets."""
+    df = spark.createDataFrame([("/a", 0, "a", 1, DAYS[1]), ("/a", 1, "b", 2, DAYS[4]), (None, 2, "c", 3, None), (None, 3, "d", 4, None)], SCHEMA)
+    folded = upsert.fold_batch(df, partitions=3, **RULES)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(url" in plan
+    assert sorted(map(tuple, folded.collect()), key=str) == [("/a", "a", 2, DAYS[4], 2), (None, "c", 4, None, 2)]
+
+
+def test_crowded_keys_fold_alike(spark):
+    """Above the limit, only the first and the last applied row of a key are shuffled whole."""
+    rng = random.Random(10)
+    rows = [("/hot", i * 3, rng.choice("ab"), i, rng.choice(DAYS)) for i in range(500)]
+    rows += [(None, i, "a", i, DAYS[1]) for i in range(150)]
+    rows += [(f"/{i % 40}", i, rng.choice("ab"), i, rng.choice(DAYS)) for i in range(130)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain, crowded = upsert.fold_batch(df, **RULES), upsert.fold_batch(df, hot_rows=100, block=64, **RULES)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, crowded.collect()))
+    assert plain.count() == 42
+
+
 def test_gate(spark):
     rows = [(DAYS[1], DAYS[2]), (DAYS[1], DAYS[3]), (None, DAYS[1]), (DAYS[1], None)]
     df = spark.createDataFrame(rows, "a timestamp, b timestamp")
