@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from casario.plans.refresh import merge_into, observe
 from casario.schemas import PAGE
-from casario.session import cut_lineage
+from casario.session import cut_lineage, job_scratch
 from casario.sources.pages import failed
 from casario.sources.tables import Store
 
@@ -81,14 +81,18 @@ def ingest_pages(
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        # what a trigger writes for itself goes with it
+        with job_scratch(batch.sparkSession):
+            take(batch, number)
+
+    def take(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        landed = cut_lineage(batch)
+        landed = cut_lineage(batch, compression="zstd")
         failures = f"{store.root}/page_failures"
         landed.where(failed(landed)).select("origin", "request_id", "page").write.mode("overwrite").parquet(f"{failures}/trigger={number}")
         known = session.read.schema("origin string, request_id string, page int, trigger int").parquet(failures)
         usable, rejects = observe(landed, requests, stations, known.where(F.col("trigger") <= number))
         rejects.write.mode("overwrite").parquet(f"{store.root}/rejects/trigger={number}")
-        # folding reads it several times
-        merge_into(store, cut_lineage(usable))
+        merge_into(store, usable)
 
     return merge_stream(page_stream(spark, path, files_per_trigger), merge, checkpoint)
