@@ -2,7 +2,7 @@
 
 1. Tasks gather texts into chunks of one language. Words are counted, each chunk's own counts first.
 2. Words that reach ``min_count`` are ranked by frequency, and chunks are written as the ranks of their word occurrences, with a gap
-   for other words and where a piece ends. Up to ``BROADCAST_ROWS`` ranks are broadcast. More of them meet the chunks, written with
+   for other words and where a piece ends. A chunk is many short rows, cut at gaps, as readers and Arrow batches hold thousands of rows at a time. Up to ``BROADCAST_ROWS`` ranks are broadcast. More of them meet the chunks, written with
    numbers of their own dictionaries, in a cogroup by chunk, so that neither side ever grows beyond a chunk.
 3. Neighbours in a chunk are pairs of ranks. Ranks are split into tiles of ``TILE`` by ``TILE`` pairs: tiles of frequent ranks
    are counted by one dense ``bincount`` each, pairs of all other tiles are sorted and run-length counted.
@@ -41,6 +41,8 @@ TILE = 1 << TILE_BITS
 # Ranks below this many tiles are counted densely, in tiles that are full enough.
 DENSE_TILES = 4
 FULL = TILE * TILE // 32
+# Occurrences in a row of a chunk; one that has no gap for longer is longer.
+ROW_IDS = 512
 # Small row groups: a reader holds one of them at a time.
 ROW_GROUP = str(16 << 20)
 
@@ -87,6 +89,34 @@ def squeezed(ids: np.ndarray) -> np.ndarray:
     return ids[keep]
 
 
+def cut_rows(ids: np.ndarray) -> pa.Array:
+    """A chunk's ranks as short rows. Each starts with a gap, so that rows that are put together again, in any order, make no new neighbours."""
+    ids = np.concatenate((np.full(1, -1, dtype=np.int32), squeezed(ids)))
+    gaps = np.flatnonzero(ids < 0)
+    firsts = gaps[np.unique(gaps // ROW_IDS, return_index=True)[1]]
+    offsets = np.append(firsts, len(ids)) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+
+
+def joined_rows(rows: pa.Array) -> np.ndarray:
+    """The ranks behind rows of a chunk."""
+    start, end = np.frombuffer(rows.buffers()[1], np.int32)[[rows.offset, rows.offset + len(rows)]]
+    return np.frombuffer(rows.buffers()[2], np.uint8)[start:end].view(np.int32)
+
+
+def chunk_parts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(chunk, language, ranks) of the neighbouring rows of one chunk in a batch."""
+    chunk = batch.column("chunk").to_numpy()
+    starts = np.flatnonzero(np.concatenate((np.ones(min(len(chunk), 1), dtype=bool), chunk[1:] != chunk[:-1])))
+    for start, stop in zip(starts, np.append(starts[1:], len(chunk))):
+        yield int(chunk[start]), batch.column("lang")[start].as_py(), joined_rows(batch.column("ids").slice(start, stop - start))
+
+
+def ids_batch(chunk: int, lang: str, ids: np.ndarray) -> pa.RecordBatch:
+    cut = cut_rows(ids)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), chunk), pa.int64()), pa.array([lang] * len(cut), pa.string()), cut], ["chunk", "lang", "ids"])
+
+
 def spelt(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The slices of a text as strings, gathered at once."""
     sizes = ends - starts
@@ -115,7 +145,7 @@ NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
 
 def chunk_rows(known):
-    """Makes the rows of a chunk: one of its occurrences, then its dictionary if that is needed.
+    """Makes the rows of a chunk: those of its occurrences, then its dictionary if that is needed.
 
     Occurrences are ranks where ``known`` broadcasts the ranks of hashes; else numbers of the chunk's own dictionary, which follows.
     """
@@ -127,14 +157,14 @@ def chunk_rows(known):
             own, rows = np.arange(len(distinct), dtype=np.int32), len(distinct)
         else:
             own, rows = found_ranks(*known.value.get(lang, NOTHING), distinct), 0
-        ids = squeezed(np.insert(own[place], np.flatnonzero(fresh), np.int32(-1)))
+        ids = cut_rows(np.insert(own[place], np.flatnonzero(fresh), np.int32(-1)))
         listed = spelt(lower, starts[first[:rows]], ends[first[:rows]])
+        size, total = len(ids) + rows, np.zeros(len(ids) + rows, dtype=np.int64)
+        total[0] = len(hashes)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(rows + 1, chunk), pa.int64()), pa.array([lang] * (rows + 1), pa.string()),
-                pa.chunked_array([pa.array([ids.tobytes()], pa.binary()), pa.nulls(rows, pa.binary())]).combine_chunks(),
-                pa.array(np.arange(-1, rows), pa.int64()), pa.chunked_array([pa.nulls(1, pa.string()), listed]).combine_chunks(),
-                pa.array(np.concatenate(([len(hashes)], np.zeros(rows))).astype(np.int64)),
+                pa.array(np.full(size, chunk), pa.int64()), pa.array([lang] * size, pa.string()), pa.concat_arrays([ids, pa.nulls(rows, pa.binary())]),
+                pa.array(np.arange(-len(ids), rows), pa.int64()), pa.concat_arrays([pa.nulls(len(ids), pa.string()), listed]), pa.array(total),
             ],
             ["chunk", "lang", "ids", "code", "word", "n"],
         )
@@ -204,8 +234,8 @@ def count_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk, lang, ids in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lang", "ids"))):
-            codes, n = count_codes(neighbours(np.frombuffer(ids, np.int32))[1])
+        for chunk, lang, ids in chunk_parts(batch):
+            codes, n = count_codes(neighbours(ids)[1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(codes), chunk), pa.int64()), pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())],
                 ["chunk", "lang", "code", "n"],
@@ -217,15 +247,11 @@ def _broadcast_ranks(known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int32)
+            for chunk, lang, ids in chunk_parts(batch):
                 out = np.full(len(ids), -1, dtype=np.int32)
                 at, wanted = neighbours(ids)
-                out[at] = found_ranks(*known.value.get(row["lang"], NOTHING), wanted)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["chunk"]], pa.int64()), pa.array([row["lang"]], pa.string()), pa.array([squeezed(out).tobytes()], pa.binary())],
-                    ["chunk", "lang", "ids"],
-                )
+                out[at] = found_ranks(*known.value.get(lang, NOTHING), wanted)
+                yield ids_batch(chunk, lang, out)
 
     return run
 
@@ -237,13 +263,13 @@ def _joined_ranks(paired: bool):
         schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("ids", pa.binary())])
         if not chunk.num_rows or not ranks.num_rows:
             return schema.empty_table()
-        ids = np.frombuffer(chunk.column("ids")[0].as_py(), np.int32)
+        ids = np.concatenate([joined_rows(part) for part in chunk.column("ids").chunks])
         codes, rank = ranks.column("code").to_numpy(), ranks.column("id").to_numpy()
         order = np.argsort(codes)
         at, wanted = neighbours(ids) if paired else (np.flatnonzero(ids >= 0), ids[ids >= 0].astype(np.int64))
         out = np.full(len(ids), -1, dtype=np.int32)
         out[at] = found_ranks(codes[order], rank[order], wanted)
-        return pa.table([chunk.column("chunk"), chunk.column("lang"), pa.array([squeezed(out).tobytes()], pa.binary())], schema=schema)
+        return pa.Table.from_batches([ids_batch(key[0].as_py(), chunk.column("lang")[0].as_py(), out)], schema)
 
     return run
 

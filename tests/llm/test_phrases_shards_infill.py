@@ -167,3 +167,26 @@ def test_shard_query_contract(spark, tmp_path):
     for r in found:
         assert (r.text_crc32, r.law, r.grown_shard) == (zlib.crc32((texts[r.doc_id] or "").encode()), "bytes", None)
         assert 0 <= r.shard < 16
+
+
+def test_rows_of_a_chunk_stay_short(spark, monkeypatch):
+    """Thousands of rows of occurrences are held at a time, so a chunk is not one row; rows put together make no new pairs."""
+    rng = np.random.default_rng(3)
+    for ids in (rng.integers(-1, 4, 50_000), np.arange(3_000), np.zeros(0), np.full(9, -1)):
+        ids = ids.astype(np.int32)
+        rows = phrases.cut_rows(ids)
+        back = np.concatenate([phrases.joined_rows(rows.slice(k, 1)) for k in rng.permutation(len(rows))])
+        assert Counter(phrases.neighbours(back)[1].tolist()) == Counter(phrases.neighbours(ids)[1].tolist())
+    assert max(len(phrases.joined_rows(phrases.cut_rows(rng.integers(-1, 4, 50_000).astype(np.int32)).slice(k, 1))) for k in range(50)) < 2 * phrases.ROW_IDS
+    sizes, written = [], phrases._written
+
+    def watched(df, label):
+        out = written(df, label)
+        sizes.append(out.agg(F.max(F.length("ids"))).first()[0])
+        return out
+
+    monkeypatch.setattr(phrases, "_written", watched)
+    docs = spark.createDataFrame([("en", "one two, three four five. " * 4_000)], "lang string, text string")
+    rows = [(r.phrase, r.a) for r in phrases.collocations(docs).collect()]
+    assert sorted(rows) == [("one two", 4_000), ("three four five", 4_000)]
+    assert sizes and max(sizes) < 8 * phrases.ROW_IDS
