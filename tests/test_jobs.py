@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casario.operators import features, serve, trials, upsert
 from casario.plans import refresh, train
-from casario.plans.catalog import upserts
+from casario.plans.catalog import learning, upserts
 from casario.schemas import LISTING_TYPES, TRAINING_COLUMNS
 from casario.sources import stations
 from casario.sources.tables import Store
@@ -363,6 +363,19 @@ def test_search_does_not_depend_on_the_order_of_its_jobs(spark, frame):
     assert len(together) == 10 and len({p["model"] for _, _, p, _ in together}) == 4
 
 
+def test_publishing_searches_all_of_every_range(spark, folder, monkeypatch):
+    asked = {}
+
+    def search(spark, frame, names, n_trials, **given):
+        asked.update(given, n_trials=n_trials)
+        raise InterruptedError
+
+    monkeypatch.setattr(learning.train, "search", search)
+    with pytest.raises(InterruptedError):
+        learning.publish_model(spark, folder)
+    assert asked == {"n_trials": 100}
+
+
 def test_model_with_log_target_survives_storage(spark, frame, tmp_path):
     names = features.feature_names()
     model = train.create_model(names, "ExtraTreesRegressor", True, True, n_estimators=5, max_depth=5, max_features="sqrt").fit(frame)
