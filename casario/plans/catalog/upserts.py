@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from casario.operators import serve, upsert
 from casario.plans import refresh
@@ -129,7 +130,13 @@ _ASKED = ("request_id", "origin", "business_type", "listing_type", "locationId")
 
 
 def landed_searches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Nested records as page files per search (portal, contract, kind, nation), at most 24 a page.
+    """Nested records as page files per search (portal, contract, kind, nation), at most 24 a page."""
+    path, asked = _land_searches(spark, folder)
+    return pages.read_pages(spark, path), asked
+
+
+def _land_searches(spark: SparkSession, folder: str, by: Column | None = None) -> tuple[str, DataFrame]:
+    """(folder of the page files, the searches). ``by`` puts pages into one folder (``part``) for each of its few values.
 
     Records are some 50 times larger than what they are made of, so they are made on their page, after the shuffle.
     """
@@ -142,13 +149,18 @@ def landed_searches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     )
     records = F.transform("rows", lambda r: cleaning.portal_record(*[r[c] for c in made_of]))
     path = scratch_path(spark, "searches")
-    paged.select(
-        "origin", "request_id", (F.col("page") + 1).alias("page"), F.lit(200).alias("status"),
-        F.struct(F.size("rows").alias("totalCount"), F.struct(records.alias("listings")).alias("result")).alias("search"),
-    ).write.options(**_LANDING).json(path)
+    paged, parts = paged.withColumn("page", F.col("page") + 1), []
+    if by is not None:
+        # sorted before records are made: the writer has one folder open at a time
+        paged, parts = paged.withColumn("part", by).sortWithinPartitions("part"), ["part"]
+    landing = paged.select(
+        "origin", "request_id", "page", F.lit(200).alias("status"),
+        F.struct(F.size("rows").alias("totalCount"), F.struct(records.alias("listings")).alias("result")).alias("search"), *parts,
+    ).write.options(**_LANDING)
+    (landing.partitionBy(*parts) if parts else landing).json(path)
     asked = found.select(*_ASKED).distinct()
     fixed = {"site": "https://site.example", "neighborhood": "Area", "state": "State", "city": "City", "zone": "Zone"}
-    return pages.read_pages(spark, path), asked.withColumns({c: F.lit(v) for c, v in fixed.items()})
+    return path, asked.withColumns({c: F.lit(v) for c, v in fixed.items()})
 
 
 _LANDED = f"""WITH {cleaning.RECORDS.replace('k % 103 <> 0 AND ', '')}
@@ -178,21 +190,32 @@ def refresh_pages(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(serve.active_listings(store.read("listing"), store.read("active")))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the files of a folder; none if no page went there."""
+    try:
+        return spark.read.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "value string")
+
+
 @query("stream_pages", _LANDED)
 def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The landed pages as a stream that stops after half of them and is started again on the same checkpoint.
 
     Half of the pages land before the first run; the second run finds the other half and, sent once more, the first half.
     """
-    landed, asked = landed_searches(spark, folder)
+    # lines are sent as they are, and never parsed on their way
+    path, asked = _land_searches(spark, folder, by=F.pmod(F.xxhash64("request_id", "page"), F.lit(2)))
+    halves = [read_lines(spark, f"{path}/part={k}") for k in range(2)]
+    files = max(1, min(h.rdd.getNumPartitions() for h in halves))
     work = scratch_path(spark, "pages")
     store = Store(spark, f"{work}/tables", buckets=_buckets(spark, folder))
     asked = cut_lineage(asked)
-    half = cut_lineage(landed.drop("_corrupt_record").withColumn("later", F.pmod(F.xxhash64("request_id", "page"), F.lit(2)) == 1), compression="zstd")
     for later in (False, True):
-        for part in (False, True) if later else (False,):
-            half.where(F.col("later") == part).drop("later").write.mode("append").json(f"{work}/landing", compression="gzip")
-        files = half.rdd.getNumPartitions()
+        for half in halves if later else halves[:1]:
+            half.coalesce(files).write.mode("append").text(f"{work}/landing", compression="gzip")
         ingest.ingest_pages(spark, f"{work}/landing", asked, store, f"{work}/offsets", files_per_trigger=files).awaitTermination()
     return _shown(store.read("listing"))
 

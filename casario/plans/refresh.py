@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casario.operators import clean, features, nearest, serve, upsert
-from casario.schemas import SEGMENT
+from casario.schemas import LISTING_TYPES, SEGMENT
 from casario.session import cut_lineage
 from casario.sources import pages as page_source
 from casario.sources.tables import Store
@@ -29,7 +29,9 @@ def observe(
     """
     good = page_source.before_first_failure(pages, known=failures)
     # usable rows, rejects and the station search all read it: parse the pages once; most of it is text
-    cleaned = cut_lineage(clean.clean_listings(page_source.stamp(page_source.records(good), requests)), compression="zstd")
+    cleaned = clean.clean_listings(page_source.stamp(page_source.records(good), requests))
+    read = [c for c in cleaned.columns if c in LISTING_TYPES or c in ("seq", "origin", "reject_reasons")]
+    cleaned = cut_lineage(cleaned.select(*read), compression="zstd")
     usable = clean.accepted(cleaned, keep=("seq",))
     if stations is not None:
         # folding and activation read it again; without stations it is a selection of what was written

@@ -104,11 +104,13 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
-def overlaid(text: Column, context: Column) -> Column:
-    """A JSON object's text with the fields of another put behind its own, where they win on equal names."""
-    body, more = F.rtrim(text), F.to_json(context)
-    inside = F.rtrim(F.substring(body, F.lit(1), F.length(body) - 1))
-    empty = F.ltrim(F.substring(inside, 2, 1 << 30)) == ""
+def overlaid(text: Column, more: Column) -> Column:
+    """A JSON object's text with the fields of another's put behind its own, where they win on equal names."""
+    body = F.rtrim(text)
+    # by bytes: counting characters would read a long text again and again
+    octets = body.cast("binary")
+    inside = F.rtrim(F.substring(octets, F.lit(1), F.length(octets) - 1).cast("string"))
+    empty = (F.octet_length(inside) <= 4) & (F.char_length(inside) <= 1)
     return F.when(
         body.endswith("}"), F.concat(inside, F.when(empty, "").otherwise(","), F.substring(more, F.lit(2), F.length(more)))
     ).otherwise(more)
@@ -131,11 +133,12 @@ def stamp(rows: DataFrame, requests: DataFrame) -> DataFrame:
     ``raw`` is the record as landed with the context in it. ``seq`` orders records over all requests.
     """
     own = [c for c in rows.columns if c not in CONTEXT_FIELDS or c == "origin"]
-    context = numbered(requests).select("request_id", "request_seq", *CONTEXT_FIELDS)
+    # the context's text is made once a request, not once a record
+    context = numbered(requests).select("request_id", "request_seq", *CONTEXT_FIELDS, F.to_json(F.struct(*CONTEXT_FIELDS)).alias("_context"))
     stamped = rows.select(*own).join(context, ["origin", "request_id"])
-    raw = overlaid(F.col("record_text"), F.struct(*CONTEXT_FIELDS))
+    raw = overlaid(F.col("record_text"), F.col("_context"))
     seq = sequence_number(F.col("request_seq"), F.col("page"), F.col("position"))
-    return stamped.withColumns({"raw": raw, "seq": seq}).drop("record_text", "request_seq")
+    return stamped.withColumns({"raw": raw, "seq": seq}).drop("record_text", "request_seq", "_context")
 
 
 def sequence_number(request: Column, page: Column, position: Column) -> Column:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from casario.operators import features, serve, trials, upsert
 from casario.plans import refresh, train
+from casario.plans.refresh import observe as observed
 from casario.plans.catalog import learning, upserts
 from casario.schemas import LISTING_TYPES, TRAINING_COLUMNS
 from casario.sources import stations
+from casario.sources.pages import overlaid
 from casario.sources.tables import Store
 from casario.streaming import ingest
 from tests.pages_fixture import CONTEXT, page, record, rental, requests
@@ -470,6 +472,28 @@ def test_stream_keeps_late_observations(spark, tmp_path):
     assert spark.read.schema(schema).parquet(rows).count() == len(want) + 1
 
 
+def test_a_stream_of_pages_parses_them_in_its_triggers_only(spark, folder, tmp_path, monkeypatch):
+    def read(*_):
+        raise AssertionError("pages were parsed before they were sent")
+
+    monkeypatch.setattr(upserts.pages, "read_pages", read)
+    triggers = []
+    monkeypatch.setattr(upserts.ingest, "observe", lambda landed, *given: triggers.append(landed.select("origin", "request_id", "page").collect()) or observed(landed, *given))
+    found = upserts.stream_pages(spark, folder)
+    first, again, later = sorted(triggers[:1]) + sorted(triggers[1:], key=lambda t: sorted(t) != sorted(triggers[0]))
+    assert sorted(first) == sorted(again) and not set(first) & set(later) and len(set(first + later)) == len(first + later)
+    assert found.count() == found.select("url").distinct().count() > 100
+
+
+@pytest.mark.parametrize("text, want", [
+    ('{"a": 1} ', '{"a": 1,"o":"p"}'), ("{}", '{"o":"p"}'), ("{ }", '{"o":"p"}'), (" {}", ' {,"o":"p"}'), ("", '{"o":"p"}'), ("[1]", '{"o":"p"}'),
+    ('{"a": "漢é🙂" }', '{"a": "漢é🙂","o":"p"}'), ("é}", 'é"o":"p"}'), ("}", '"o":"p"}'), (None, '{"o":"p"}'),
+])
+def test_context_is_put_behind_the_record(spark, text, want):
+    row = spark.createDataFrame([(text, "p")], "t string, o string")
+    assert row.select(overlaid(F.col("t"), F.to_json(F.struct("o")))).first()[0] == want
+
+
 def test_arriving_pieces_are_written_by_several_tasks(spark, folder, tmp_path):
     triggers = []
     stream = upserts.arriving(spark, folder, F.col("event_id")).withColumn("file", F.col("_metadata.file_name"))
